@@ -41,6 +41,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     One entry is held back from each batch, as its digest may go on in the next one."""
     held: pa.RecordBatch | None = None
     for b in batches:
+        b = pa.RecordBatch.from_arrays(b.columns, b.schema.names)
         if held is not None:
             b = pa.concat_batches([held, b])
         if not b.num_rows:
@@ -48,7 +49,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.stack([b.column(c).to_numpy() for c in RUN])
         starts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
         n = pa.array(np.add.reduceat(b.column("n").to_numpy(), starts))
-        merged = b.take(pa.array(starts)).set_column(b.schema.get_field_index("n"), "n", n)
+        first = b.take(pa.array(starts))
+        merged = pa.RecordBatch.from_arrays([n if c == "n" else first.column(c) for c in b.schema.names], b.schema.names)
         held = merged.slice(len(starts) - 1)
         yield merged.slice(0, len(starts) - 1)
     if held is not None:
