@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motifel.llm.exact_dedup import exact_dedup
+from motifel.llm.fingerprint import fingerprints
 from motifel.llm.line_dedup import line_dedup
 from motifel.llm.mixing import mix
+from motifel.llm.token_counts import token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_documents(spark, sf_dir))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -23,11 +30,16 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents of the fields source and text; sentences of the text are sections."""
+    return token_counts(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), fields=("source", "text"), split=("text",))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op3_source_mixing, op5_line_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_document_fingerprints, op3_source_mixing, op5_line_dedup, op9_token_counts, op10_exact_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
