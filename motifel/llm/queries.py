@@ -10,6 +10,7 @@ from motifel.llm.exact_dedup import exact_dedup
 from motifel.llm.fingerprint import fingerprints
 from motifel.llm.line_dedup import line_dedup
 from motifel.llm.mixing import mix
+from motifel.llm.quality import classify
 from motifel.llm.token_counts import token_counts
 
 
@@ -30,6 +31,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents of the fields source and text; sentences of the text are sections."""
     return token_counts(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), fields=("source", "text"), split=("text",))
@@ -39,7 +44,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op2_document_fingerprints, op3_source_mixing, op5_line_dedup, op9_token_counts, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_document_fingerprints, op3_source_mixing, op5_line_dedup, op8_quality_classifier, op9_token_counts, op10_exact_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
