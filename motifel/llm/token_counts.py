@@ -20,6 +20,7 @@ is encoded exactly as by one call for the whole text.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,21 +36,16 @@ _WS = "\t-\r \x85\xa0  -     　"
 _UNITS = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _SENTENCE = re.compile(f"[.!?]+[{_WS}]+|\n+")
 #: Different units that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
-
-
-@lru_cache(2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
+REMEMBERED = 800_000
 
 
 class Units:
     """Tokens of units, by a tokenizer whose pre-tokens stay inside them."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {}
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.known, self.spans = Tokenizer.from_file(path), {}, {}
 
     def learn(self, units: set[str]) -> None:
         new = [u for u in units if u not in self.known]
@@ -61,7 +57,17 @@ class Units:
             self.known.update(zip(part, (len(e.ids) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
 
     def offsets(self, unit: str) -> list[tuple[int, int]]:
-        return self.tokenizer.encode(unit, add_special_tokens=False).offsets
+        if unit not in self.spans:
+            if len(self.spans) > REMEMBERED // 4:
+                self.spans.clear()
+            self.spans[unit] = self.tokenizer.encode(unit, add_special_tokens=False).offsets
+        return self.spans[unit]
+
+
+@lru_cache(1)
+def _units(path: str) -> Units:
+    """One memory for all tasks of a worker process."""
+    return Units(path)
 
 
 def sentence_ends(text: str) -> list[int]:
@@ -87,10 +93,12 @@ def attribute(units: list[str], known: dict[str, int], offsets, ends: list[int])
         base = int(end[i] - length[i])
         for a, b in offsets(units[i]):
             a, b = base + a, base + max(b, a + 1)
-            k, stop = int(np.searchsorted(bounds, a, "right")), int(np.searchsorted(bounds, b - 1, "right"))
-            crossing += stop > k
-            share = [min(b, ends[j]) - max(a, ends[j - 1] if j else 0) for j in range(k, stop + 1)]
-            counts[k + share.index(max(share))] += 1
+            k = bisect_right(ends, a)
+            if b > ends[k]:
+                crossing += 1
+                share = [min(b, ends[j]) - max(a, ends[j - 1] if j else 0) for j in range(k, bisect_right(ends, b - 1) + 1)]
+                k += share.index(max(share))
+            counts[k] += 1
     return counts.tolist(), crossing
 
 
@@ -99,7 +107,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_crossing
 
 def _count(path: str, fields: list[str], split: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Units(path)
+        memory = _units(path)
         for b in batches:
             columns = [[x or "" for x in b.column(f"f{i}").to_pylist()] for i in range(len(fields))]
             rows, docs, new = [], [], set()
