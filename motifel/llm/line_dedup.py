@@ -66,7 +66,8 @@ def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     pairs = common.documents(docs).mapInArrow(_explode(min_chars), "h1 long, h2 long, doc_id long")
     # (hash, document) pairs spread one hot line over all tasks; only then one row per hash and task moves.
     counted = pairs.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keep"))
-    doomed = counted.where(F.col("n_docs") >= min_docs).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "keep")
+    # A written table, so that the join below starts from two plain exchanges and Spark can split the partition of a hot line.
+    doomed = common.cut(counted.where(F.col("n_docs") >= min_docs).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "keep"), "repeated-lines")
     lost = pairs.join(doomed, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).where(F.col("doc_id") != F.col("keep"))
     as_binary = F.expr("unhex(concat(lpad(hex(h1),16,'0'),lpad(hex(h2),16,'0')))")
     return lost.groupBy("doc_id").agg(F.collect_list(as_binary).alias("drops"))
