@@ -26,7 +26,7 @@ from motifel.llm import common
 
 MAX_SOURCES = 100_000
 """Sources whose totals the driver may hold; more raise an error, none is dropped."""
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 2_000
 """Documents of a source that are rounded together."""
 
 
