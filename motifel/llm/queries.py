@@ -10,6 +10,7 @@ from motifel.llm.exact_dedup import exact_dedup
 from motifel.llm.fingerprint import fingerprints
 from motifel.llm.line_dedup import line_dedup
 from motifel.llm.mixing import mix
+from motifel.llm.ngram_join import ngram_groups
 from motifel.llm.packing import pack
 from motifel.llm.quality import classify
 from motifel.llm.token_counts import token_counts
@@ -32,6 +33,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_groups(_documents(spark, sf_dir), n=5, threshold=(75, 100))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
@@ -49,7 +54,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op2_document_fingerprints, op3_source_mixing, op5_line_dedup, op7_best_fit_packing, op8_quality_classifier, op9_token_counts, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_document_fingerprints, op3_source_mixing, op5_line_dedup, op6_ngram_jaccard_join, op7_best_fit_packing, op8_quality_classifier, op9_token_counts, op10_exact_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
