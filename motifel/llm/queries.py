@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from motifel.llm.exact_dedup import exact_dedup
 from motifel.llm.fingerprint import fingerprints
+from motifel.llm.html_extract import extract_main_text
 from motifel.llm.line_dedup import line_dedup
 from motifel.llm.mixing import mix
 from motifel.llm.ngram_join import ngram_groups
@@ -20,6 +21,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_documents(spark, sf_dir))
 
@@ -54,7 +59,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op2_document_fingerprints, op3_source_mixing, op5_line_dedup, op6_ngram_jaccard_join, op7_best_fit_packing, op8_quality_classifier, op9_token_counts, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_document_fingerprints, op3_source_mixing, op5_line_dedup, op6_ngram_jaccard_join, op7_best_fit_packing, op8_quality_classifier, op9_token_counts, op10_exact_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
