@@ -30,31 +30,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motifel.llm import common
+from motifel.llm.units import Memory
 
 #: White space as Unicode's property has it, which is that of the tokenizer's own pattern.
 _WS = "\t-\r \x85\xa0  -     　"
 _UNITS = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _SENTENCE = re.compile(f"[.!?]+[{_WS}]+|\n+")
-#: Different units that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 800_000
+#: Different units that a worker remembers.
+REMEMBERED = 500_000
 
 
-class Units:
-    """Tokens of units, by a tokenizer whose pre-tokens stay inside them."""
+class Units(Memory):
+    """Numbers of tokens of units, and offsets of those that are asked for."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known, self.spans = Tokenizer.from_file(path), {}, {}
-
-    def learn(self, units: set[str]) -> None:
-        new = [u for u in units if u not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(units)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            self.known.update(zip(part, (len(e.ids) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+        super().__init__(path, str, len, REMEMBERED)
+        self.spans: dict[str, list[tuple[int, int]]] = {}
 
     def offsets(self, unit: str) -> list[tuple[int, int]]:
         if unit not in self.spans:
