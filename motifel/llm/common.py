@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 NULL_ID = -(1 << 63)
 WORD_SPACE = b" \t\n\x0b\x0c\r"
-BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def internal_id(name: str) -> Column:

@@ -46,7 +46,7 @@ LEVELS = 1 << 21
 FREQUENT_HERE, FREQUENT = 4, 64
 """An n-gram counts as frequent from FREQUENT documents on, of those in partitions that have it FREQUENT_HERE times."""
 BUCKET_RECORDS, SHORT_LIST, BLOCK = 400_000, 12, 1024
-REMEMBERED = 1_000_000
+REMEMBERED = 150_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -182,7 +182,7 @@ def _survey(n: int):
                     size += len(s)
             node = np.frombuffer(b"".join(classes), ">i8").astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(node), pa.array(sketches, pa.binary()), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.int64())], names)
-            if size > 8_000_000:  # 64 MB
+            if size > 1_500_000:  # 12 MB
                 yield frequent(heap)
                 heap, size = [], 0
         if heap:
