@@ -31,18 +31,26 @@ def encode_each(tokenizer, parts: list[str]) -> list[np.ndarray]:
 
 
 class Memory:
-    """key -> what ``value`` makes of the ids of its text. Holds at most ``most`` keys besides those of the last request."""
+    """key -> what ``value`` makes of the ids of its text. Holds at most ``most`` keys besides those of the last request.
 
-    def __init__(self, path: str, text: Callable, value: Callable, most: int):
+    ``parts`` divides a key where the tokenizer always does, into keys whose values add up: a word
+    and the stop or comma after it, say. Only parts that are not known are encoded.
+    """
+
+    def __init__(self, path: str, text: Callable, value: Callable, parts: Callable, most: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.text, self.value, self.most = Tokenizer.from_file(path), text, value, most
+        self.tokenizer, self.text, self.value, self.parts, self.most = Tokenizer.from_file(path), text, value, parts, most
         self.known: dict = {}
 
     def learn(self, keys: Iterable) -> None:
         keys = set(keys)
-        new = list(keys.difference(self.known))
-        if len(self.known) + len(new) > self.most:
-            self.known = {k: v for k, v in self.known.items() if k in keys}
-        self.known.update((k, self.value(ids)) for k, ids in zip(new, encode_each(self.tokenizer, [self.text(k) for k in new]), strict=True))
+        known, parts = self.known, self.parts
+        new = [(k, parts(k)) for k in keys.difference(known)]
+        stems = list({p for _, own in new for p in own}.difference(known))
+        known.update((k, self.value(ids)) for k, ids in zip(stems, encode_each(self.tokenizer, [self.text(k) for k in stems]), strict=True))
+        for k, own in new:
+            known[k] = known[own[0]] if len(own) == 1 else known[own[0]] + known[own[1]]
+        if len(known) > self.most:
+            self.known = {k: known[k] for k in keys}
