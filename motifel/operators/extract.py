@@ -45,66 +45,74 @@ def split_windows(records: DataFrame, k: int, seq: str = "seq", starts: int = CH
     return cut.select(*rest, "window", F.substring(F.col(seq), F.col("window") * starts + 1, F.lit(starts + k - 1)).alias(seq))
 
 
-def _chunks(seqs: list[bytes], k: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(codes, starts in them, first sequence) of some sequences at a time, long ones in parts that overlap by k - 1."""
+def _chunks(seqs: list[bytes], k: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """(codes, starts in them, first sequence, bases of it before) of some sequences at a time, long ones in parts that overlap by k - 1."""
     part, size, first = [], 0, 0
     for i, s in enumerate(seqs):
         if len(s) > CHUNK + k:
             if part:
-                yield *kernels.codes(part), first
+                yield *kernels.codes(part), first, 0
             for at in range(0, len(s) - k + 1, CHUNK):
-                yield *kernels.codes([s[at : at + CHUNK + k - 1]]), i
+                yield *kernels.codes([s[at : at + CHUNK + k - 1]]), i, at
             part, size, first = [], 0, i + 1
             continue
         part.append(s)
         size += len(s)
         if size > BATCH_BASES:
-            yield *kernels.codes(part), first
+            yield *kernels.codes(part), first, 0
             part, size, first = [], 0, i + 1
     if part:
-        yield *kernels.codes(part), first
+        yield *kernels.codes(part), first, 0
 
 
 def _joined(seqs) -> list[bytes]:
     return [(s or b"").replace(b"\n", b"") for s in seqs]
 
 
-def _kernel(names: list[str], seq: str, k: int, m: int | None, distinct: bool):
-    """Rows (names..., value) for each k-mer or minimizer; with distinct each value once in a batch of a record."""
+def _kernel(names: list[str], seq: str, k: int, m: int | None, how: str):
+    """Rows (names..., pos, value) for each k-mer or minimizer. how: "all"; "distinct", each value once
+    in a chunk of a record, without pos; "runs", without those that repeat the one before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seqs = _joined(b.column(seq).cast(pa.binary()).to_pylist())
-            for code, starts, first in _chunks(seqs, k):
+            last = None  # (row, value) that the chunk before ended with
+            for code, starts, first, before in _chunks(seqs, k):
                 if m is None:
                     at = np.flatnonzero(kernels.valid_at(code, k))
                     values = kernels.mers(code, k)[at]
                 else:
                     at, values = kernels.minimizers(code, k, m)
-                row = first + np.searchsorted(starts, at, "right") - 1
-                if distinct and len(row):
-                    order = np.lexsort((values, row))
-                    row, values = row[order], values[order]
-                    new = np.concatenate([[True], (row[1:] != row[:-1]) | (values[1:] != values[:-1])])
-                    row, values = row[new], values[new]
+                own = np.searchsorted(starts, at, "right") - 1
+                row, pos = first + own, at - starts[own] + before + 1
+                if how != "all" and len(row):
+                    if how == "distinct":
+                        order = np.lexsort((values, row))
+                        row, values, pos = row[order], values[order], pos[order]
+                    new = np.concatenate([[last != (row[0], values[0])], (row[1:] != row[:-1]) | (values[1:] != values[:-1])])
+                    if how == "runs":
+                        last = (row[-1], values[-1])
+                    row, values, pos = row[new], values[new], pos[new]
                 for i in range(0, len(row), 100_000):
-                    rows = b.select(names).take(pa.array(row[i : i + 100_000]))
-                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(values[i : i + 100_000].view(np.int64))], [*names, "value"])
+                    part = slice(i, i + 100_000)
+                    rows = b.select(names).take(pa.array(row[part]))
+                    place = [] if how == "distinct" else [pa.array(pos[part])]
+                    yield pa.RecordBatch.from_arrays([*rows.columns, *place, pa.array(values[part].view(np.int64))], [*names, *["pos"][: len(place)], "value"])
 
     return run
 
 
-def _run(records: DataFrame, keep: list[str], seq: str, k: int, m: int | None, distinct: bool, out: str) -> DataFrame:
+def _run(records: DataFrame, keep: list[str], seq: str, k: int, m: int | None, how: str, out: str) -> DataFrame:
     base = records.select(*[F.col(c) for c in keep], F.col(seq).cast("string").alias(seq))
     kinds = dict(base.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "value long"])
-    return base.mapInArrow(_kernel(keep, seq, k, m, distinct), schema).withColumnRenamed("value", out)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *([] if how == "distinct" else ["pos long"]), "value long"])
+    return base.mapInArrow(_kernel(keep, seq, k, m, how), schema).withColumnRenamed("value", out)
 
 
 def kmers(records: DataFrame, keep: list[str], k: int = 27, seq: str = "seq") -> DataFrame:
     """(keep..., kmer): every canonical k-mer, as often as it is there. Null and short sequences give none."""
     check_sizes(k)
-    return _run(records, keep, seq, k, None, False, "kmer")
+    return _run(records, keep, seq, k, None, "all", "kmer").drop("pos")
 
 
 def minimizers(records: DataFrame, keep: list[str], k: int = K, m: int = M, seq: str = "seq") -> DataFrame:
@@ -114,13 +122,27 @@ def minimizers(records: DataFrame, keep: list[str], k: int = K, m: int = M, seq:
     rest with partial aggregation. Null and short sequences give none.
     """
     check_sizes(k, m)
-    return _run(records, keep, seq, k, m, True, "minimizer").distinct()
+    return _run(records, keep, seq, k, m, "distinct", "minimizer").distinct()
+
+
+def placed_minimizers(records: DataFrame, keep: list[str], k: int = K, m: int = M, seq: str = "seq", runs: bool = False) -> DataFrame:
+    """(keep..., pos, minimizer) of each valid k-mer of a record, pos from 1; with runs without those
+    that repeat the one before, as written before any sort."""
+    check_sizes(k, m)
+    return _run(records, keep, seq, k, m, "runs" if runs else "all", "minimizer")
+
+
+def pieces(records: DataFrame, keep: list[str], k: int, seq: str = "seq", starts: int = 256) -> DataFrame:
+    """(keep..., pos, mer): the text of each run of k bases, pos from 1. Sequences go through short
+    windows, as a substring is found by counting from the start of its text."""
+    short = split_windows(records.where(F.length(seq) >= k).select(*keep, seq), k, seq, starts)
+    each = F.transform(F.sequence(F.lit(1), F.length(seq) - k + 1), lambda p: F.substring(F.col(seq), p, F.lit(k)))
+    return short.select(*keep, "window", F.posexplode(each).alias("at", "mer")).select(*keep, (F.col("window") * starts + F.col("at") + 1).alias("pos"), "mer")
 
 
 def hash_positions(records: DataFrame, keep: list[str], m: int, seq: str = "seq") -> DataFrame:
     """(keep..., pos, hash): the hash of the canonical m-mer at each place of clean fragments, with columns only."""
-    places = records.where(F.length(seq) >= m).select(*keep, seq, F.explode(F.sequence(F.lit(1), F.length(seq) - m + 1)).alias("pos"))
-    piece = places.select(*keep, "pos", F.substring(F.col(seq), F.col("pos"), F.lit(m)).alias("mer"))
+    piece = pieces(records, keep, m, seq)
     both = piece.select(*keep, "pos", dna.encode(F.col("mer"), m).alias("f"), dna.encode(dna.revcomp(F.col("mer")), m).alias("r"))
     return murmur(both.select(*keep, "pos", dna.canonical(F.col("f"), F.col("r")).alias("mer")), "mer", "hash").drop("mer")
 

@@ -53,8 +53,7 @@ def seq_fragments(spark, sf_dir):
 
 @query(f"WITH {sql.SEQ}, p AS (SELECT substr(seq, unnest(range(1, length(seq) - 6)), 8) AS kmer FROM seq WHERE length(seq) >= 8) SELECT kmer, " + " + ".join(f"(strpos('ACTG', substr(kmer, {i + 1}, 1)) - 1) * {4 ** (7 - i)}" for i in range(8)) + " AS code, count(*) AS cnt FROM p GROUP BY kmer")
 def kmer_encode(spark, sf_dir):
-    s = _sequences(spark, sf_dir).where(F.length("seq") >= 8)
-    p = s.select("seq", F.explode(F.sequence(F.lit(1), F.length("seq") - 7)).alias("p")).select(F.substring(F.col("seq"), F.col("p"), F.lit(8)).alias("kmer"))
+    p = extract.pieces(_sequences(spark, sf_dir), [], 8).withColumnRenamed("mer", "kmer")
     return p.groupBy("kmer").agg(F.count("*").alias("cnt")).select("kmer", dna.encode(F.col("kmer"), 8).alias("code"), "cnt")
 
 
@@ -143,14 +142,15 @@ def minimizers_set(spark, sf_dir):
     return extract.minimizers(_sequences(spark, sf_dir), [], K, M).select(b.hex16(F.col("minimizer")).alias("minimizer"))
 
 
-@query(f"WITH {_LEAST}, l AS (SELECT doc_id, pos, mn, lag(mn) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM least_hash) SELECT doc_id, pos::INT AS pos, {sql.hexed('mn')} AS minimizer FROM l WHERE before IS NULL OR before <> mn")
+@query(f"WITH {_LEAST}, l AS (SELECT doc_id, pos, mn, lag(mn) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM least_hash) SELECT doc_id, pos, {sql.hexed('mn')} AS minimizer FROM l WHERE before IS NULL OR before <> mn")
 def minimizer_runs(spark, sf_dir):
-    placed = extract.window_minimizers(_sequences(spark, sf_dir).select("doc_id", "seq"), ["doc_id"], K, M)
-    return extract.minimizer_runs(placed, ["doc_id"]).select("doc_id", "pos", b.hex16(F.col("minimizer")).alias("minimizer"))
+    placed = extract.placed_minimizers(_sequences(spark, sf_dir), ["doc_id"], K, M, runs=True)
+    return placed.select("doc_id", "pos", b.hex16(F.col("minimizer")).alias("minimizer"))
 
 
 @query(f"WITH {_LEAST} SELECT doc_id, count(*) AS n, {sql.hexed('min(mn)')} AS least, {sql.hexed('max(mn)')} AS greatest, {sql.hexed('bit_xor(mn)')} AS mixed FROM least_hash GROUP BY doc_id")
 def window_min(spark, sf_dir):
+    """By window functions alone; minimizer_runs is the kernel's way."""
     placed = extract.window_minimizers(_sequences(spark, sf_dir).select("doc_id", "seq"), ["doc_id"], K, M)
     key = b.unsigned_key(F.col("minimizer"))
     agg = placed.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(key).alias("a"), F.max(key).alias("z"), F.bit_xor("minimizer").alias("x"))
@@ -404,20 +404,26 @@ def merge_unequal(spark, sf_dir):
     return merge.merge_two_colored(left, _flag_rows(spark, sf_dir), n, 3).select("minimizer", _hex())
 
 
-_FINAL = f"""WITH {_behind(_FIRST, _SECOND, _MAX, _MAX)}, two AS (SELECT {_MAX}::INT AS one, 2 * {_MAX}::INT AS n),
+_HEAD, _TAIL = f"{_FULL} WHERE l_linenumber <= 3", f"{_FULL} WHERE l_linenumber > 3"
+_FINAL = f"""WITH {_behind(_HEAD, _TAIL, _MAX, _MAX)}, two AS (SELECT {_MAX}::INT AS one, 2 * {_MAX}::INT AS n),
     laid AS (SELECT cs.*, one, two.n AS total, {sql.layout('two.n', '(2 * ((one + 63) // 64))')} FROM cs, two)"""
 
 
+def _final(spark, sf_dir):
+    n = _n(spark, sf_dir)
+    li = _table(spark, sf_dir, "lineitem")
+    half = lambda x: colors.color_words(li.where(x).select(F.col("l_partkey").alias("minimizer"), F.col("l_suppkey").cast("int").alias("color")), n)
+    return merge.merge_final(half("l_linenumber <= 3"), half("l_linenumber > 3"), n, n)
+
+
 @query(f"{_FINAL} SELECT minimizer, {sql.WORDS_HEX} AS words FROM laid WHERE total <= 64 OR n_set > threshold")
 def merge_final_dense(spark, sf_dir):
-    left, n = _rows(spark, sf_dir, 1)
-    return merge.merge_final(left, _rows(spark, sf_dir, 2)[0], n, n)[0].select("minimizer", _hex())
+    return _final(spark, sf_dir)[0].select("minimizer", _hex())
 
 
 @query(f"{_FINAL}, few AS (SELECT minimizer, width, per_word, list_transform(colors, lambda c: (CASE WHEN c < one THEN c ELSE c - 64 * ((one + 63) // 64) + one END)::INT) AS colors FROM laid WHERE total > 64 AND n_set <= threshold), {sql.packed('few')} SELECT f.minimizer, {sql.joined()} AS colors, packed FROM few f JOIN packed USING (minimizer)")
 def merge_final_sparse(spark, sf_dir):
-    left, n = _rows(spark, sf_dir, 1)
-    return merge.merge_final(left, _rows(spark, sf_dir, 2)[0], n, n)[1].select("minimizer", _listed(F.col("colors")).alias("colors"), b.words_hex(F.col("packed")).alias("packed"))
+    return _final(spark, sf_dir)[1].select("minimizer", _listed(F.col("colors")).alias("colors"), b.words_hex(F.col("packed")).alias("packed"))
 
 
 # --- orders --------------------------------------------------------------------------------
