@@ -12,9 +12,12 @@ Conventions that hold in every operator of this subpackage:
 from __future__ import annotations
 
 import atexit
+import ctypes
+import ctypes.util
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 NULL_ID = -(1 << 63)
 WORD_SPACE = b" \t\n\x0b\x0c\r"
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
 def internal_id(name: str) -> Column:
@@ -71,3 +74,24 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 
 def code_points(text: bytes) -> int:
     return len(text) if text.isascii() else len(text.decode("utf-8", "replace"))
+
+
+def give_back() -> None:
+    """Freed memory to the operating system: a worker stays for later tasks, of other operators too."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    trim = getattr(ctypes.CDLL(libc), "malloc_trim", None) if libc else None
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run, giving memory back when its task ends."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task

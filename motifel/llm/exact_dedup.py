@@ -59,7 +59,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, d0..d3, n_bytes, row) of every text after lower-casing A-Z; written once."""
-    found = common.documents(docs).mapInArrow(_digests, "doc_id long, d0 long, d1 long, d2 long, d3 long, n_bytes long")
+    found = common.documents(docs).mapInArrow(common.tidy(_digests), "doc_id long, d0 long, d1 long, d2 long, d3 long, n_bytes long")
     return common.cut(found.withColumn("row", F.monotonically_increasing_id()), "digests")
 
 
@@ -72,12 +72,12 @@ def tree_merge(entries: DataFrame, keep: str = "smallest", radix: int = 8) -> Da
     slots = radix**rounds
     best = F.col("id").desc() if keep == "largest" else F.col("id")
     df = entries.select((F.spark_partition_id() % slots).alias("slot"), *RUN, F.col("doc_id").alias("id"), "row", F.lit(1).cast("long").alias("n"))
-    df = df.sortWithinPartitions(*RUN, best, "row").mapInArrow(_merge, _ENTRY)
+    df = df.sortWithinPartitions(*RUN, best, "row").mapInArrow(common.tidy(_merge), _ENTRY)
     for r in range(rounds):
         step = radix**r
         digit = F.pmod(F.shiftright("d0", 3 * r), F.lit(radix)).cast("int")
         moved = df.withColumn("slot", (F.col("slot") - F.expr(f"(slot div {step}) % {radix}") * step + digit * step).cast("int"))
-        df = moved.repartitionById(slots, F.col("slot")).sortWithinPartitions(*RUN, best, "row").mapInArrow(_merge, _ENTRY)
+        df = moved.repartitionById(slots, F.col("slot")).sortWithinPartitions(*RUN, best, "row").mapInArrow(common.tidy(_merge), _ENTRY)
     return df.drop("slot")
 
 

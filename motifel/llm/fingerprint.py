@@ -169,10 +169,10 @@ def fingerprints(docs: DataFrame, anchors: int = ANCHORS, buckets: int | None =
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = base.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000).alias("cuts")).first()["cuts"]
     bounds = np.unique(np.array(cuts or [], np.int64))
-    least = base.select("doc_id").mapInArrow(_least(bounds), "bucket int, least long").groupBy("bucket").agg(F.min("least").alias("least")).collect()
+    least = base.select("doc_id").mapInArrow(common.tidy(_least(bounds)), "bucket int, least long").groupBy("bucket").agg(F.min("least").alias("least")).collect()
     order = sorted((r["bucket"], r["least"]) for r in least)
     firsts = {first: order[i - 1][0] for i, (_, first) in enumerate(order)}  # for i = 0 the last bucket
-    dealt = base.mapInArrow(_deal(bounds, firsts), "bucket int, border int, doc_id long, text string")
+    dealt = base.mapInArrow(common.tidy(_deal(bounds, firsts)), "bucket int, border int, doc_id long, text string")
     ranged = dealt.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", "border", "doc_id", F.xxhash64("text"))
-    done = ranged.mapInArrow(_walk(anchors), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    done = ranged.mapInArrow(common.tidy(_walk(anchors)), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return done.withColumn("doc_id", common.public_id("doc_id"))

@@ -102,4 +102,4 @@ def extract_main_text(web: DataFrame, id_col: str = "page_id", url_col: str = "u
     common.bound_batches(web.sparkSession)
     base = web.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
     kind = dict(base.dtypes)["page_id"]
-    return base.mapInArrow(_extract(trained()), f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    return base.mapInArrow(common.tidy(_extract(trained())), f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

@@ -63,7 +63,7 @@ def _reassemble(min_chars: int):
 
 def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     """(doc_id, drops array<binary>): of each document that loses lines, the hashes of those."""
-    pairs = common.documents(docs).mapInArrow(_explode(min_chars), "h1 long, h2 long, doc_id long")
+    pairs = common.documents(docs).mapInArrow(common.tidy(_explode(min_chars)), "h1 long, h2 long, doc_id long")
     # (hash, document) pairs spread one hot line over all tasks; only then one row per hash and task moves.
     counted = pairs.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keep"))
     # A written table, so that the join below starts from two plain exchanges and Spark can split the partition of a hot line.
@@ -91,5 +91,5 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, carry: t
     joined = base.join(drops, F.col("doc_id") == F.col("drop_id"), "left").drop("drop_id")
     kind = dict(joined.dtypes)
     schema = ", ".join([f"{c} {kind[c]}" for c in joined.columns if c not in ("text", "drops")] + ["text string", "n_lines long", "n_dropped long"])
-    done = joined.mapInArrow(_reassemble(min_chars), schema)
+    done = joined.mapInArrow(common.tidy(_reassemble(min_chars)), schema)
     return done.select(common.public_id("doc_id").alias("doc_id"), "text", "n_lines", "n_dropped", *([F.col("carried")[c].alias(c) for c in carry]))

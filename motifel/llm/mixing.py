@@ -137,7 +137,7 @@ def mix(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[float,
     """
     spark = docs.sparkSession
     base = common.documents(docs, "source").select("doc_id", "text", F.col("source").cast("string").alias("source"))
-    sized = common.cut(base.mapInArrow(_sizes, "doc_id long, source string, size long").withColumn("row", F.monotonically_increasing_id()), "sizes")
+    sized = common.cut(base.mapInArrow(common.tidy(_sizes), "doc_id long, source string, size long").withColumn("row", F.monotonically_increasing_id()), "sizes")
     per_size = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
     totals = per_size.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("total"), F.sum("n").alias("docs"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("smallest")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
@@ -154,7 +154,7 @@ def mix(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[float,
     due = named(sized).join(F.broadcast(tilt), F.col("sid") == F.col("t_sid")).select("doc_id", "sid", "size", "row", rate.alias("rate"), F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = due.repartition(parts, "sid", "block").sortWithinPartitions("sid", "block", F.col("size").desc(), "doc_id", "row")
-    taken = dealt.mapInArrow(_diffuse(cap), "doc_id long, sid int, size long, copies long, row long")
+    taken = dealt.mapInArrow(common.tidy(_diffuse(cap)), "doc_id long, sid int, size long, copies long, row long")
     return taken.join(F.broadcast(dim), "sid").select(
         common.public_id("doc_id").alias("doc_id"), F.col("s_source").alias("source"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "row"
     )

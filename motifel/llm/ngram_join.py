@@ -396,15 +396,15 @@ def _linked(pairs: DataFrame, classes: DataFrame, base: DataFrame, n: int, rule:
     spark = base.sparkSession
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
     ids = ends.join(classes.select("node", "rep"), "node").select(F.col("rep").alias("id"))
-    chunks = ids.mapInArrow(_mark(FILTER_BITS), "chunk long, marks binary").groupBy("chunk").applyInArrow(_or, "chunk long, marks binary").collect()  # 1024 rows of 8 KB at most
+    chunks = ids.mapInArrow(common.tidy(_mark(FILTER_BITS)), "chunk long, marks binary").groupBy("chunk").applyInArrow(_or, "chunk long, marks binary").collect()  # 1024 rows of 8 KB at most
     table = bytearray(1 << (FILTER_BITS - 3))
     for r in chunks:
         table[r["chunk"] << 13 : (r["chunk"] + 1) << 13] = bytes(r["marks"])
     wanted = spark.sparkContext.broadcast(bytes(table))
-    sets = base.mapInArrow(_sets(n, wanted, FILTER_BITS), "node long, grams binary")
+    sets = base.mapInArrow(common.tidy(_sets(n, wanted, FILTER_BITS)), "node long, grams binary")
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
     full = left.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-    return common.cut(full.select("a", "b", "ga", "gb").mapInArrow(_verify(rule), "a long, b long").distinct(), "linked")
+    return common.cut(full.select("a", "b", "ga", "gb").mapInArrow(common.tidy(_verify(rule)), "a long, b long").distinct(), "linked")
 
 
 def _table(frequent: DataFrame) -> np.ndarray:
@@ -431,19 +431,19 @@ def ngram_groups(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (75,
     spark = docs.sparkSession
     rule = Rule(*threshold)
     base = common.documents(docs)
-    found = common.cut(base.mapInArrow(_survey(n), "doc_id long, n long, node long, sketch binary, slot int, docs long"), "survey")
+    found = common.cut(base.mapInArrow(common.tidy(_survey(n)), "doc_id long, n long, node long, sketch binary, slot int, docs long"), "survey")
     rows = found.where(F.col("slot").isNull())
     classes = common.cut(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     bits = max(1, min(22, (total // (2 * BUCKET_RECORDS)).bit_length()))
     level = spark.sparkContext.broadcast(_table(found.where(F.col("slot").isNotNull())))
-    lists = base.mapInArrow(_list_pieces(n, level, rule, bits), "bucket long, keys binary, nodes binary")
+    lists = base.mapInArrow(common.tidy(_list_pieces(n, level, rule, bits)), "bucket long, keys binary, nodes binary")
     met = common.cut(lists.groupBy("bucket").applyInArrow(_meet, "a long, b long, key long"), "met")
 
     sides = lambda df: (
         df.join(classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
         .join(classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-        .select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_close(rule), "a long, b long")
+        .select("a", "b", "na", "nb", "sa", "sb").mapInArrow(common.tidy(_close(rule)), "a long, b long")
     )
     short = sides(met.where(F.col("key").isNull()).select("a", "b").distinct())
 

@@ -31,7 +31,7 @@ MAX_TRAIN = 20_000
 TERMS, DIM, NONZERO, WINDOW = 1 << 14, 64, 6, 2
 """Hash buckets of each kind of term (the shapes of repeated words are the upper half), length and entries of index vectors, neighbours on each side."""
 PRIOR = 10
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 _SHAPE = [(re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), "a"), (re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"\d+"), "9")]
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -181,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, folds: i
     chosen = spark.createDataFrame(chosen.collect(), "l_id long, label int")  # max_train rows at most
     sample = common.documents(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "label")
     sample = common.cut(sample.repartition(8, F.xxhash64("doc_id")).sortWithinPartitions("doc_id", "text"), "quality-sample")
-    parts = sample.select("text").coalesce(8).mapInArrow(_contexts, "lexical binary, shape binary").collect()  # 8 rows of fixed size at most
+    parts = sample.select("text").coalesce(8).mapInArrow(common.tidy(_contexts), "lexical binary, shape binary").collect()  # 8 rows of fixed size at most
     vectors = []
     for seed, kind in ((1, "lexical"), (2, "shape")):
         total = sum((np.frombuffer(bytes(r[kind]), np.float32).reshape(TERMS, DIM).astype(np.float64) for r in parts), np.zeros((TERMS, DIM)))
@@ -189,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, folds: i
         own = index_vectors(seed)
         vectors.append((own / np.linalg.norm(own, axis=1, keepdims=True).clip(1) + total / np.maximum(size, 1e-9)).astype(np.float32))
     shared = spark.sparkContext.broadcast(vectors)
-    rows = sample.mapInArrow(_features(shared), "doc_id long, label int, x binary").collect()  # max_train rows of fixed size, but for repeated ids
+    rows = sample.mapInArrow(common.tidy(_features(shared)), "doc_id long, label int, x binary").collect()  # max_train rows of fixed size, but for repeated ids
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
     if not rows:  # nothing to learn from
         d = 2 * DIM
@@ -198,13 +198,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, folds: i
     return vectors, train(x, np.array([r["label"] for r in rows], np.float64))
 
 
-def _score(model):
+def _score(model, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
         vectors, net = model.value
         for b in batches:
             s = net.scores(pooled(common.as_bytes(b.column("text")), vectors, terms).astype(np.float64))
-            rest = [c for c in b.schema.names if c != "text" or "carried" in b.schema.names]
+            rest = [c for c in b.schema.names if keep_text or c != "text"]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(s)], [*rest, "score"])
 
     return run
@@ -220,11 +220,12 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_tra
     through, text among them if wished. An empty table gives an empty result.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_train, folds))  # of fixed size
-    base = common.documents(docs, *[c for c in carry if c != "text"])
-    if carry:
-        base = base.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried"))
+    keep_text, others = "text" in carry, [c for c in carry if c != "text"]
+    base = common.documents(docs, *others)
+    if others:
+        base = base.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in others]).alias("carried"))
     kind = dict(base.dtypes)
-    schema = ", ".join([f"{c} {kind[c]}" for c in base.columns if c != "text" or carry] + ["score double"])
+    schema = ", ".join([f"{c} {kind[c]}" for c in base.columns if keep_text or c != "text"] + ["score double"])
     held = (F.crc32(F.col("doc_id").cast("string")) % folds == 0).alias("held_out")
-    out = base.mapInArrow(_score(model), schema)
-    return out.select(common.public_id("doc_id").alias("doc_id"), held, "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *[F.col("carried")[c].alias(c) for c in carry])
+    out = base.mapInArrow(common.tidy(_score(model, keep_text)), schema)
+    return out.select(common.public_id("doc_id").alias("doc_id"), held, "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(["text"] if keep_text else []), *[F.col("carried")[c].alias(c) for c in others])

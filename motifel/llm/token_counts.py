@@ -37,7 +37,7 @@ _WS = "\t-\r \x85\xa0  -     　"
 _UNITS = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _SENTENCE = re.compile(f"[.!?]+[{_WS}]+|\n+")
 #: Different units that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 
 
 def _parts(unit: str) -> tuple[str, ...]:
@@ -145,4 +145,4 @@ def token_counts(docs: DataFrame, tokenizer: str, fields: tuple[str, ...] = ("te
     common.bound_batches(docs.sparkSession)
     base = docs.select(common.internal_id(id_col).alias("doc_id"), *[F.col(f"`{f}`").cast("string").alias(f"f{i}") for i, f in enumerate(fields)])
     schema = "doc_id long, n_tokens long, n_crossing long, field_sections array<int>, section_tokens array<int>"
-    return base.mapInArrow(_count(tokenizer, list(fields), list(split)), schema).withColumn("doc_id", common.public_id("doc_id"))
+    return base.mapInArrow(common.tidy(_count(tokenizer, list(fields), list(split))), schema).withColumn("doc_id", common.public_id("doc_id"))
