@@ -1,0 +1,339 @@
+"""Personal data: detected entities get keyed surrogates of their own type, shape and script.
+
+Detection finds secrets, mail addresses, IBANs, card and account numbers, social security
+numbers, IP addresses, phone numbers and persons (a title or a known given name, and a surname;
+in a document with a full name also its parts alone). An entity is known by its kind and its
+normal form, so that it has the same surrogate in every document and in every notation.
+
+A surrogate follows from a secret key, the entity and a number of tries alone. It keeps what makes
+the type: digits for digits, letters of the same script and case for letters, the separators of
+each mention, valid check digits where the entity has such, the gender of given names. Given names are
+permuted inside the list of their gender and script, so they stay distinct by themselves. For
+all other kinds distinctness is checked over the whole corpus: of entities that draw the same
+surrogate, or one that is itself an entity there, all but one draw again, until none do.
+
+Only entities that had to draw again are remembered; the others are computed where they stand.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import unicodedata
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from motifel.llm import common
+
+BROADCAST_ROWS = 200_000
+"""Redrawn entities that go to all workers at most; more are joined to the documents instead."""
+TRIES = 40
+"""From half of these on a surrogate may be a real entity of the corpus (a kind may have no free values left); never that of another."""
+
+# Given names by script and gender, and titles by gender.
+GIVEN = {
+    ("latin", "f"): "Alice Anna Barbara Camille Carmen Charlotte Christine Claire Dorothy Elena Elizabeth Emily Emma Francesca Hannah Helena Isabel Jennifer Jessica Julia Katharina Laura Linda Louise Margaret Maria Marie Martha Mary Monika Nathalie Olivia Patricia Sabine Sarah Sofia Susan Teresa Ursula Victoria".split(),
+    ("latin", "m"): "Alexander Andrew Antonio Carlos Charles Christian Daniel David Edward Fernando François Frank George Hans Heinrich Henry Jacques James Javier John Joseph Jürgen Klaus Luis Marc Martin Matthew Michael Miguel Nicolas Patrick Paul Peter Philippe Richard Robert Stefan Thomas William Wolfgang".split(),
+    ("cyrillic", "f"): "Анна Екатерина Елена Ирина Мария Наталья Ольга Светлана Татьяна Юлия".split(),
+    ("cyrillic", "m"): "Александр Алексей Андрей Владимир Дмитрий Иван Михаил Николай Павел Сергей".split(),
+    ("greek", "f"): "Αικατερίνη Άννα Βασιλική Γεωργία Ελένη Ιωάννα Κατερίνα Μαρία Σοφία Χριστίνα".split(),
+    ("greek", "m"): "Αλέξανδρος Ανδρέας Αντώνης Γιάννης Γιώργος Δημήτρης Κωνσταντίνος Νίκος Παναγιώτης Χρήστος".split(),
+}
+TITLES = "Mr Mrs Ms Miss Dr Prof Sir Madam Herr Frau Monsieur Madame Mme Mlle Señor Señora Sr Sra Srta Don Doña Господин Госпожа Κύριος Κυρία".split()
+#: Letters and syllables of surrogates.
+LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
+SYLLABLES = {"latin": "ba bel cor dan der fal gar hol kan lin mar nor pen ros sal tor ven wal zim bro".split(), "cyrillic": "ба бел вол гор дан зар кол лев мар нов пет ров сав том фед чер".split(), "greek": "αλ βα γε δη ζα θε κα λα μα νι πα ρα σι τα φι χρ".split()}
+
+_CAP = r"(?:[A-Z]|[À-ÖØ-Þ]|[Α-ΩΆΈ-Ώ]|[А-ЯЁ])"
+_NAME = rf"{_CAP}[^\W\d_]+(?:['’-][^\W\d_]+)*"
+PATTERNS = [
+    ("secret", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", re.S)),
+    ("secret", re.compile(r"(?i)\b(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd|auth)\w*\W{0,4}\s*[=:]\W{0,4}\s*[\"']?(?P<v>[^\s\"',;]{8,})")),
+    ("secret", re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,}|xox[abpr]-[A-Za-z0-9-]{10,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]+)")),
+    ("secret", re.compile(r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]*[A-Fa-f])(?=[0-9A-Fa-f]*\d)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])")),
+    ("email", re.compile(r"[\w.+-]*[\w+]@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}", re.A)),
+    ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", re.A)),
+    ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A)),
+    ("card", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])", re.A)),
+    ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)", re.A)),
+    ("ip6", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])", re.A)),
+    ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d{1,5}(?:[ .-]?\d{2,5}){1,5}|\(\d{2,5}\)[ .-]?\d{2,5}(?:[ .-]\d{2,5}){1,3}|\d{2,4}[.-]\d{3,4}[.-]\d{3,4})(?![\w])", re.A)),
+]
+_GIVEN = {n: k for k, names in GIVEN.items() for n in names}
+_PERSON = re.compile(rf"\b(?:(?P<title>{'|'.join(TITLES)})\b\.?\s(?P<t1>{_NAME})(?:\s(?P<t2>{_NAME}))?|(?P<given>{'|'.join(_GIVEN)})\s(?P<last>{_NAME}))")
+_DIGIT = re.compile(r"\d")
+_LETTERS_RUN = re.compile(r"[^\W\d_]+")
+_KNOWN = {*_GIVEN, *TITLES}
+
+
+def script(word: str) -> str:
+    name = unicodedata.name(word[:1], "")
+    return next((s for s in ("cyrillic", "greek") if name.startswith(s.upper())), "latin")
+
+
+def normal(kind: str, text: str) -> str:
+    if kind in ("email", "ip6", "surname"):
+        return text.lower()
+    if kind in ("card", "ssn", "iban"):
+        return re.sub(r"[ -]", "", text)
+    if kind == "phone":
+        return ("+" if text.startswith("+") else "") + "".join(_DIGIT.findall(text))
+    return text
+
+
+def persons(text: str) -> list[tuple[int, int, str, str]]:
+    """Parts of names: (start, end, "given" or "surname", normal form)."""
+    out, parts = [], {}
+    if _KNOWN.isdisjoint(_LETTERS_RUN.findall(text)):
+        return out
+    for m in _PERSON.finditer(text):
+        if m["title"]:
+            groups = [("given", "t1"), ("surname", "t2")] if m["t2"] and m["t1"] in _GIVEN else [("surname", "t1")] + ([("surname", "t2")] if m["t2"] else [])
+        else:
+            groups = [("given", "given"), ("surname", "last")]
+        for kind, g in groups:
+            out.append((m.start(g), m.end(g), kind, m[g] if kind == "given" else normal(kind, m[g])))
+            parts[m[g]] = kind
+    if parts:  # the same parts alone
+        taken = {s for s, *_ in out}
+        for m in re.finditer(rf"\b(?:{'|'.join(map(re.escape, sorted(parts, key=len, reverse=True)))})\b", text):
+            if m.start() not in taken:
+                kind = parts[m[0]]
+                out.append((m.start(), m.end(), kind, m[0] if kind == "given" else normal(kind, m[0])))
+    return out
+
+
+def detect(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, normal form) of all entities, in order and without overlaps; earlier patterns win."""
+    found: list[tuple[int, int, str, str]] = []
+    if _DIGIT.search(text) or "@" in text or "----" in text:
+        for kind, p in PATTERNS:
+            for m in p.finditer(text):
+                group = "v" if "v" in p.groupindex else 0
+                if kind == "phone" and not 8 <= sum(c.isdigit() for c in m[0]) <= 15:
+                    continue
+                if kind == "iban" and not _iban_valid(normal(kind, m[0])):
+                    continue
+                if kind == "secret" and group == "v" and not (_DIGIT.search(m["v"]) or len(m["v"]) >= 12):
+                    continue
+                found.append((*m.span(group), kind, normal(kind, m[group])))
+    found += persons(text)
+    out, busy = [], []
+    for f in found:
+        if all(f[1] <= a or f[0] >= b for a, b in busy):
+            busy.append(f[:2])
+            out.append(f)
+    return sorted(out)
+
+
+def _iban_valid(s: str) -> bool:
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def _luhn(digits: str) -> int:
+    """The sum that is 0 mod 10 for valid numbers."""
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10
+
+
+class Surrogates:
+    """Normal forms to the normal forms of their surrogates."""
+
+    def __init__(self, key: bytes):
+        self.key = key
+        self.orders = {g: sorted(names, key=lambda n: hashlib.blake2b(n.encode(), key=key[:64]).digest()) for g, names in GIVEN.items()}
+        self.next = {n: order[(i + 1) % len(order)] for order in self.orders.values() for i, n in enumerate(order)}
+
+    def numbers(self, *what: object) -> Iterator[int]:
+        """An endless stream of keyed numbers."""
+        k = 0
+        while True:
+            block = hashlib.blake2b("\0".join(map(str, (*what, k))).encode("utf-8", "surrogateescape"), key=self.key[:64]).digest()
+            for i in range(0, 64, 4):
+                yield int.from_bytes(block[i : i + 4], "big")
+            k += 1
+
+    def shaped(self, text: str, draw: Iterator[int]) -> str:
+        """Digits for digits, letters of the same script and case for letters; other signs stay."""
+        out = []
+        hexed = bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text)) and len(text) >= 16
+        for c in text:
+            if hexed:
+                d = "0123456789abcdef"[next(draw) % 16]
+                out.append(d.upper() if text.isupper() else d)
+            elif c.isdigit():
+                out.append(str(next(draw) % 10))
+            elif c.isalpha():
+                letters = LETTERS[script(c)]
+                d = letters[next(draw) % len(letters)]
+                out.append(d.upper() if c.isupper() else d)
+            else:
+                out.append(c)
+        return "".join(out)
+
+    def __call__(self, kind: str, norm: str, attempt: int = 0) -> str:
+        draw = self.numbers(kind, norm, attempt)
+        if kind == "given":
+            return self.next[norm]
+        if kind == "surname":
+            parts = SYLLABLES[script(norm)]
+            return "".join(parts[next(draw) % len(parts)] for _ in range(3 + next(draw) % 2))
+        if kind == "email":
+            local, domain = norm.rsplit("@", 1)
+            host = self.numbers("domain", domain)
+            first = self.shaped(domain.split(".")[0], host)
+            return f"{self.shaped(local, draw)}@{first}.example.{('com', 'org', 'net')[next(host) % 3]}"
+        if kind == "ip":
+            return ".".join(str(1 + next(draw) % 254) for _ in range(4))
+        if kind == "ip6":
+            return ":".join(f"{next(draw) % 65536:x}" for _ in range(8))
+        if kind == "phone":
+            keep = 0 if norm[0] != "+" else 2 if norm[1] == "1" else 3
+            rest = [str(next(draw) % 10) for _ in norm[keep:]]
+            rest[0] = str(2 + int(rest[0]) % 8)
+            return norm[:keep] + "".join(rest)
+        if kind == "card":
+            body = norm[0] + "".join(str(next(draw) % 10) for _ in norm[1:-1])
+            if _luhn(norm):
+                return next(body + str((d + next(draw)) % 10) for d in [next(draw)])
+            return next(body + str(d) for d in range(10) if _luhn(body + str(d)) == 0)
+        if kind == "iban":
+            body = self.shaped(norm[4:], draw)
+            rest = int("".join(str(int(c, 36)) for c in body + norm[:2] + "00")) % 97
+            return f"{norm[:2]}{98 - rest:02d}{body}"
+        if "-----" in norm:  # a key block: its lines keep their frame
+            return re.sub(r"(?<=-----\n).*?(?=\n-----)", lambda m: self.shaped(m[0], draw), norm, flags=re.S)
+        return self.shaped(norm, draw)
+
+
+def laid_out(kind: str, mention: str, surrogate: str) -> str:
+    """The surrogate in the notation of a mention: its separators, its case."""
+    if kind in ("card", "ssn", "iban", "phone"):
+        signs = iter(surrogate.lstrip("+"))
+        return "".join(next(signs) if c.isalnum() else c for c in mention)
+    if kind in ("surname", "given"):
+        return surrogate.upper() if mention.isupper() and len(mention) > 1 else surrogate[:1].upper() + surrogate[1:]
+    if kind in ("email", "ip6") and mention.isupper():
+        return surrogate.upper()
+    return surrogate
+
+
+@lru_cache(1)
+def _surrogates(key: bytes) -> Surrogates:
+    return Surrogates(key)
+
+
+def replaced(text: str, make: Surrogates, tries: dict[tuple[str, str], int]) -> tuple[str, list[tuple[int, int, str]]]:
+    """The text with surrogates, and (start, end, kind) of each in it."""
+    out, spans, at, length = [], [], 0, 0
+    for a, b, kind, norm in detect(text):
+        new = laid_out(kind, text[a:b], make(kind, norm, tries.get((kind, norm), 0)))
+        out += [text[at:a], new]
+        length += a - at
+        spans.append((length, length + len(new), kind))
+        length += len(new)
+        at = b
+    out.append(text[at:])
+    return "".join(out), spans
+
+
+def _texts(b: pa.RecordBatch) -> list[str]:
+    return [x.decode("utf-8", "replace") for x in common.as_bytes(b.column("text"))]
+
+
+def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = {(kind, norm) for t in _texts(b) for _, _, kind, norm in detect(t) if kind != "given"}
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([n for _, n in found], pa.string())], ["kind", "norm"])
+
+
+def _drawn(key: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = _surrogates(key)
+        for b in batches:
+            new = [make(k, n, t) for k, n, t in zip(b.column("kind").to_pylist(), b.column("norm").to_pylist(), b.column("attempt").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("kind", "norm", "attempt")), pa.array(new, pa.string())], ["kind", "norm", "attempt", "surrogate"])
+
+    return run
+
+
+def redrawn(entities: DataFrame, key: bytes) -> DataFrame:
+    """(kind, norm, attempt > 0) of the entities that have to draw again to stay distinct. Every entity's
+    table of surrogates is written between rounds; only those that clash draw again."""
+    schema = "kind string, norm string, attempt int, surrogate string"
+    draw = lambda df: df.mapInArrow(common.tidy(_drawn(key)), schema)
+    real = entities.select(F.col("kind").alias("rk"), F.col("norm").alias("real"))
+    state = common.cut(draw(entities.select("kind", "norm", F.lit(0).alias("attempt"))), "surrogates")
+    for k in range(1, TRIES + 1):
+        # Of those with one surrogate the one that drew least often keeps it: earlier winners are never moved.
+        first = state.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "norm")).alias("least")).where("n > 1").select(F.col("kind").alias("fk"), F.col("surrogate").alias("fs"), F.col("least.norm").alias("owner"))
+        twice = state.join(first, (F.col("kind") == F.col("fk")) & (F.col("surrogate") == F.col("fs"))).where(F.col("norm") != F.col("owner")).select("kind", "norm")
+        clash = twice
+        if k <= TRIES // 2:
+            clash = twice.union(state.join(real, (F.col("kind") == F.col("rk")) & (F.col("surrogate") == F.col("real"))).select("kind", "norm"))
+        clash = common.cut(clash.distinct().select(F.col("kind").alias("ck"), F.col("norm").alias("cn")), "clashes")
+        if clash.limit(1).count() == 0:
+            break
+        on = (F.col("kind") == F.col("ck")) & (F.col("norm") == F.col("cn"))
+        again = state.join(clash, on, "left_semi").select("kind", "norm", (F.col("attempt") + 1).alias("attempt"))
+        state = common.cut(state.join(clash, on, "left_anti").select("kind", "norm", "attempt", "surrogate").unionByName(draw(again)), "surrogates")
+    else:
+        raise ValueError("surrogates stay ambiguous; a kind has more entities than its form has values")
+    return state.where("attempt > 0").select("kind", "norm", "attempt")
+
+
+_OUT = "text string, n_entities int, spans array<struct<start:int,stop:int,kind:string>>"
+
+
+def _replace(key: bytes, shared):
+    kinds = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = _surrogates(key)
+        for b in batches:
+            own = b.column("tries").to_pylist() if shared is None else [None] * b.num_rows
+            done = []
+            for t, mine in zip(_texts(b), own, strict=True):
+                tries = shared.value if shared is not None else {(x["kind"], x["norm"]): x["attempt"] for x in mine or ()}
+                done.append(replaced(t, make, tries))
+            spans = [[{"start": s, "stop": e, "kind": k} for s, e, k in sp] for _, sp in done]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([t for t, _ in done], pa.string()), pa.array([len(s) for s in spans], pa.int32()), pa.array(spans, kinds)], ["doc_id", "text", "n_entities", "spans"])
+
+    return run
+
+
+def _mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = {(i, kind, norm) for i, t in zip(b.column("doc_id").to_pylist(), _texts(b), strict=True) for _, _, kind, norm in detect(t)}
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], ["id", "mk", "mn"])
+
+
+def surrogate_text(docs: DataFrame, key: bytes, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A row per document: doc_id, text with surrogates, n_entities, spans (start, stop, kind in the new text).
+
+    A null text is the empty one; texts without entities stay as they are. Rows that repeat an id
+    are each done, a null id stays null. One key gives the same surrogates in every run over the
+    same corpus; without it they cannot be told from the entities. An empty table gives an
+    empty result.
+    """
+    spark = docs.sparkSession
+    base = common.documents(docs)
+    entities = common.cut(base.mapInArrow(common.tidy(_entities), "kind string, norm string").distinct(), "entities")
+    again = common.cut(redrawn(entities, key), "redrawn")
+    if again.count() <= broadcast_rows:
+        shared = spark.sparkContext.broadcast({(r["kind"], r["norm"]): r["attempt"] for r in again.collect()})
+        todo = base
+    else:  # beyond the bound each document gets the tries of its own entities
+        shared = None
+        mentions = base.mapInArrow(common.tidy(_mentions), "id long, mk string, mn string")
+        own = mentions.join(again, (F.col("mk") == F.col("kind")) & (F.col("mn") == F.col("norm"))).groupBy("id").agg(F.collect_set(F.struct("kind", "norm", "attempt")).alias("tries"))
+        todo = base.join(own, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "tries")
+    done = todo.mapInArrow(common.tidy(_replace(key, shared)), f"doc_id long, {_OUT}")
+    return done.withColumn("doc_id", common.public_id("doc_id"))

@@ -13,6 +13,7 @@ from motifel.llm.line_dedup import line_dedup
 from motifel.llm.mixing import mix
 from motifel.llm.ngram_join import ngram_groups
 from motifel.llm.packing import pack
+from motifel.llm.pii import surrogate_text
 from motifel.llm.quality import classify
 from motifel.llm.token_counts import token_counts
 
@@ -33,6 +34,11 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Under a key of its own that protects nothing; a real run takes one from its secrets."""
+    return surrogate_text(_documents(spark, sf_dir), b"a key for tests and examples only")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup(_documents(spark, sf_dir), min_chars=20, min_docs=3)
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -59,7 +65,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_document_fingerprints, op3_source_mixing, op5_line_dedup, op6_ngram_jaccard_join, op7_best_fit_packing, op8_quality_classifier, op9_token_counts, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_document_fingerprints, op3_source_mixing, op4_pii_surrogates, op5_line_dedup, op6_ngram_jaccard_join, op7_best_fit_packing, op8_quality_classifier, op9_token_counts, op10_exact_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
