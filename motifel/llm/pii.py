@@ -66,6 +66,7 @@ PATTERNS = [
 _GIVEN = {n: k for k, names in GIVEN.items() for n in names}
 _PERSON = re.compile(rf"\b(?:(?P<title>{'|'.join(TITLES)})\b\.?\s(?P<t1>{_NAME})(?:\s(?P<t2>{_NAME}))?|(?P<given>{'|'.join(_GIVEN)})\s(?P<last>{_NAME}))")
 _DIGIT = re.compile(r"\d")
+_PREFIX = re.compile(r"(?:AKIA|gh[pousr]_|sk-|xox[abpr]-|eyJ)?")
 _LETTERS_RUN = re.compile(r"[^\W\d_]+")
 _KNOWN = {*_GIVEN, *TITLES}
 
@@ -163,7 +164,7 @@ class Surrogates:
     def shaped(self, text: str, draw: Iterator[int]) -> str:
         """Digits for digits, letters of the same script and case for letters; other signs stay."""
         out = []
-        hexed = bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text)) and len(text) >= 16
+        hexed = len(text) >= 16 and not text.isdigit() and bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text))
         for c in text:
             if hexed:
                 d = "0123456789abcdef"[next(draw) % 16]
@@ -210,7 +211,8 @@ class Surrogates:
             return f"{norm[:2]}{98 - rest:02d}{body}"
         if "-----" in norm:  # a key block: its lines keep their frame
             return re.sub(r"(?<=-----\n).*?(?=\n-----)", lambda m: self.shaped(m[0], draw), norm, flags=re.S)
-        return self.shaped(norm, draw)
+        kept = _PREFIX.match(norm).end()  # what tells the kind of a secret
+        return norm[:kept] + self.shaped(norm[kept:], draw)
 
 
 def laid_out(kind: str, mention: str, surrogate: str) -> str:
