@@ -64,6 +64,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    give_back()
     return spark.read.schema(df.schema).parquet(path)
 
 

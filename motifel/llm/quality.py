@@ -32,6 +32,8 @@ TERMS, DIM, NONZERO, WINDOW = 1 << 14, 64, 6, 2
 """Hash buckets of each kind of term (the shapes of repeated words are the upper half), length and entries of index vectors, neighbours on each side."""
 PRIOR = 10
 REMEMBERED = 100_000
+CHUNKS = 32
+"""Parts in which the sums of word vectors are added up."""
 _SHAPE = [(re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), "a"), (re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"\d+"), "9")]
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -86,7 +88,15 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 order = np.argsort(ids, kind="stable")
                 starts = np.flatnonzero(np.diff(ids[order], prepend=-1))
                 into[ids[order][starts]] += np.add.reduceat(near[order], starts, axis=0)
-    yield pa.RecordBatch.from_arrays([pa.array([t.tobytes()], pa.binary()) for t in total], ["lexical", "shape"])
+    for kind, t in enumerate(total):
+        parts = [p.tobytes() for p in np.split(t, CHUNKS)]
+        yield pa.RecordBatch.from_arrays([pa.array([kind] * CHUNKS, pa.int32()), pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], ["kind", "chunk", "sums"])
+
+
+def _added(t: pa.Table) -> pa.Table:
+    """The sum of a chunk over the tasks."""
+    sums = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in sorted(t.column("sums").to_pylist()))
+    return pa.table({"kind": t.column("kind").slice(0, 1), "chunk": t.column("chunk").slice(0, 1), "sums": pa.array([sums.astype(np.float32).tobytes()], pa.binary())})
 
 
 def pooled(texts: list[bytes], vectors: list[np.ndarray], terms: Terms) -> np.ndarray:
@@ -181,21 +191,28 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, folds: i
     chosen = spark.createDataFrame(chosen.collect(), "l_id long, label int")  # max_train rows at most
     sample = common.documents(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "label")
     sample = common.cut(sample.repartition(8, F.xxhash64("doc_id")).sortWithinPartitions("doc_id", "text"), "quality-sample")
-    parts = sample.select("text").coalesce(8).mapInArrow(common.tidy(_contexts), "lexical binary, shape binary").collect()  # 8 rows of fixed size at most
+    sums = "kind int, chunk int, sums binary"
+    parts = sample.select("text").coalesce(8).mapInArrow(common.tidy(_contexts), sums).groupBy("kind", "chunk").applyInArrow(_added, sums).toArrow().to_pylist()  # 2 * CHUNKS rows of fixed size
     vectors = []
-    for seed, kind in ((1, "lexical"), (2, "shape")):
-        total = sum((np.frombuffer(bytes(r[kind]), np.float32).reshape(TERMS, DIM).astype(np.float64) for r in parts), np.zeros((TERMS, DIM)))
+    for kind in (0, 1):
+        own = index_vectors(kind + 1)
+        total = np.zeros((TERMS, DIM), np.float32)
+        for r in parts:
+            if r["kind"] == kind:
+                np.split(total, CHUNKS)[r["chunk"]][:] = np.frombuffer(r["sums"], np.float32).reshape(-1, DIM)
         size = np.linalg.norm(total, axis=1, keepdims=True)
-        own = index_vectors(seed)
         vectors.append((own / np.linalg.norm(own, axis=1, keepdims=True).clip(1) + total / np.maximum(size, 1e-9)).astype(np.float32))
+    del parts
     shared = spark.sparkContext.broadcast(vectors)
-    rows = sample.mapInArrow(common.tidy(_features(shared)), "doc_id long, label int, x binary").collect()  # max_train rows of fixed size, but for repeated ids
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
-    if not rows:  # nothing to learn from
+    rows = sample.mapInArrow(common.tidy(_features(shared)), "doc_id long, label int, x binary").orderBy("doc_id", "x").toArrow()  # max_train rows of fixed size, but for repeated ids
+    if not rows.num_rows:  # nothing to learn from
         d = 2 * DIM
         return vectors, Network(np.zeros(d), np.ones(d), np.zeros((d, 1)), np.zeros(1), np.zeros(1), 0.0)
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float32).reshape(len(rows), -1).astype(np.float64)
-    return vectors, train(x, np.array([r["label"] for r in rows], np.float64))
+    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(rows.num_rows, -1)
+    net = train(x, rows.column("label").to_numpy().astype(np.float32))
+    del rows, x
+    common.give_back()
+    return vectors, net
 
 
 def _score(model, keep_text: bool):
@@ -203,7 +220,7 @@ def _score(model, keep_text: bool):
         terms = Terms()
         vectors, net = model.value
         for b in batches:
-            s = net.scores(pooled(common.as_bytes(b.column("text")), vectors, terms).astype(np.float64))
+            s = net.scores(pooled(common.as_bytes(b.column("text")), vectors, terms).astype(np.float64)).round(9)  # the last digits depend on the batch
             rest = [c for c in b.schema.names if keep_text or c != "text"]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(s)], [*rest, "score"])
 
