@@ -40,25 +40,18 @@ _SENTENCE = re.compile(f"[.!?]+[{_WS}]+|\n+")
 REMEMBERED = 400_000
 
 
-def _parts(unit: str) -> tuple[str, ...]:
-    """The tokenizer cuts between a letter or digit and a stop or comma."""
-    if len(unit) > 1 and unit[-1] in ".," and unit[-2].isascii() and unit[-2].isalnum():
-        return unit[:-1], unit[-1]
-    return (unit,)
-
-
 class Units(Memory):
     """Numbers of tokens of units, and offsets of those that are asked for."""
 
     def __init__(self, path: str):
-        super().__init__(path, str, len, _parts, REMEMBERED)
+        super().__init__(path, str, len, REMEMBERED)
         self.spans: dict[str, list[tuple[int, int]]] = {}
 
     def offsets(self, unit: str) -> list[tuple[int, int]]:
         if unit not in self.spans:
             if len(self.spans) > REMEMBERED // 4:
                 self.spans.clear()
-            self.spans[unit] = self.tokenizer.encode(unit, add_special_tokens=False).offsets
+            self.spans[unit] = self.bpe.tokenizer.encode(unit, add_special_tokens=False).offsets
         return self.spans[unit]
 
 
