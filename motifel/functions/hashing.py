@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from motifel.functions import dna
 from motifel.functions.bits import add64, bits, mul64, rotl, shr, xorshift
 
 #: Fixed values of MurmurHash3 x64 128 and of its finaliser.
@@ -80,3 +81,15 @@ def wang_inverse(df: DataFrame, key: str, out: str, n_bits: int) -> DataFrame:
             back = pow(step[0], -1, 1 << n_bits)
             df = df.withColumn(out, add64(F.col(out), bits(-step[1]))).withColumn(out, mul64(F.col(out), back).bitwiseAND(_masked(n_bits)))
     return df
+
+
+def kmer_to_hash(df: DataFrame, kmer: str, out: str, k: int) -> DataFrame:
+    """df with the invertible hash of the k-mers of a text column."""
+    code = "__kmer_code"
+    return wang(df.withColumn(code, dna.encode(F.col(kmer), k)), code, out, 2 * k).drop(code)
+
+
+def hash_to_kmer(df: DataFrame, hashed: str, out: str, k: int) -> DataFrame:
+    """The k-mers of such hashes."""
+    code = "__kmer_code"
+    return wang_inverse(df, hashed, code, 2 * k).withColumn(out, dna.decode(F.col(code), k)).drop(code)
