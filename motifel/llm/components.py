@@ -12,18 +12,17 @@ def components(links: DataFrame) -> DataFrame:
     """(v, comp): for each end of a link (a, b) the smallest id that links reach.
 
     Rounds of: take the smallest label among the neighbours, then the label of that label.
-    Every round is written to the shared folder, so none depends on the executors of the
-    one before, and the rounds end when no label changes.
+    The labels of every round are written to the shared folder, so none depends on the
+    executors of the one before, and the rounds end when no label changes.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where(F.col("a") != F.col("b")).distinct()
     both = common.cut(both, "links")
-    labels = common.cut(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
+    labels = both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("comp"))
     while True:
         seen = both.join(labels, F.col("b") == F.col("v")).groupBy(F.col("a").alias("w")).agg(F.min("comp").alias("near"))
-        hooked = common.cut(labels.join(seen, F.col("v") == F.col("w"), "left").select("v", "comp", F.least("comp", "near").alias("new")), "labels")
+        hooked = labels.join(seen, F.col("v") == F.col("w"), "left").select("v", "comp", F.least("comp", "near").alias("new"))
         up = hooked.select(F.col("v").alias("u"), F.col("new").alias("top"))
         jumped = common.cut(hooked.join(up, F.col("new") == F.col("u"), "left").select("v", F.col("comp").alias("old"), F.least("new", "top").alias("comp")), "labels")
-        done = jumped.where(F.col("old") != F.col("comp")).limit(1).count() == 0
         labels = jumped.select("v", "comp")
-        if done:
+        if jumped.where(F.col("old") != F.col("comp")).limit(1).count() == 0:
             return labels

@@ -469,6 +469,6 @@ def ngram_groups(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (75,
 
     named = classes.join(labels, F.col("node") == F.col("v"), "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     first = named.groupBy("comp").agg(F.min("rep").alias("first"))
-    place = common.cut(named.join(first, "comp").select(F.col("node").alias("of"), "first"), "classes-placed")
+    place = named.join(first, "comp").select(F.col("node").alias("of"), "first")
     done = rows.join(place, (F.col("node") == F.col("of")) & (F.col("n") > 0), "left")
     return done.select(common.public_id("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.coalesce("first", "doc_id") != common.NULL_ID, F.coalesce("first", "doc_id")).alias("component_id"))
