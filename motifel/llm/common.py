@@ -64,10 +64,23 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     give_back()
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that this process wrote by ``cut``: for when all results that read them are stored. Returns how many."""
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; nulls are empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

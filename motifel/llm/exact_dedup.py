@@ -63,10 +63,12 @@ def digests(docs: DataFrame) -> DataFrame:
     return common.cut(found.withColumn("row", F.monotonically_increasing_id()), "digests")
 
 
-def tree_merge(entries: DataFrame, keep: str = "smallest", radix: int = 8) -> DataFrame:
-    """(d0..d3, n_bytes, id, row, n): a row for each different text."""
-    runs = max(2, entries.rdd.getNumPartitions())
-    rounds = 1
+def tree_merge(entries: DataFrame, keep: str = "smallest", radix: int | None = None) -> DataFrame:
+    """(d0..d3, n_bytes, id, row, n): a row for each different text. radix: runs that meet in a slot;
+    a power of two, 8, or 64 for more than 512 runs, unless given."""
+    runs = max(2, 1 + (entries.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] or 0))
+    radix = radix or (8 if runs <= 512 else 64)
+    width, rounds = (radix - 1).bit_length(), 1
     while radix**rounds < runs:
         rounds += 1
     slots = radix**rounds
@@ -75,13 +77,13 @@ def tree_merge(entries: DataFrame, keep: str = "smallest", radix: int = 8) -> Da
     df = df.sortWithinPartitions(*RUN, best, "row").mapInArrow(common.tidy(_merge), _ENTRY)
     for r in range(rounds):
         step = radix**r
-        digit = F.pmod(F.shiftright("d0", 3 * r), F.lit(radix)).cast("int")
+        digit = F.pmod(F.shiftrightunsigned("d0", width * r), F.lit(radix)).cast("int")
         moved = df.withColumn("slot", (F.col("slot") - F.expr(f"(slot div {step}) % {radix}") * step + digit * step).cast("int"))
         df = moved.repartitionById(slots, F.col("slot")).sortWithinPartitions(*RUN, best, "row").mapInArrow(common.tidy(_merge), _ENTRY)
     return df.drop("slot")
 
 
-def exact_dedup(docs: DataFrame, keep: str = "smallest", radix: int = 8) -> DataFrame:
+def exact_dedup(docs: DataFrame, keep: str = "smallest", radix: int | None = None) -> DataFrame:
     """A row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal if identical after lower-casing A-Z. Of equal texts the row with the

@@ -167,7 +167,7 @@ def fingerprints(docs: DataFrame, anchors: int = ANCHORS, buckets: int | None =
     spark = docs.sparkSession
     base = common.documents(docs)
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = base.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000).alias("cuts")).first()["cuts"]
+    cuts = base.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n)).alias("cuts")).first()["cuts"]
     bounds = np.unique(np.array(cuts or [], np.int64))
     least = base.select("doc_id").mapInArrow(common.tidy(_least(bounds)), "bucket int, least long").groupBy("bucket").agg(F.min("least").alias("least")).collect()
     order = sorted((r["bucket"], r["least"]) for r in least)
