@@ -9,6 +9,7 @@ bars, reader comments and footers in any order and number. ``data-main`` marks w
 from __future__ import annotations
 
 import random
+import re
 
 _PARTS = "ba ce di fo gu la me ni ro su ta ve xi za chor stin tion ment able er ing ed ou ré ön ía ß qua pre sta".split()
 
@@ -168,5 +169,16 @@ class Writer:
         return f"<!DOCTYPE html><html>{head}<body>{gap.join(body)}{end}"
 
 
-def pages(n: int, seed: int = 11) -> list[str]:
-    return [Writer(seed * 1_000_003 + i).page() for i in range(n)]
+_TELLING = re.compile(r' (?:class|id|role)="[^"]*"')
+_SECTIONS = re.compile(r"<(/?)(?:article|main|section|nav|header|footer|aside)\b")
+
+
+def silent(page: str, i: int) -> str:
+    """The page without attributes that tell what a part is for; every other one with div for every section."""
+    page = _TELLING.sub("", page)
+    return _SECTIONS.sub(r"<\1div", page) if i % 2 else page
+
+
+def pages(n: int, seed: int = 11, telling: bool = True) -> list[str]:
+    made = [Writer(seed * 1_000_003 + i).page() for i in range(n)]
+    return made if telling else [silent(p, i) for i, p in enumerate(made)]

@@ -5,7 +5,7 @@ import re
 import pytest
 
 from motifel.llm import html_extract as hx
-from motifel.llm.dom import Page, decode, features
+from motifel.llm.dom import Page, decode
 from motifel.llm.html_pages import pages
 
 SCHEMA = "page_id long, url string, html string, text string, n_chars string"
@@ -16,16 +16,16 @@ def model():
     return hx.trained()
 
 
-def test_held_out_pages(model):
+@pytest.mark.parametrize("telling,least", [(True, 0.98), (False, 0.85)])
+def test_held_out_pages(model, telling, least):
     right = wrong = missed = 0
-    for h in pages(200, seed=1234):
-        p = Page(h)
-        y, kept = hx.labels(p), decode(p.parents, model.probabilities(features(p)))
-        for t, a, b in zip(p.texts, y, kept, strict=True):
+    made = [Page(h) for h in pages(200, 1234, telling)]
+    for p, kept in zip(made, hx.kept_nodes(made, model), strict=True):
+        for t, a, b in zip(p.texts, hx.labels(p), kept, strict=True):
             right += len(t) * bool(a and b)
             wrong += len(t) * bool(b and not a)
             missed += len(t) * bool(a and not b)
-    assert right / (right + wrong) > 0.98 and right / (right + missed) > 0.98
+    assert right / (right + wrong) > least and right / (right + missed) > least
 
 
 def test_decoding_is_the_best_consistent_choice():
