@@ -2,8 +2,7 @@
 
 The trees give for each node the probability that its subtree holds main text. They learn from
 ``TRAIN_PAGES`` generated pages (html_pages), a fixed number, in the driver; the model is small
-and goes to the workers with the task. Pages whose attributes tell nothing have trees of their
-own, which learn from such pages. Decisions are decoded for the page as a whole (dom.decode),
+and goes to the workers with the task. Decisions are decoded for the page as a whole (dom.decode),
 so no node is kept below one that is not.
 """
 
@@ -43,8 +42,9 @@ def labels(page: Page) -> np.ndarray:
     return y
 
 
-def _learnt(n_pages: int, seed: int, telling: bool) -> Trees:
-    made = [Page(h) for h in pages(n_pages, seed, telling)]
+@lru_cache(2)
+def trained(n_pages: int = TRAIN_PAGES, seed: int = 11) -> Trees:
+    made = [Page(h) for h in pages(n_pages, seed)]
     x = np.concatenate([features(p) for p in made]).astype(np.float64)
     y = np.concatenate([labels(p) for p in made])
     # Each page counts alike, not by its number of nodes.
@@ -52,32 +52,21 @@ def _learnt(n_pages: int, seed: int, telling: bool) -> Trees:
     return boost(x, y, weight=weight)
 
 
-@lru_cache(2)
-def trained(n_pages: int = TRAIN_PAGES, seed: int = 11) -> tuple[Trees, Trees]:
-    """Trees for pages with telling attributes, and for those without."""
-    return _learnt(n_pages, seed, True), _learnt(n_pages, seed, False)
-
-
-def kept_nodes(waiting: list[Page], model: tuple[Trees, Trees]) -> list[np.ndarray]:
-    """Of each page which nodes are kept."""
-    out: list[np.ndarray] = [np.zeros(0, bool)] * len(waiting)
-    for silent, trees in enumerate(model):
-        own = [i for i, page in enumerate(waiting) if (not any(page.words)) == bool(silent)]
-        if own:
-            p = trees.probabilities(np.concatenate([features(waiting[i]) for i in own]))
-            for i, part in zip(own, np.split(p, np.cumsum([len(waiting[i].tags) for i in own])[:-1]), strict=True):
-                out[i] = decode(waiting[i].parents, part)
-    return out
-
-
-def main_texts(sources: list[str], model: tuple[Trees, Trees]) -> list[str]:
+def main_texts(sources: list[str], model: Trees) -> list[str]:
     """The text of the kept leaves of each page, in page order, joined by \\n."""
     out: list[str] = []
     waiting: list[Page] = []
 
     def settle() -> None:
-        for page, kept in zip(waiting, kept_nodes(waiting, model), strict=True):
+        if not waiting:
+            return
+        p = model.probabilities(np.concatenate([features(x) for x in waiting]))
+        at = 0
+        for page in waiting:
+            n = len(page.tags)
+            kept = decode(page.parents, p[at : at + n])
             out.append("\n".join(t for t, k in zip(page.texts, kept.tolist(), strict=True) if k and t))
+            at += n
         waiting.clear()
 
     nodes = 0
@@ -91,7 +80,7 @@ def main_texts(sources: list[str], model: tuple[Trees, Trees]) -> list[str]:
     return out
 
 
-def _extract(model: tuple[Trees, Trees]):
+def _extract(model: Trees):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = main_texts([x or "" for x in b.column("html").to_pylist()], model)
