@@ -170,9 +170,11 @@ def kmer_counts(found: DataFrame) -> DataFrame:
 def kmer_stats(records: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     """One row: n_sequences, n_kmers, n_unique, n_invalid (characters that are no base) over all records."""
     text = dna.clean(F.col(seq))
-    sizes = records.agg(F.count(seq).alias("n_sequences"), F.coalesce(F.sum(F.length(text) - F.length(F.regexp_replace(text, "[^ACGT]", ""))), F.lit(0)).alias("n_invalid"))
-    counts = kmer_counts(kmers(records, [], k, seq)).agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("n_kmers"), F.count("*").alias("n_unique"))
-    return sizes.crossJoin(F.broadcast(counts)).select("n_sequences", "n_kmers", "n_unique", "n_invalid")  # one row each
+    zero = F.lit(0).cast("long")
+    sizes = records.agg(F.count(seq).alias("n_sequences"), zero.alias("n_kmers"), zero.alias("n_unique"), F.coalesce(F.sum(F.length(text) - F.length(F.regexp_replace(text, "[^ACGT]", ""))), zero).alias("n_invalid"))
+    counts = kmer_counts(kmers(records, [], k, seq)).agg(zero.alias("n_sequences"), F.coalesce(F.sum("cnt"), zero).alias("n_kmers"), F.count("*").alias("n_unique"), zero.alias("n_invalid"))
+    names = ["n_sequences", "n_kmers", "n_unique", "n_invalid"]
+    return sizes.unionByName(counts).agg(*[F.sum(c).alias(c) for c in names])  # of one row each
 
 
 def sorted_unsigned(df: DataFrame, column: str) -> DataFrame:
