@@ -31,6 +31,8 @@ MAX_TRAIN = 20_000
 TERMS, DIM, NONZERO, WINDOW = 1 << 14, 64, 6, 2
 """Hash buckets of each kind of term (the shapes of repeated words are the upper half), length and entries of index vectors, neighbours on each side."""
 PRIOR = 10
+MIN_STEPS = 2000
+"""Steps of the network's training at least, for small samples."""
 REMEMBERED = 100_000
 CHUNKS = 32
 """Parts in which the sums of word vectors are added up."""
@@ -155,8 +157,9 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 40, seed
     params = [net.w1, net.b1, net.w2, np.zeros(1)]
     m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     z = net.inputs(x)
-    for _ in range(epochs):
-        for part in np.array_split(rng.permutation(own), max(1, len(own) // 128)):
+    batches = max(1, len(own) // 128)
+    for _ in range(max(epochs, -(-MIN_STEPS // batches))):
+        for part in np.array_split(rng.permutation(own), batches):
             h = np.tanh(z[part] @ params[0] + params[1])
             p = 1 / (1 + np.exp(-np.clip(h @ params[2] + params[3], -40, 40)))
             g = (p - y[part]) / len(part)
