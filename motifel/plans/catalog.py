@@ -572,15 +572,9 @@ def by_color_roundtrip(spark, sf_dir):
     return back.groupBy("color").agg(F.count("*").alias("n"), F.min("minimizer").alias("first_one"), F.max("minimizer").alias("last_one"))
 
 
-@query("""WITH v AS (SELECT unnest(range(256)) AS v), p AS (SELECT v, unnest(range(8)) AS i FROM v), m AS (SELECT v AS color, (v::UHUGEINT << (8 * i)) AS x FROM p UNION SELECT v, 0 FROM v),
+@query("""WITH v AS (SELECT unnest(range(256)) AS v), p AS (SELECT v, unnest(range(8)) AS i FROM v), m AS (SELECT v AS color, v::HUGEINT * (256::HUGEINT ** i)::HUGEINT AS x FROM p UNION SELECT v, 0 FROM v),
     k AS (SELECT x, count(DISTINCT color)::INT AS n_colors FROM m GROUP BY x) SELECT n_colors, count(*) AS occurrences FROM k GROUP BY 1""")
 def generated_merge(spark, sf_dir):
     """The 256 generated sets merged: how many minimizers have how many colors."""
     rows = colors.color_words(generated_sets(spark, 256), 256)
     return stats.color_histogram(rows).select("n_colors", "occurrences")
-
-
-@query(f"WITH {sql.SEQ}, p AS (SELECT DISTINCT substr(seq, unnest(range(1, length(seq) - 11)), 12) AS kmer FROM seq WHERE length(seq) >= 12) SELECT kmer, kmer AS back FROM p")
-def kmer_hash_roundtrip(spark, sf_dir):
-    p = extract.pieces(_sequences(spark, sf_dir), [], 12).select(F.col("mer").alias("kmer")).distinct()
-    return hashing.hash_to_kmer(hashing.kmer_to_hash(p, "kmer", "h", 12), "h", "back", 12).select("kmer", "back")
