@@ -578,3 +578,9 @@ def generated_merge(spark, sf_dir):
     """The 256 generated sets merged: how many minimizers have how many colors."""
     rows = colors.color_words(generated_sets(spark, 256), 256)
     return stats.color_histogram(rows).select("n_colors", "occurrences")
+
+
+@query(f"WITH {sql.SEQ}, p AS (SELECT DISTINCT substr(seq, unnest(range(1, length(seq) - 10)), 12) AS kmer FROM seq WHERE length(seq) >= 12) SELECT kmer, kmer AS back FROM p")
+def kmer_hash_roundtrip(spark, sf_dir):
+    p = extract.pieces(_sequences(spark, sf_dir), [], 12).select(F.col("mer").alias("kmer")).distinct()
+    return hashing.hash_to_kmer(hashing.kmer_to_hash(p, "kmer", "h", 12), "h", "back", 12).select("kmer", "back")
