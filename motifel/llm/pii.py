@@ -10,7 +10,9 @@ the type: digits for digits, letters of the same script and case for letters, th
 each mention, valid check digits where the entity has such, the gender of given names. Given names are
 permuted inside the list of their gender and script, so they stay distinct by themselves. For
 all other kinds distinctness is checked over the whole corpus: of entities that draw the same
-surrogate, or one that is itself an entity there, all but one draw again, until none do.
+surrogate, or one that is itself an entity there, all but one draw again. Surrogates without a fixed
+length (surnames, mail addresses, secrets) get longer with each second try, so their values never run
+out. What is left of the others after ``TRIES`` rounds gets the free values of its form one by one.
 
 Only entities that had to draw again are remembered; the others are computed where they stand.
 """
@@ -18,6 +20,7 @@ Only entities that had to draw again are remembered; the others are computed whe
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -32,7 +35,9 @@ from motifel.llm import common
 BROADCAST_ROWS = 200_000
 """Redrawn entities that go to all workers at most; more are joined to the documents instead."""
 TRIES = 40
-"""From half of these on a surrogate may be a real entity of the corpus (a kind may have no free values left); never that of another."""
+"""Rounds of random draws. From half of these on a surrogate may be a real entity of the corpus (a form may have no free values left); never that of another, nor the entity itself. Clashes that remain are settled exactly."""
+GROWING = ("surname", "email", "secret")
+"""Kinds whose surrogates may be longer than the entity."""
 
 # Given names by script and gender, and titles by gender.
 GIVEN = {
@@ -67,6 +72,7 @@ _GIVEN = {n: k for k, names in GIVEN.items() for n in names}
 _PERSON = re.compile(rf"\b(?:(?P<title>{'|'.join(TITLES)})\b\.?\s(?P<t1>{_NAME})(?:\s(?P<t2>{_NAME}))?|(?P<given>{'|'.join(_GIVEN)})\s(?P<last>{_NAME}))")
 _DIGIT = re.compile(r"\d")
 _PREFIX = re.compile(r"(?:AKIA|gh[pousr]_|sk-|xox[abpr]-|eyJ)?")
+_BLOCK = re.compile(r"(-----BEGIN .*?KEY-----\s*)(.*?)(\s*-----END .*)", re.S)
 _LETTERS_RUN = re.compile(r"[^\W\d_]+")
 _KNOWN = {*_GIVEN, *TITLES}
 
@@ -144,6 +150,42 @@ def _luhn(digits: str) -> int:
     return total % 10
 
 
+def _iban(country: str, body: str) -> str:
+    rest = int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+    return f"{country}{98 - rest:02d}{body}"
+
+
+def _kept(phone: str) -> int:
+    return 0 if phone[0] != "+" else 2 if phone[1] == "1" else 3
+
+
+def form(kind: str, norm: str) -> str:
+    """What an entity of no growing kind shares with its surrogate, and with no entity of another form."""
+    if kind == "phone":
+        return norm[: _kept(norm)] + "0" * (len(norm) - _kept(norm))
+    if kind == "card":
+        return f"{norm[0]}{len(norm)}{_luhn(norm) == 0}"
+    if kind == "iban":
+        return norm[:2] + re.sub("[A-Z]", "A", _DIGIT.sub("0", norm[4:]))
+    return kind
+
+
+def _places(kind: str, norm: str) -> list:
+    """The values of each place of a surrogate that can be chosen."""
+    digits = "0123456789"
+    if kind == "phone":
+        return [digits] * (len(norm) - _kept(norm))
+    if kind == "card":
+        return [digits] * (len(norm) - 2) + ([range(9)] if _luhn(norm) else [])
+    if kind == "iban":
+        return [digits if c.isdigit() else LETTERS["latin"].upper() for c in norm[4:]]
+    return {"ip": [range(1, 255)] * 4, "ip6": [range(65536)] * 8, "ssn": [digits] * 9}[kind]
+
+
+def size(kind: str, norm: str) -> int:
+    return math.prod(map(len, _places(kind, norm)))
+
+
 class Surrogates:
     """Normal forms to the normal forms of their surrogates."""
 
@@ -179,40 +221,66 @@ class Surrogates:
                 out.append(c)
         return "".join(out)
 
+    def valued(self, kind: str, norm: str, index: int) -> str:
+        """The value with a number among those of the form of an entity; different ones for different numbers below ``size``."""
+        signs = []
+        for place in _places(kind, norm):
+            index, r = divmod(index, len(place))
+            signs.append(str(place[r]))
+        if kind in ("ip", "ip6"):
+            return ".".join(signs) if kind == "ip" else ":".join(f"{int(x):x}" for x in signs)
+        body = "".join(signs)
+        if kind == "phone":
+            return norm[: _kept(norm)] + body
+        if kind == "card":
+            body, last = norm[0] + body[: len(norm) - 2], int(body[len(norm) - 2 :] or 0)
+            return body + [str(d) for d in range(10) if (_luhn(body + str(d)) == 0) == (_luhn(norm) == 0)][last]
+        return _iban(norm[:2], body) if kind == "iban" else body
+
+    def free(self, kind: str, norm: str) -> Iterator[int]:
+        """All numbers of values of a form in a keyed order."""
+        n, draw = size(kind, norm), self.numbers("free", kind, form(kind, norm))
+        start, step = (next(draw) << 32 | next(draw)) % n, next(draw) << 32 | next(draw)
+        while math.gcd(step, n) != 1:
+            step += 1
+        return ((start + i * step) % n for i in range(n))
+
     def __call__(self, kind: str, norm: str, attempt: int = 0) -> str:
+        """The surrogate of a try; a try below 0 is the value with the number -1 - try."""
+        if attempt < 0:
+            return self.valued(kind, norm, -1 - attempt)
         draw = self.numbers(kind, norm, attempt)
         if kind == "given":
             return self.next[norm]
         if kind == "surname":
             parts = SYLLABLES[script(norm)]
-            return "".join(parts[next(draw) % len(parts)] for _ in range(3 + next(draw) % 2))
+            return "".join(parts[next(draw) % len(parts)] for _ in range(3 + next(draw) % 2 + attempt // 2))
         if kind == "email":
             local, domain = norm.rsplit("@", 1)
             host = self.numbers("domain", domain)
             first = self.shaped(domain.split(".")[0], host)
-            return f"{self.shaped(local, draw)}@{first}.example.{('com', 'org', 'net')[next(host) % 3]}"
+            return f"{self.shaped(local, draw)}{self.shaped('a' * (attempt // 2), draw)}@{first}.example.{('com', 'org', 'net')[next(host) % 3]}"
         if kind == "ip":
             return ".".join(str(1 + next(draw) % 254) for _ in range(4))
         if kind == "ip6":
             return ":".join(f"{next(draw) % 65536:x}" for _ in range(8))
         if kind == "phone":
-            keep = 0 if norm[0] != "+" else 2 if norm[1] == "1" else 3
+            keep = _kept(norm)
             rest = [str(next(draw) % 10) for _ in norm[keep:]]
             rest[0] = str(2 + int(rest[0]) % 8)
             return norm[:keep] + "".join(rest)
         if kind == "card":
             body = norm[0] + "".join(str(next(draw) % 10) for _ in norm[1:-1])
             if _luhn(norm):
-                return next(body + str((d + next(draw)) % 10) for d in [next(draw)])
+                return body + [str(d) for d in range(10) if _luhn(body + str(d))][next(draw) % 9]
             return next(body + str(d) for d in range(10) if _luhn(body + str(d)) == 0)
         if kind == "iban":
-            body = self.shaped(norm[4:], draw)
-            rest = int("".join(str(int(c, 36)) for c in body + norm[:2] + "00")) % 97
-            return f"{norm[:2]}{98 - rest:02d}{body}"
-        if "-----" in norm:  # a key block: its lines keep their frame
-            return re.sub(r"(?<=-----\n).*?(?=\n-----)", lambda m: self.shaped(m[0], draw), norm, flags=re.S)
+            return _iban(norm[:2], self.shaped(norm[4:], draw))
+        more = "a" * (attempt // 2)
+        if block := _BLOCK.fullmatch(norm):  # a key block: its lines keep their frame
+            return block[1] + self.shaped(block[2], draw) + self.shaped(more, draw) + block[3]
         kept = _PREFIX.match(norm).end()  # what tells the kind of a secret
-        return norm[:kept] + self.shaped(norm[kept:], draw)
+        return norm[:kept] + self.shaped(norm[kept:], draw) + self.shaped(more, draw)
 
 
 def laid_out(kind: str, mention: str, surrogate: str) -> str:
@@ -266,29 +334,87 @@ def _drawn(key: bytes):
     return run
 
 
+def _formed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        forms = [None if k in GROWING else form(k, n) for k, n in zip(b.column("kind").to_pylist(), b.column("norm").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names), pa.array(forms, pa.string())], [*b.schema.names, "form"])
+
+
+def settled(norms: list[str], kind: str, olds: list[str], left: list[bool], make: Surrogates) -> dict[str, int]:
+    """For all entities of a form: the tries (below 0) of those that are left, and of such as change places
+    with one of them. A value that is no entity is taken while there is one."""
+    taken = {s for s, out in zip(olds, left, strict=True) if not out}
+    open_ = sorted(n for n, out in zip(norms, left, strict=True) if out)
+    found: list[tuple[int, str]] = []
+    for real in (set(norms), set()):
+        if len(found) < len(open_):
+            for i in make.free(kind, norms[0]):
+                value = make.valued(kind, norms[0], i)
+                if value not in taken and value not in real:
+                    taken.add(value)
+                    found.append((i, value))
+                    if len(found) == len(open_):
+                        break
+    if len(found) < len(open_):
+        raise ValueError(f"{kind}: {len(norms)} entities of a form that has {size(kind, norms[0])} values")
+    given = dict(zip(open_, found, strict=True))
+    for n in open_:
+        if given[n][1] == n:  # itself: changes places with any other
+            other = next((m for m in open_ if m != n), None)
+            if other is None:
+                other, old = next((m, s) for m, s in zip(norms, olds, strict=True) if m != n)
+                given[other] = (next(i for i in make.free(kind, n) if make.valued(kind, n, i) == old), old)
+            given[n], given[other] = given[other], given[n]
+    return {n: -1 - i for n, (i, _) in given.items()}
+
+
+def _settle(key: bytes):
+    def run(t: pa.Table) -> pa.Table:
+        norms, kind, olds, tries = t.column("norm").to_pylist(), t.column("kind")[0].as_py(), t.column("surrogate").to_pylist(), t.column("attempt").to_pylist()
+        make = _surrogates(key)
+        new = settled(norms, kind, olds, t.column("left").to_pylist(), make)
+        tries = [new.get(n, a) for n, a in zip(norms, tries, strict=True)]
+        return pa.table({"kind": t.column("kind"), "norm": t.column("norm"), "attempt": pa.array(tries, pa.int64()), "surrogate": pa.array([make.valued(kind, n, -1 - a) if a < 0 else s for n, a, s in zip(norms, tries, olds, strict=True)], pa.string())})
+
+    return run
+
+
 def redrawn(entities: DataFrame, key: bytes) -> DataFrame:
-    """(kind, norm, attempt > 0) of the entities that have to draw again to stay distinct. Every entity's
-    table of surrogates is written between rounds; only those that clash draw again."""
-    schema = "kind string, norm string, attempt int, surrogate string"
+    """(kind, norm, attempt other than 0) of the entities that have to draw again to stay distinct. Every entity's
+    table of surrogates is written between rounds; only those that clash draw again. An attempt below 0
+    names a value of the entity's form (see ``settled``): such entities, left after all rounds, are only
+    in forms that are nearly full, which meet in a task each."""
+    schema = "kind string, norm string, attempt long, surrogate string"
     draw = lambda df: df.mapInArrow(common.tidy(_drawn(key)), schema)
     real = entities.select(F.col("kind").alias("rk"), F.col("norm").alias("real"))
-    state = common.cut(draw(entities.select("kind", "norm", F.lit(0).alias("attempt"))), "surrogates")
-    for k in range(1, TRIES + 1):
+    state = common.cut(draw(entities.select("kind", "norm", F.lit(0).cast("long").alias("attempt"))), "surrogates")
+    on = (F.col("kind") == F.col("ck")) & (F.col("norm") == F.col("cn"))
+
+    def clashing(also_real: bool) -> DataFrame:
         # Of those with one surrogate the one that drew least often keeps it: earlier winners are never moved.
         first = state.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "norm")).alias("least")).where("n > 1").select(F.col("kind").alias("fk"), F.col("surrogate").alias("fs"), F.col("least.norm").alias("owner"))
         twice = state.join(first, (F.col("kind") == F.col("fk")) & (F.col("surrogate") == F.col("fs"))).where(F.col("norm") != F.col("owner")).select("kind", "norm")
-        clash = twice
-        if k <= TRIES // 2:
-            clash = twice.union(state.join(real, (F.col("kind") == F.col("rk")) & (F.col("surrogate") == F.col("real"))).select("kind", "norm"))
-        clash = common.cut(clash.distinct().select(F.col("kind").alias("ck"), F.col("norm").alias("cn")), "clashes")
+        if also_real:
+            other = state.join(real, (F.col("kind") == F.col("rk")) & (F.col("surrogate") == F.col("real"))).select("kind", "norm")
+        else:
+            other = state.where(F.col("surrogate") == F.col("norm")).select("kind", "norm")
+        return common.cut(twice.union(other).distinct().select(F.col("kind").alias("ck"), F.col("norm").alias("cn")), "clashes")
+
+    for k in range(1, TRIES + 1):
+        clash = clashing(k <= TRIES // 2)
         if clash.limit(1).count() == 0:
             break
-        on = (F.col("kind") == F.col("ck")) & (F.col("norm") == F.col("cn"))
         again = state.join(clash, on, "left_semi").select("kind", "norm", (F.col("attempt") + 1).alias("attempt"))
         state = common.cut(state.join(clash, on, "left_anti").select("kind", "norm", "attempt", "surrogate").unionByName(draw(again)), "surrogates")
     else:
-        raise ValueError("surrogates stay ambiguous; a kind has more entities than its form has values")
-    return state.where("attempt > 0").select("kind", "norm", "attempt")
+        clash = clashing(False)
+        formed = state.join(clash, on, "left").select("kind", "norm", "attempt", "surrogate", F.col("ck").isNotNull().alias("left")).mapInArrow(common.tidy(_formed), f"{schema}, left boolean, form string")
+        formed = common.cut(formed, "forms")
+        full = formed.where("left").select(F.col("kind").alias("fk"), F.coalesce("form", F.lit("")).alias("ff")).distinct()
+        within = (F.col("kind") == F.col("fk")) & (F.coalesce("form", F.lit("")) == F.col("ff"))
+        exact = formed.join(full, within, "left_semi").groupBy("kind", "form").applyInArrow(_settle(key), schema)
+        state = common.cut(formed.join(full, within, "left_anti").select("kind", "norm", "attempt", "surrogate").unionByName(exact), "surrogates")
+    return state.where("attempt <> 0").select("kind", "norm", "attempt")
 
 
 _OUT = "text string, n_entities int, spans array<struct<start:int,stop:int,kind:string>>"

@@ -137,6 +137,36 @@ def _few(key):
     return run
 
 
+def finals(spark, entities):
+    again = {(r.kind, r.norm): r.attempt for r in pii.redrawn(spark.createDataFrame(entities, "kind string, norm string"), KEY).collect()}
+    make = pii.Surrogates(KEY)
+    return {(k, n): make(k, n, again.get((k, n), 0)) for k, n in entities}
+
+
+def test_values_of_small_forms_grow(spark):
+    """One letter before the @ has 26 values, and signs alone have one."""
+    entities = [("email", f"{c}@x.com") for c in "abcdefghijklmnopqrstuvwxyz"] + [("secret", s) for s in ("------------", "_-----------", "-----------1")]
+    final = finals(spark, entities)
+    assert len(set(final.values())) == len(entities) and all(s != n for (_, n), s in final.items())
+
+
+@pytest.mark.parametrize("n", [8, 9, 10])
+def test_nearly_full_forms_are_settled_exactly(spark, monkeypatch, n):
+    """Surrogates that have to keep their length are dealt out when random draws do not end."""
+    monkeypatch.setattr(pii, "TRIES", 2)
+    entities = [("phone", f"+49{d}") for d in range(n)] + [("phone", "+15551234567"), ("ssn", "078051120")]
+    final = finals(spark, entities)
+    assert len(set(final.values())) == len(entities)
+    assert all(s != n and pii.form(k, s) == pii.form(k, n) for (k, n), s in final.items())
+
+
+def test_numbers_of_values(make):
+    for kind, norm in [("card", "4111111111111111"), ("card", "9807915762804490"), ("iban", "DE89370400440532013000"), ("ip", "8.8.8.8"), ("ip6", "1:2:3:4:5:6:7:8"), ("ssn", "078051120"), ("phone", "+4930123")]:
+        n, order = pii.size(kind, norm), make.free(kind, norm)
+        values = [make.valued(kind, norm, next(order)) for _ in range(1000)] + [make.valued(kind, norm, i) for i in (0, n - 1)]
+        assert len(set(values)) >= 1000 and {pii.form(kind, v) for v in values} == {pii.form(kind, norm)}
+
+
 def test_empty_table(spark):
     assert pii.surrogate_text(cases.table(spark, []), KEY).collect() == []
 
