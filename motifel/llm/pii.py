@@ -20,6 +20,7 @@ Only entities that had to draw again are remembered; the others are computed whe
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import math
 import re
 import unicodedata
@@ -41,8 +42,8 @@ GROWING = ("surname", "email", "secret")
 
 # Given names by script and gender, and titles by gender.
 GIVEN = {
-    ("latin", "f"): "Alice Anna Barbara Camille Carmen Charlotte Christine Claire Dorothy Elena Elizabeth Emily Emma Francesca Hannah Helena Isabel Jennifer Jessica Julia Katharina Laura Linda Louise Margaret Maria Marie Martha Mary Monika Nathalie Olivia Patricia Sabine Sarah Sofia Susan Teresa Ursula Victoria".split(),
-    ("latin", "m"): "Alexander Andrew Antonio Carlos Charles Christian Daniel David Edward Fernando François Frank George Hans Heinrich Henry Jacques James Javier John Joseph Jürgen Klaus Luis Marc Martin Matthew Michael Miguel Nicolas Patrick Paul Peter Philippe Richard Robert Stefan Thomas William Wolfgang".split(),
+    ("latin", "f"): "Alice Anna Barbara Camille Carmen Charlotte Christine Claire Dorothy Elena Elizabeth Emily Emma Francesca Hannah Helena Isabel Jennifer Jessica Julia Katharina Laura Linda Louise Margaret Maria Marie Martha Mary Monika Nathalie Olivia Patricia Sabine Sarah Sofia Susan Teresa Ursula Victoria Aaliyah Abigail Adriana Agnieszka Aisha Alejandra Alexandra Alina Amanda Amelia Amina Amy Ana Anastasia Andrea Angela Anita Anja Anjali Ann Anne Annette Aoife Asha Ashley Astrid Audrey Ayşe Beatrice Beatriz Bianca Bridget Brigitte Carla Carol Caroline Catherine Chiara Chloe Clara Cynthia Daniela Deborah Deepa Diana Donna Ebru Eleanor Elif Ellen Emilia Erika Esther Eva Evelyn Fatima Fatma Fiona Gabriela Giulia Gloria Guadalupe Hannelore Heather Heidi Helen Inês Inga Ingrid Irene Isabella Jane Janet Joan Joanna Josefina Joyce Judith Karen Karin Kateryna Katherine Kathleen Kavita Keiko Khadija Kimberly Kirsten Lakshmi Lauren Layla Leila Leticia Lisa Lucia Lucy Magdalena Małgorzata Margarita Martina Maryam Megan Mei Melissa Meera Michelle Mariana Nadia Nancy Natalia Neha Nicole Nina Noor Olga Paola Pamela Petra Pooja Priya Rachel Rebecca Rosa Ruth Sakura Samantha Sandra Sara Sharon Shirley Silvia Sophia Sophie Stephanie Sunita Svetlana Tatiana Valentina Valeria Vanessa Wendy Xiu Yasmin Yolanda Yuki Zainab Zofia Zoe".split(),
+    ("latin", "m"): "Alexander Andrew Antonio Carlos Charles Christian Daniel David Edward Fernando François Frank George Hans Heinrich Henry Jacques James Javier John Joseph Jürgen Klaus Luis Marc Martin Matthew Michael Miguel Nicolas Patrick Paul Peter Philippe Richard Robert Stefan Thomas William Wolfgang Aaron Abdullah Adam Adrian Ahmed Akira Alan Albert Alberto Alejandro Alfred Ali Amit Anders Andreas Andrei Andrzej Anil Anthony Arjun Arthur Arturo Ashok Benjamin Bernd Björn Boris Brandon Brian Bruce Bruno Carl Cheng Christopher Claude Claudio Colin Craig Declan Deepak Dennis Diego Dieter Dmitri Dmitry Donald Douglas Eduardo Emmanuel Enrique Eric Erik Eugene Fabio Felipe Felix Francesco Francis Francisco Franz Frederick Gabriel Gary Gerald Gerhard Giovanni Giuseppe Gonzalo Gregory Guillermo Gustavo Hamza Harold Harry Hassan Henrik Hiroshi Hugo Hussein Ian Ibrahim Igor Ivan Jack Jacob Jason Jean Jeffrey Jens Jeremy Jerry Jesús Jonathan Jorge José Josef Joshua Juan Julian Justin Karl Keith Kenji Kenneth Kevin Khalid Kofi Krzysztof Kumar Kyle Lars Lawrence Leon Leonardo Liam Lorenzo Louis Lukas Magnus Manuel Marco Marcus Mario Mateusz Mehmet Mikhail Mohamed Mohammad Mohammed Muhammad Mustafa Nathan Nicholas Nikhil Nikolai Noah Oleg Olivier Omar Oscar Pablo Pedro Philip Pierre Piotr Rafael Rahul Raj Rajesh Ramesh Raúl Ravi Raymond René Ricardo Roberto Rodrigo Roger Ronald Rohan Ryan Samuel Sanjay Scott Sean Sebastian Sergei Sergio Sergey Simon Stephen Steven Sunil Sven Takashi Tariq Terence Timothy Tomasz Umar Uwe Vijay Vikram Vincent Vladimir Walter Wei Werner Yusuf Zachary".split(),
     ("cyrillic", "f"): "Анна Екатерина Елена Ирина Мария Наталья Ольга Светлана Татьяна Юлия".split(),
     ("cyrillic", "m"): "Александр Алексей Андрей Владимир Дмитрий Иван Михаил Николай Павел Сергей".split(),
     ("greek", "f"): "Αικατερίνη Άννα Βασιλική Γεωργία Ελένη Ιωάννα Κατερίνα Μαρία Σοφία Χριστίνα".split(),
@@ -66,10 +67,18 @@ PATTERNS = [
     ("card", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])", re.A)),
     ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)", re.A)),
     ("ip6", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])", re.A)),
+    ("ip6", re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f:]*::)(?=[A-Fa-f:]*\d)[0-9A-Fa-f]{3,4}(?:::?[0-9A-Fa-f]{1,4}){0,6}(?:::)?(?!\w|:[0-9A-Fa-f:])", re.A)),
     ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d{1,5}(?:[ .-]?\d{2,5}){1,5}|\(\d{2,5}\)[ .-]?\d{2,5}(?:[ .-]\d{2,5}){1,3}|\d{2,4}[.-]\d{3,4}[.-]\d{3,4})(?![\w])", re.A)),
+    ("phone", re.compile(r"(?<![\w+.,/-])(?:1 )?[2-9]\d{2}(?: \d{3}[ .-]\d{4}|[2-9]\d{6})(?![\w]|[.,]\d)", re.A)),  # national numbers of ten digits
+    ("phone", re.compile(r"(?<![\w+.,/-])0(?:\d{1,4}(?: \d{2,8}){1,5}|[1-9]\d{8,10})(?![\w]|[.,]\d)", re.A)),  # national numbers with a trunk prefix
 ]
 _GIVEN = {n: k for k, names in GIVEN.items() for n in names}
-_PERSON = re.compile(rf"\b(?:(?P<title>{'|'.join(TITLES)})\b\.?\s(?P<t1>{_NAME})(?:\s(?P<t2>{_NAME}))?|(?P<given>{'|'.join(_GIVEN)})\s(?P<last>{_NAME}))")
+_GIVEN |= {n.upper(): k for n, k in _GIVEN.items()}
+_WRITTEN = {x: n for names in GIVEN.values() for n in names for x in (n, n.upper())}
+#: Words after a given name in capitals that are no surname.
+_NO_SURNAME = "A ALL ALSO AM AN AND ARE AS ASKED AT BE BEEN BUT BY CAN COULD DID DO DOES FOR FROM HAD HAS HAVE HE HER HIS I IF IN INTO IS IT MAY MET MUST NO NOT OF ON OR OUT SAID SAYS SHE SHOULD SO THAN THAT THE THEIR THEN THEY THIS TO TOLD UND UP WAS WE WENT WERE WHEN WHO WILL WITH WOULD YOU".split()
+_INITIALS = rf"(?:{_CAP}\.?[\s]){{0,3}}"
+_PERSON = re.compile(rf"\b(?:(?P<title>{'|'.join(TITLES)})\b\.?\s{_INITIALS}(?P<t1>{_NAME})(?:\s{_INITIALS}(?P<t2>{_NAME}))?|(?P<given>{'|'.join(sorted(_WRITTEN, key=len, reverse=True))})\s{_INITIALS}(?!(?<=[^\W\d_a-z]\s)(?:{'|'.join(_NO_SURNAME)})\b)(?P<last>{_NAME}))")
 _DIGIT = re.compile(r"\d")
 _PREFIX = re.compile(r"(?:AKIA|gh[pousr]_|sk-|xox[abpr]-|eyJ)?")
 _BLOCK = re.compile(r"(-----BEGIN .*?KEY-----\s*)(.*?)(\s*-----END .*)", re.S)
@@ -83,8 +92,12 @@ def script(word: str) -> str:
 
 
 def normal(kind: str, text: str) -> str:
-    if kind in ("email", "ip6", "surname"):
+    if kind in ("email", "surname"):
         return text.lower()
+    if kind == "given":
+        return _WRITTEN[text]
+    if kind == "ip6":  # all eight groups, as surrogates have them
+        return ":".join(f"{int(g, 16):x}" for g in ipaddress.IPv6Address(text).exploded.split(":"))
     if kind in ("card", "ssn", "iban"):
         return re.sub(r"[ -]", "", text)
     if kind == "phone":
@@ -103,14 +116,14 @@ def persons(text: str) -> list[tuple[int, int, str, str]]:
         else:
             groups = [("given", "given"), ("surname", "last")]
         for kind, g in groups:
-            out.append((m.start(g), m.end(g), kind, m[g] if kind == "given" else normal(kind, m[g])))
+            out.append((m.start(g), m.end(g), kind, normal(kind, m[g])))
             parts[m[g]] = kind
     if parts:  # the same parts alone
         taken = {s for s, *_ in out}
         for m in re.finditer(rf"\b(?:{'|'.join(map(re.escape, sorted(parts, key=len, reverse=True)))})\b", text):
             if m.start() not in taken:
                 kind = parts[m[0]]
-                out.append((m.start(), m.end(), kind, m[0] if kind == "given" else normal(kind, m[0])))
+                out.append((m.start(), m.end(), kind, normal(kind, m[0])))
     return out
 
 
@@ -123,6 +136,8 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 group = "v" if "v" in p.groupindex else 0
                 if kind == "phone" and not 8 <= sum(c.isdigit() for c in m[0]) <= 15:
                     continue
+                if kind == "ip6" and not _ip6_valid(m[0]):
+                    continue
                 if kind == "iban" and not _iban_valid(normal(kind, m[0])):
                     continue
                 if kind == "secret" and group == "v" and not (_DIGIT.search(m["v"]) or len(m["v"]) >= 12):
@@ -137,6 +152,13 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     return sorted(out)
 
 
+def _ip6_valid(s: str) -> bool:
+    try:
+        return bool(ipaddress.IPv6Address(s))
+    except ValueError:
+        return False
+
+
 def _iban_valid(s: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
@@ -156,7 +178,10 @@ def _iban(country: str, body: str) -> str:
 
 
 def _kept(phone: str) -> int:
-    return 0 if phone[0] != "+" else 2 if phone[1] == "1" else 3
+    """What tells the kind of a number: the country, or the trunk prefix."""
+    if phone[0] != "+":
+        return int(phone[0] == "0" or len(phone) == 11 and phone[0] == "1")
+    return 2 if phone[1] == "1" else 3
 
 
 def form(kind: str, norm: str) -> str:
@@ -267,7 +292,8 @@ class Surrogates:
         if kind == "phone":
             keep = _kept(norm)
             rest = [str(next(draw) % 10) for _ in norm[keep:]]
-            rest[0] = str(2 + int(rest[0]) % 8)
+            for i in (0, 3) if len(rest) == 10 else (0,):  # digits that start no area and no exchange
+                rest[i] = str(2 + int(rest[i]) % 8)
             return norm[:keep] + "".join(rest)
         if kind == "card":
             body = norm[0] + "".join(str(next(draw) % 10) for _ in norm[1:-1])

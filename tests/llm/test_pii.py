@@ -40,6 +40,31 @@ def test_kinds_keep_their_form(make, kind, mention):
     assert [new[s:e] for s, e, _ in spans] == [own]
 
 
+PLAIN = [("phone", m) for m in ("555 867 5309", "020 7946 0958", "06 12 34 56 78", "5558675309", "07700 900123", "02079460958", "1 555 867 5309")] + [("ip6", m) for m in ("2001:db8::8a2e:370:7334", "fe80::1", "2001:db8::")]
+
+
+@pytest.mark.parametrize("kind,mention", PLAIN)
+def test_plain_notations(make, kind, mention):
+    test_kinds_keep_their_form(make, kind, mention)
+
+
+@pytest.mark.parametrize("text", ["std::vector<int> a::b add::c 12::30 ::1", "at 1700000000 and 3.5558675309 or v0.12 34", "JOHN SAID NO. John f. is", "JOHN IS HERE"])
+def test_what_only_looks_private_stays(make, text):
+    assert pii.replaced(text, make, {}) == (text, [])
+
+
+def test_compressed_addresses_are_those_in_full():
+    assert pii.detect("2001:db8::1")[0][2:] == pii.detect("2001:0DB8:0:0:0:0:0:1")[0][2:] == ("ip6", "2001:db8:0:0:0:0:0:1")
+
+
+def test_capitals_initials_and_further_names(make):
+    text = "Priya Patel, JOHN SMITH and John F. Kennedy; Dr. J. R. Miller, DAVID B LEE."
+    assert [(text[a:b], k) for a, b, k, _ in pii.detect(text)] == [("Priya", "given"), ("Patel", "surname"), ("JOHN", "given"), ("SMITH", "surname"), ("John", "given"), ("Kennedy", "surname"), ("Miller", "surname"), ("DAVID", "given"), ("LEE", "surname")]
+    new, spans = pii.replaced(text, make, {})
+    got = [new[a:b] for a, b, _ in spans]
+    assert got[2].isupper() and got[3].isupper() and got[2] == got[4].upper() and not any(x in new for x in ("Patel", "SMITH", "Kennedy", "Miller", "LEE"))
+
+
 def test_check_digits(make):
     for card in ("4111111111111111", "5500005555555559"):
         assert pii._luhn(card) == 0 and pii._luhn(make("card", card)) == 0
