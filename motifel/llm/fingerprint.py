@@ -3,10 +3,10 @@
 A closed syncmer is a k-mer whose smallest inner s-mer (by hash) stands at its first or last
 place. Whether a k-mer is one depends on its own bytes only, so a passage keeps its anchors
 whatever stands before or after it. k-mers and s-mers are runs of UTF-8 bytes. All k-mers of
-the whole text are looked at; the fingerprint keeps the ``anchors`` syncmers with the smallest
-hashes, in the order in which they stand in the text, so that two fingerprints can be matched
-by position: their likeness is the longest chain of common anchors that has the same order in
-both texts, over the smallest anchors of both together.
+the whole text are looked at; the fingerprint keeps all syncmers, in the order in which they
+stand in the text, so that two fingerprints can be matched by position: their likeness is the
+longest chain of common anchors that has the same order in both texts, over all anchors of both
+together. A fingerprint so has about as many characters as its text has bytes.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from motifel.llm import common
 
 S, K = 8, 24
-ANCHORS = 128
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -56,30 +55,29 @@ def syncmers(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return at, (kmer >> np.uint64(32)).astype(np.uint32)
 
 
-def sketch(text: bytes, anchors: int = ANCHORS) -> np.ndarray:
-    """The anchors with the smallest hashes, each once, in the order of their first places."""
+def sketch(text: bytes) -> np.ndarray:
+    """The anchors, each once, in the order of their first places."""
     _, hashes = syncmers(text)
     values, first = np.unique(hashes, return_index=True)
-    return values[:anchors][np.argsort(first[:anchors])]
+    return values[np.argsort(first)]
 
 
-def likeness(a: np.ndarray, b: np.ndarray, anchors: int = ANCHORS) -> float:
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """0 to 1; 1 for equal fingerprints, two empty ones included."""
     if len(a) == len(b) and (a == b).all():
         return 1.0
-    left, right = a.tolist(), {v: i for i, v in enumerate(b.tolist())}
-    both = sorted({*left, *right})
-    if max(len(a), len(b)) >= anchors:
-        both = both[:anchors]
-    limit = both[-1]
+    _, left, right = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    both = len(a) + len(b) - len(left)
+    places = right[np.argsort(left)]  # in b, of the common anchors in the order of a
+    if (places[1:] > places[:-1]).all():
+        return len(places) / both
     chain: list[int] = []  # of a longest rising run of places, the smallest ends
-    for v in left:
-        if v <= limit and (i := right.get(v)) is not None:
-            if not chain or i > chain[-1]:
-                chain.append(i)
-            else:
-                chain[bisect.bisect_left(chain, i)] = i
-    return len(chain) / len(both)
+    for i in places.tolist():
+        if not chain or i > chain[-1]:
+            chain.append(i)
+        else:
+            chain[bisect.bisect_left(chain, i)] = i
+    return len(chain) / both
 
 
 def hexed(a: np.ndarray) -> str:
@@ -130,30 +128,26 @@ def _least(bounds: np.ndarray):
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
-def _walk(anchors: int):
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over the documents of a bucket in order: one document and its fingerprint are held at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in batches:
-            rows = []
-            for border, doc_id, text in zip(b.column("border").to_pylist(), b.column("doc_id").to_pylist(), common.as_bytes(b.column("text")), strict=True):
-                if border and held is None:
-                    continue
-                own = sketch(text, anchors)
-                if held is not None:
-                    before, before_id, before_own = held
-                    n, changed = edited(before, text)
-                    after = before_own if changed == before else sketch(changed, anchors)
-                    rows.append((before_id, n, hashlib.sha256(changed).hexdigest(), hexed(before_own), hexed(after), likeness(before_own, after, anchors), likeness(before_own, own, anchors)))
-                held = None if border else (text, doc_id, own)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _OUT, strict=True)], schema=_OUT)
-
-    return run
-
-
-def fingerprints(docs: DataFrame, anchors: int = ANCHORS, buckets: int | None = None) -> DataFrame:
+    held = None
+    for b in batches:
+        rows = []
+        for border, doc_id, text in zip(b.column("border").to_pylist(), b.column("doc_id").to_pylist(), common.as_bytes(b.column("text")), strict=True):
+            if border and held is None:
+                continue
+            own = sketch(text)
+            if held is not None:
+                before, before_id, before_own = held
+                n, changed = edited(before, text)
+                after = before_own if changed == before else sketch(changed)
+                rows.append((before_id, n, hashlib.sha256(changed).hexdigest(), hexed(before_own), hexed(after), likeness(before_own, after), likeness(before_own, own)))
+            held = None if border else (text, doc_id, own)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _OUT, strict=True)], schema=_OUT)
+
+
+def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """A row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The next document is the next row by ascending doc_id, after the last the first; rows that
@@ -174,5 +168,5 @@ def fingerprints(docs: DataFrame, anchors: int = ANCHORS, buckets: int | None =
     firsts = {first: order[i - 1][0] for i, (_, first) in enumerate(order)}  # for i = 0 the last bucket
     dealt = base.mapInArrow(common.tidy(_deal(bounds, firsts)), "bucket int, border int, doc_id long, text string")
     ranged = dealt.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", "border", "doc_id", F.xxhash64("text"))
-    done = ranged.mapInArrow(common.tidy(_walk(anchors)), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    done = ranged.mapInArrow(common.tidy(_walk), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return done.withColumn("doc_id", common.public_id("doc_id"))

@@ -31,6 +31,28 @@ def test_anchors_do_not_depend_on_context():
     assert inner <= set(fp.syncmers(b"0123456789 " * 5 + a + b" more of it")[1].tolist())
 
 
+def test_long_texts_keep_all_anchors():
+    """A passage that two long texts share, and a small edit, both show."""
+    rng = np.random.default_rng(1)
+    a, b, passage = (bytes(rng.integers(97, 123, n).tolist()) for n in (100_000, 100_000, 300))
+    x, y = fp.sketch(a[:70_000] + passage + a[70_000:]), fp.sketch(b[:30_000] + passage + b[30_000:])
+    assert len(x) == len(set(fp.syncmers(a[:70_000] + passage + a[70_000:])[1].tolist())) > 10_000
+    assert fp.likeness(x, y) > 0
+    changed = fp.sketch(a[:50_000] + b"a small edit" + a[50_012:])
+    assert 0.99 < fp.likeness(fp.sketch(a), changed) < 1
+
+
+def test_likeness_is_the_longest_common_chain():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        a, b = (rng.permutation(30)[: rng.integers(1, 30)].astype(np.uint32) for _ in range(2))
+        table = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, v in enumerate(a):
+            for j, w in enumerate(b):
+                table[i + 1, j + 1] = table[i, j] + 1 if v == w else max(table[i, j + 1], table[i + 1, j])
+        assert fp.likeness(a, b) == table[-1, -1] / len({*a.tolist(), *b.tolist()})
+
+
 def test_likeness_bounds():
     e = np.zeros(0, np.uint32)
     a = fp.sketch(b"one text of some length, long enough for anchors to be found in it")
