@@ -5,7 +5,7 @@ Every word of a text gives two terms: its letters in lower case, and its shape (
 letters, capitals and digits as one sign each, other signs as they are, and whether it
 repeats the word before). A term's index vector is sparse, ternary and follows from its
 hash. Its word vector is its index vector plus the normalised sum of the index vectors of
-its neighbours, gathered over the texts of the training sample. A document is the mean of
+its neighbours, gathered over the texts of all documents. A document is the mean of
 the word vectors of all its words, of each kind.
 
 The training sample is the only thing that is bounded: ``MAX_TRAIN`` labelled rows, those
@@ -36,6 +36,8 @@ MIN_STEPS = 2000
 REMEMBERED = 100_000
 CHUNKS = 32
 """Parts in which the sums of word vectors are added up."""
+BLOCK, FULL = 1 << 16, (1 << 31) // (2 * WINDOW * NONZERO) - 1
+"""Words of a text that are worked on at once, and words of which 32 bits hold all sums."""
 _SHAPE = [(re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), "a"), (re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"\d+"), "9")]
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -74,31 +76,50 @@ class Terms:
         return lexical, shape
 
 
+def _near(ids: np.ndarray, index: np.ndarray, into: np.ndarray) -> None:
+    """Adds to each bucket the index vectors of its neighbours in a text; whole numbers, so in any order."""
+    for at in range(0, len(ids), BLOCK):
+        low, high = max(0, at - WINDOW), min(len(ids), at + BLOCK + WINDOW)
+        each = index[ids[low:high]]
+        near = np.zeros_like(each)
+        for step in range(1, WINDOW + 1):
+            near[step:] += each[:-step]
+            near[:-step] += each[step:]
+        own, near = ids[at : at + BLOCK], near[at - low :][:BLOCK]
+        order = np.argsort(own, kind="stable")
+        starts = np.flatnonzero(np.diff(own[order], prepend=-1))
+        into[own[order][starts]] += np.add.reduceat(near[order], starts, axis=0, dtype=np.int32)
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sum of the index vectors of the neighbours of each bucket, over the rows of the task."""
-    terms, own = Terms(), [index_vectors(1), index_vectors(2)]
-    total = [np.zeros((TERMS, DIM), np.float32) for _ in own]
+    terms, own = Terms(), [index_vectors(1).astype(np.int8), index_vectors(2).astype(np.int8)]
+    total, words = [np.zeros((TERMS, DIM), np.int32) for _ in own], 0
+
+    def sums() -> Iterator[pa.RecordBatch]:
+        for kind, t in enumerate(total):
+            parts = [p.tobytes() for p in np.split(t, CHUNKS)]
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * CHUNKS, pa.int32()), pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], ["kind", "chunk", "sums"])
+            t[:] = 0
+
     for b in batches:
         for text in common.as_bytes(b.column("text")):
-            for ids, index, into in zip(terms(text), own, total, strict=True):
-                if len(ids) < 2:
-                    continue
-                each = index[ids]
-                run = np.vstack([np.zeros((1, DIM), np.float32), np.cumsum(each, axis=0, dtype=np.float64)])
-                i = np.arange(len(ids))
-                near = (run[np.minimum(i + WINDOW + 1, len(ids))] - run[np.maximum(i - WINDOW, 0)] - each).astype(np.float32)
-                order = np.argsort(ids, kind="stable")
-                starts = np.flatnonzero(np.diff(ids[order], prepend=-1))
-                into[ids[order][starts]] += np.add.reduceat(near[order], starts, axis=0)
-    for kind, t in enumerate(total):
-        parts = [p.tobytes() for p in np.split(t, CHUNKS)]
-        yield pa.RecordBatch.from_arrays([pa.array([kind] * CHUNKS, pa.int32()), pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], ["kind", "chunk", "sums"])
+            both = terms(text)
+            if words + len(both[0]) > FULL:
+                yield from sums()
+                words = 0
+            words += len(both[0])
+            for ids, index, into in zip(both, own, total, strict=True):
+                _near(ids, index, into)
+    yield from sums()
 
 
 def _added(t: pa.Table) -> pa.Table:
     """The sum of a chunk over the tasks."""
-    sums = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in sorted(t.column("sums").to_pylist()))
-    return pa.table({"kind": t.column("kind").slice(0, 1), "chunk": t.column("chunk").slice(0, 1), "sums": pa.array([sums.astype(np.float32).tobytes()], pa.binary())})
+    total = np.zeros(TERMS // CHUNKS * DIM, np.int64)
+    for x in t.column("sums"):
+        total += np.frombuffer(x.as_py(), np.int32)
+    return pa.table({"kind": t.column("kind").slice(0, 1), "chunk": t.column("chunk").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
 
 
 def pooled(texts: list[bytes], vectors: list[np.ndarray], terms: Terms) -> np.ndarray:
@@ -183,7 +204,7 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 40, seed
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, folds: int = 5) -> tuple[list[np.ndarray], Network]:
-    """Word vectors and network from labelled rows with crc32(id as text) mod folds other than 0."""
+    """Word vectors from all documents; network from labelled rows with crc32(id as text) mod folds other than 0."""
     spark = docs.sparkSession
     chosen = (
         labels.select(common.internal_id("doc_id").alias("l_id"), F.col("quality").cast("int").alias("label"))
@@ -195,14 +216,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, folds: i
     sample = common.documents(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "label")
     sample = common.cut(sample.repartition(8, F.xxhash64("doc_id")).sortWithinPartitions("doc_id", "text"), "quality-sample")
     sums = "kind int, chunk int, sums binary"
-    parts = sample.select("text").coalesce(8).mapInArrow(common.tidy(_contexts), sums).groupBy("kind", "chunk").applyInArrow(_added, sums).toArrow().to_pylist()  # 2 * CHUNKS rows of fixed size
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # so that the sums that move do not grow with the input
+    parts = common.documents(docs).select("text").coalesce(tasks).mapInArrow(common.tidy(_contexts), sums).groupBy("kind", "chunk").applyInArrow(_added, sums).toArrow().to_pylist()  # 2 * CHUNKS rows of fixed size
     vectors = []
     for kind in (0, 1):
         own = index_vectors(kind + 1)
-        total = np.zeros((TERMS, DIM), np.float32)
+        total = np.zeros((TERMS, DIM))
         for r in parts:
             if r["kind"] == kind:
-                np.split(total, CHUNKS)[r["chunk"]][:] = np.frombuffer(r["sums"], np.float32).reshape(-1, DIM)
+                np.split(total, CHUNKS)[r["chunk"]][:] = np.frombuffer(r["sums"], np.int64).reshape(-1, DIM)
         size = np.linalg.norm(total, axis=1, keepdims=True)
         vectors.append((own / np.linalg.norm(own, axis=1, keepdims=True).clip(1) + total / np.maximum(size, 1e-9)).astype(np.float32))
     del parts

@@ -1,7 +1,9 @@
+import random
 import zlib
 
 import cases
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from motifel.llm import quality
@@ -52,6 +54,45 @@ def test_hard_cases(spark):
     assert quality.classify(cases.table(spark, []), labels).collect() == []
 
 
+def test_word_vectors_cover_all_documents(spark):
+    """Also texts without a label; sums against a plain loop."""
+    texts = [cases.prose(random.Random(i), 40) for i in range(6)] + ["quokka wombat numbat quokka", "x", ""]
+    docs = cases.table(spark, [(i, t, None, None, None, None, None, None) for i, t in enumerate(texts)])
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    vectors, _ = quality.fit(docs, labels)
+    terms = quality.Terms()
+    for kind in (0, 1):
+        own = quality.index_vectors(kind + 1)
+        want = np.zeros(own.shape)
+        for t in texts:
+            ids = terms(t.encode())[kind]
+            for i in range(len(ids)):
+                for j in range(max(0, i - quality.WINDOW), min(len(ids), i + quality.WINDOW + 1)):
+                    if i != j:
+                        want[ids[i]] += own[ids[j]]
+        size = np.linalg.norm(want, axis=1, keepdims=True)
+        bare = own / np.linalg.norm(own, axis=1, keepdims=True).clip(1)
+        assert np.allclose(vectors[kind], bare + want / np.maximum(size, 1e-9), atol=1e-6)
+        assert np.abs(vectors[kind] - bare)[terms(b"wombat")[kind]].max() > 0
+
+
+def test_sums_do_not_depend_on_blocks(monkeypatch):
+    batch = pa.RecordBatch.from_arrays([pa.array([cases.prose(random.Random(i), i) for i in range(60)])], ["text"])
+
+    def sums():
+        out = {}
+        for b in quality._contexts(iter([batch])):
+            for k, c, x in zip(*(b.column(n).to_pylist() for n in ("kind", "chunk", "sums")), strict=True):
+                out[k, c] = out.get((k, c), 0) + np.frombuffer(x, np.int32).astype(np.int64)
+        return out
+
+    whole = sums()
+    monkeypatch.setattr(quality, "BLOCK", 7)
+    monkeypatch.setattr(quality, "FULL", 100)
+    parts = sums()
+    assert whole.keys() == parts.keys() and all((whole[k] == parts[k]).all() for k in whole)
+
+
 def test_temperature_is_fitted_on_rows_not_learnt_from():
     rng = np.random.default_rng(1)
     x = np.hstack([rng.normal(size=(2000, 6)), np.full((2000, 1), 1000.0)])
