@@ -8,8 +8,9 @@ hash. Its word vector is its index vector plus the normalised sum of the index v
 its neighbours, gathered over the texts of all documents. A document is the mean of
 the word vectors of all its words, of each kind.
 
-The training sample is the only thing that is bounded: ``MAX_TRAIN`` labelled rows, those
-with the smallest hash of their id. Labels, language, source and id are no inputs of a score.
+Two things are bounded. The training sample: ``MAX_TRAIN`` labelled rows, those with the
+smallest hash of their id. The word vectors: ``TERMS`` buckets of each kind of term, so that
+words whose hashes fall into one bucket share its vector. Labels, language, source and id are no inputs of a score.
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ class Terms:
             for pattern, sign in _SHAPE:
                 shape = pattern.sub(sign, shape)
             half = TERMS // 2
-            known[w] = xxhash.xxh3_64_intdigest(bare) % TERMS * half + xxhash.xxh3_64_intdigest(shape[:12]) % half
+            known[w] = xxhash.xxh3_64_intdigest(bare) % TERMS * half + xxhash.xxh3_64_intdigest(shape) % half
         both = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         lexical, shape = both // (TERMS // 2), both % (TERMS // 2)
         shape[1:] += (both[1:] == both[:-1]) * (TERMS // 2)

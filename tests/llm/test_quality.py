@@ -54,6 +54,11 @@ def test_hard_cases(spark):
     assert quality.classify(cases.table(spark, []), labels).collect() == []
 
 
+def test_whole_shapes_count():
+    a, b = (quality.Terms()(t)[1][0] for t in (b"http://a.b.c/d/e/f", b"http://a.b.c/d/9"))
+    assert a != b
+
+
 def test_word_vectors_cover_all_documents(spark):
     """Also texts without a label; sums against a plain loop."""
     texts = [cases.prose(random.Random(i), 40) for i in range(6)] + ["quokka wombat numbat quokka", "x", ""]
