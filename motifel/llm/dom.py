@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -204,14 +205,16 @@ def features(page: Page) -> np.ndarray:
     log = math.log1p
     rows = []
     place = [0] * n
+    alike = []  # for each parent, its children of each kind
     for c in children:
         for k, i in enumerate(c):
             place[i] = k
+        alike.append(Counter(kind[i] for i in c))
     for i in range(n):
         p = max(parent[i], 0)
         sib = children[p] if i else [0]
         k = place[i]
-        same = sum(kind[s] == kind[i] for s in sib) if len(sib) <= 64 else len(sib)
+        same = alike[p][kind[i]] if i else 1
         prev, nxt = sib[k - 1] if k else -1, sib[k + 1] if k + 1 < len(sib) else -1
         rows.append((
             log(chars[i]), log(words[i]), links[i] / max(1, chars[i]), log(count[i]), chars[i] / count[i] / 100, marks[i] / max(1, words[i]), log(paragraphs[i]), log(items[i]), log(heads[i]), log(inputs[i]),

@@ -28,6 +28,18 @@ def test_held_out_pages(model):
     assert right / (right + wrong) > 0.98 and right / (right + missed) > 0.98
 
 
+def test_siblings_of_one_kind_are_counted_at_every_size():
+    """One div among many paragraphs is alone of its kind, on long pages too."""
+    from motifel.llm.dom import KINDS, WORDS
+
+    for n in (10, 100):
+        page = Page("<body>" + "<p>some words</p>" * n + "<div>an advert</div></body>")
+        x = features(page)
+        column = 2 * len(KINDS) + 3 * len(WORDS) + 19
+        shares = sorted({round(float(v), 4) for v in x[:, column] if v < 1})
+        assert shares == [round(1 / (n + 1), 4), round(n / (n + 1), 4)]
+
+
 def test_decoding_is_the_best_consistent_choice():
     import itertools
 
