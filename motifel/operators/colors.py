@@ -31,7 +31,8 @@ def color_count(pairs: DataFrame) -> int:
 
 def color_bitmap(pairs: DataFrame) -> DataFrame:
     """(minimizer, w0) for at most 64 colors."""
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("color").cast("int"))
+    color = F.when(~F.col("color").between(0, 63), F.raise_error(F.lit("a color beyond 63 needs color_words"))).otherwise(F.col("color"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), color.cast("int"))
     return pairs.groupBy("minimizer").agg(F.bit_or(bit).alias("w0"))
 
 

@@ -177,7 +177,10 @@ def color_index_histogram(spark, sf_dir):
 
 @query(f"WITH {_RANKED} SELECT {sql.hexed('mn')} AS minimizer, {sql.hexed('bit_or(1::UBIGINT << color)')} AS w0 FROM least_hash JOIN ranked USING (doc_id) GROUP BY mn")
 def color_index_rows(spark, sf_dir):
-    return colors.color_bitmap(_source_index(spark, sf_dir).pairs).select(b.hex16(F.col("minimizer")).alias("minimizer"), b.hex16(F.col("w0")).alias("w0"))
+    """A column for each 64 sources: w0, w1 and so on."""
+    index = _source_index(spark, sf_dir)
+    words = [b.hex16(F.col("color_words")[i]).alias(f"w{i}") for i in range(b.words_needed(index.n_colors))]
+    return index.rows().select(b.hex16(F.col("minimizer")).alias("minimizer"), *words)
 
 
 # --- colored sets --------------------------------------------------------------------------

@@ -124,3 +124,17 @@ def test_extensions(spark):
 def test_dimension_keeps_empty_sets(spark):
     names = spark.createDataFrame([("b",), ("a",), ("c",), ("a",)], "file string")
     assert {r.file: r.color_id for r in colors.color_dimension(names).collect()} == {"a": 0, "b": 1, "c": 2}
+
+
+def test_more_than_64_colors(spark, tmp_path):
+    """Sources 0 and 64 have bits of their own; the one-word form refuses them."""
+    from motifel.plans import catalog
+
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(60)) for _ in range(70)]
+    spark.createDataFrame([(i, t, "en", f"s{i:02}", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = catalog.color_index_rows(spark, str(tmp_path)).collect()
+    want = {r.minimizer & (1 << 64) - 1: sum(1 << c for c in r.l) for r in catalog._source_index(spark, str(tmp_path)).pairs.groupBy("minimizer").agg(F.collect_set("color").alias("l")).collect()}
+    assert {int(r.minimizer, 16): int(r.w0, 16) | int(r.w1, 16) << 64 for r in rows} == want and any(v >> 64 for v in want.values())
+    with pytest.raises(Exception, match="color_words"):
+        colors.color_bitmap(spark.createDataFrame([(1, 64)], "minimizer long, color int")).collect()
