@@ -11,9 +11,10 @@ two sorted lists), and each token is counted in just one section:
 
 So the counts of the sections add up to the count of the document.
 
-Encoding. The byte-level BPE first cuts a text into units, a run of no white space with the
-one space before it, or white space; no token crosses their ends. Each different unit is
-encoded once with the tokenizer and remembered with the offsets of its tokens, so a document
+Encoding. The tokenizer first takes its added tokens (such as an end of text) out of a text;
+what stands between them is cut, each stretch on its own, into units: a run of no white space
+with the one space before it, or white space. No token crosses their ends. Each different unit
+is encoded once with the tokenizer and remembered with the offsets of its tokens, so a document
 is encoded exactly as by one call for the whole text.
 """
 
@@ -46,6 +47,16 @@ class Units(Memory):
     def __init__(self, path: str):
         super().__init__(path, str, len, REMEMBERED)
         self.spans: dict[str, list[tuple[int, int]]] = {}
+        self.added = re.compile("(" + "|".join(map(re.escape, self.bpe.added)) + ")") if self.bpe.added else None
+
+    def cut(self, text: str) -> list[str]:
+        """The units of a text, in order and without gaps."""
+        if self.added is None or not any(t in text for t in self.bpe.added):
+            return _UNITS.findall(text)
+        out: list[str] = []
+        for i, part in enumerate(self.added.split(text)):
+            out += [part] if i % 2 else _UNITS.findall(part)
+        return out
 
     def offsets(self, unit: str) -> list[tuple[int, int]]:
         if unit not in self.spans:
@@ -111,7 +122,7 @@ def _count(path: str, fields: list[str], split: list[str]):
                     at += len(part) + 1
                     if i + 1 < len(parts):
                         ends[-1] += 1  # the \n joins the section before it
-                units = _UNITS.findall("\n".join(parts))
+                units = memory.cut("\n".join(parts))
                 new.update(units)
                 docs.append((units, ends, sizes))
             memory.learn(new)

@@ -36,7 +36,16 @@ class Bpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.core, self.pattern, self.end, self.lower = None, None, b"", False
         with open(path, encoding="utf-8") as f:
-            self._prepare(json.load(f))
+            spec = json.load(f)
+        self.added: list[str] = self._added(spec.get("added_tokens") or [])
+        self._prepare(spec)
+
+    @staticmethod
+    def _added(tokens: list[dict]) -> list[str]:
+        """Tokens that the library takes out of a text before anything else, longest first."""
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in tokens):
+            raise ValueError("added tokens that look at their neighbours are not supported")
+        return sorted((t["content"] for t in tokens), key=len, reverse=True)
 
     def _prepare(self, spec: dict) -> None:
         """Sets up the fast way for the two forms of files that it knows."""
