@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from motifel.llm import common
-from motifel.llm.exact_dedup import exact_dedup
+from motifel.llm import exact_dedup as exact
+from motifel.llm.exact_dedup import LEAST_RUNS, exact_dedup, runs_of, schedule
 from motifel.llm.line_dedup import line_dedup
 
 LOWEST = -(1 << 63)
@@ -19,10 +20,10 @@ def lower(t):
 
 
 @pytest.mark.parametrize("keep", ["largest", "smallest"])
-@pytest.mark.parametrize("parts,radix", [(1, None), (7, 2), (12, 3)])
-def test_exact_dedup_against_brute_force(spark, keep, parts, radix):
+@pytest.mark.parametrize("parts,ways,runs", [(1, 8, None), (7, 2, 7), (12, 4, 9), (12, 8, 12)])
+def test_exact_dedup_against_brute_force(spark, keep, parts, ways, runs):
     rows = cases.hard_rows() * 2 + [(1000 + i, "Same Text" if i % 3 else f"text {i % 7}", None, None, None, None, None, None) for i in range(300)]
-    got = exact_dedup(cases.table(spark, rows, parts), keep, radix).collect()
+    got = exact_dedup(cases.table(spark, rows, parts), keep, ways, runs).collect()
     groups = defaultdict(list)
     for r in rows:
         groups[lower(r[1])].append(LOWEST if r[0] is None else r[0])
@@ -36,6 +37,23 @@ def test_exact_dedup_against_brute_force(spark, keep, parts, radix):
     assert len(kept) == len(groups) == len({r.text_sha256 for r in kept}) and all(r.doc_id == r.keep_id for r in kept)
 
 
+@pytest.mark.parametrize("ways", [2, 4, 8])
+def test_rounds_of_the_tree(ways):
+    """Slots are fewer than twice the runs, and no round lets more than ``ways`` runs meet."""
+    for runs in [1, 2, 3, 4, 5, 8, 9, 64, 65, 512, 513, 4096, 4097, 32768, 32769, 262144, 262145]:
+        plan = schedule(runs, ways)
+        assert max(runs, 2) <= 1 << sum(plan) < 2 * max(runs, 2)
+        assert max(plan) <= ways.bit_length() - 1 and max(plan) - min(plan) <= 1
+        assert len(plan) >= 2 or runs < 3
+
+
+def test_runs_follow_the_rows(spark, monkeypatch):
+    rows = spark.range(0, 1000, 1, 100)
+    assert runs_of(rows) == LEAST_RUNS and runs_of(spark.range(0, 10, 1, 3)) == 3 and runs_of(spark.range(0)) >= 1
+    monkeypatch.setattr(exact, "RUN_ROWS", 20)
+    assert runs_of(rows) == 50
+
+
 def test_exact_dedup_small_batches(spark, monkeypatch):
     monkeypatch.setattr(common, "BATCH_ROWS", 3)
     rows = [(i, f"text {i % 10}", None, None, None, None, None, None) for i in range(200)]
