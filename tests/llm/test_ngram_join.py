@@ -6,8 +6,10 @@ import cases
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from motifel.llm import components as cc
 from motifel.llm import ngram_join as nj
-from motifel.llm.components import components
 
 LOWEST = -(1 << 63)
 
@@ -115,6 +117,7 @@ def test_linked_sets_meet_in_a_list():
 def test_components(spark):
     rng = random.Random(8)
     links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1200)]
+    links += [(5000, i) for i in range(5001, 7100)] + [(i, 5000) for i in range(5001, 5200)]  # a vertex with most of the links
     up = {}
 
     def top(x):
@@ -125,6 +128,27 @@ def test_components(spark):
     for a, b in links:
         a, b = sorted((top(a), top(b)))
         up[b] = a
-    got = {r.v: r.comp for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {v: top(v) for a, b in links if a != b for v in (a, b)}
-    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+    got = [tuple(r) for r in cc.components(spark.createDataFrame(links, "a long, b long")).collect()]
+    assert sorted(got) == sorted((v, top(v)) for v in {v for a, b in links if a != b for v in (a, b)})
+    assert cc.components(spark.createDataFrame([], "a long, b long")).collect() == []
+    assert cc.components(spark.createDataFrame([(4, 4)], "a long, b long")).collect() == []
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rounds_of_a_shuffled_chain(spark, seed):
+    """Chains of revisions whose ids are in no order: rounds stay logarithmic."""
+    ids = list(range(4096))
+    random.Random(seed).shuffle(ids)
+    links = spark.createDataFrame([(int(a), int(b)) for a, b in zip(ids, ids[1:], strict=False)], "a long, b long")
+    maps = cc.contract(links)
+    assert len(maps) <= 2 * 12
+    left = [m.count() for m in maps]
+    assert left[0] == 4096 and all(b <= 0.75 * a + 2 for a, b in zip(left, left[1:], strict=False))
+
+
+def test_hot_keys_are_few(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") < 3000, F.lit(7)).otherwise(F.col("id")).alias("v"))
+    assert [r.k for r in cc.hot_keys(rows, "v", 5000).collect()] == [7]
+    table = rows.select(F.col("v").alias("k"), (F.col("v") * 2).alias("value")).distinct()
+    found = cc.hot_lookup(rows, F.col("v"), 5000, table, cc.hot_keys(rows, "v", 5000), "x")
+    assert found.where("x = 2 * v").count() == 5000 == found.count()
