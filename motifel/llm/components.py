@@ -31,7 +31,9 @@ def hot_lookup(rows: DataFrame, key: Column, n_rows: int, table: DataFrame, hot:
     """
     if n_rows == 0:
         return rows.withColumn(out, F.lit(None).cast("long"))
-    few = table.join(F.broadcast(hot.select(F.col("k").alias("__h"))), F.col("k") == F.col("__h")).select(F.col("k").alias("__h"), F.col("value").alias("__hv"))
+    keys = hot.select(F.col("k").alias("__h"))
+    theirs = table.join(F.broadcast(keys), F.col("k") == F.col("__h"), "left_semi").select("k", F.col("value").alias("__hv"))
+    few = keys.join(F.broadcast(theirs), F.col("__h") == F.col("k"), "left").select("__h", "__hv")  # also those that the table does not have
     marked = rows.withColumn("__key", key).join(F.broadcast(few), F.col("__key") == F.col("__h"), "left")
     dealt = marked.withColumn("__key", F.when(F.col("__h").isNull(), F.col("__key")).otherwise(F.xxhash64(*[F.col(c) for c in rows.columns])))
     found = dealt.join(table.select(F.col("k").alias("__k"), F.col("value").alias("__v")), F.col("__key") == F.col("__k"), "left")

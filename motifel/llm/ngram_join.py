@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motifel.llm import common
-from motifel.llm.components import components
+from motifel.llm.components import HOT_SHARE, groups, hot_keys, hot_lookup
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _U = np.uint64
@@ -47,6 +47,8 @@ FREQUENT_HERE, FREQUENT = 4, 64
 """An n-gram counts as frequent from FREQUENT documents on, of those in partitions that have it FREQUENT_HERE times."""
 BUCKET_RECORDS, SHORT_LIST, BLOCK = 400_000, 12, 1024
 REMEMBERED = 150_000
+RENAMED = 200_000
+"""Classes at most that may need another name than their hash: they go to all workers. 64 bits let about n * n / 2 ** 65 of n different sets meet."""
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -155,7 +157,27 @@ def listed(s: np.ndarray, level: np.ndarray, rule: Rule) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _survey(n: int):
+def _class(s: np.ndarray) -> bytes:
+    """128 bits that stand for a set."""
+    return xxhash.xxh3_128_digest(s.tobytes())
+
+
+class Names:
+    """The number of a class: the upper bits of its hash (64 but in tests), or the one it got because another class has those."""
+
+    def __init__(self, bits: int, renamed: dict[bytes, int]):
+        self.shift, self.renamed = 64 - bits, renamed
+
+    def __call__(self, classes: list[bytes]) -> np.ndarray:
+        named = np.frombuffer(b"".join(c[:8] for c in classes), ">i8").astype(np.int64) >> self.shift
+        if self.renamed:
+            for i, c in enumerate(classes):
+                if c in self.renamed:
+                    named[i] = self.renamed[c]
+        return named
+
+
+def _survey(n: int, names_of: Names):
     """Of each document its class, size and sketch; of each partition the n-grams that it has often, over different sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,9 +187,9 @@ def _survey(n: int):
             h, c = np.unique((np.concatenate(parts) & _U(LEVELS - 1)).astype(np.int32), return_counts=True)
             keep = c >= FREQUENT_HERE
             m = int(keep.sum())
-            return pa.RecordBatch.from_arrays([*(pa.nulls(m, pa.int64()) for _ in range(3)), pa.nulls(m, pa.binary()), pa.array(h[keep]), pa.array(c[keep].astype(np.int64))], names)
+            return pa.RecordBatch.from_arrays([*(pa.nulls(m, pa.int64()) for _ in range(3)), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array(h[keep]), pa.array(c[keep].astype(np.int64))], names)
 
-        names = ["doc_id", "n", "node", "sketch", "slot", "docs"]
+        names = ["doc_id", "n", "node", "class", "sketch", "slot", "docs"]
         for b in batches:
             sizes, classes, sketches = [], [], []
             for text in common.as_bytes(b.column("text")):
@@ -180,8 +202,7 @@ def _survey(n: int):
                     seen.add(c)
                     heap.append(s)
                     size += len(s)
-            node = np.frombuffer(b"".join(classes), ">i8").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(node), pa.array(sketches, pa.binary()), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names_of(classes)), pa.array(classes, pa.binary()), pa.array(sketches, pa.binary()), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.int64())], names)
             if size > 1_500_000:  # 12 MB
                 yield frequent(heap)
                 heap, size = [], 0
@@ -191,27 +212,23 @@ def _survey(n: int):
     return run
 
 
-def _class(s: np.ndarray) -> bytes:
-    return xxhash.xxh3_64_digest(s.tobytes())
-
-
-def _list_pieces(n: int, level, rule: Rule, bits: int):
+def _list_pieces(n: int, level, rule: Rule, bits: int, names):
     """Packed lists: for a batch of documents and a bucket of keys one row of keys and classes.
     A class is listed once by each partition, however many of its documents are there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, seen, table = _shingles(n), set(), level.value
         for b in batches:
-            keys, nodes = [], []
+            keys, classes = [], []
             for text in common.as_bytes(b.column("text")):
                 s = make(text)
                 if len(s) and (c := _class(s)) not in seen:
                     seen.add(c)
                     keys.append(listed(s, table, rule))
-                    nodes.append(np.full(len(keys[-1]), int.from_bytes(c, "big", signed=True), np.int64))
+                    classes.append(c)
             if not keys:
                 continue
-            key, node = np.concatenate(keys), np.concatenate(nodes)
+            key, node = np.concatenate(keys), np.repeat(names.value(classes), [len(x) for x in keys])
             bucket = (key >> _U(64 - bits)).astype(np.int64)
             hot = (key & _U(255)) > 0  # lists of frequent n-grams are only handed through, dealt by class as well
             bucket[hot] = -1 - (_mix(key[hot] ^ node[hot].view(np.uint64)) >> _U(64 - bits)).astype(np.int64)
@@ -319,7 +336,7 @@ def _across(rule: Rule):
     return run
 
 
-def _sets(n: int, wanted, bits: int):
+def _sets(n: int, wanted, bits: int, names):
     """Sets of the documents whose ids may be wanted: a bit table of fixed size tells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,8 +346,7 @@ def _sets(n: int, wanted, bits: int):
             at = _mix(ids.astype(np.uint64)) >> _U(64 - bits)
             hit = np.flatnonzero((table[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8)) & 1)
             sets = [make(x) for x in common.as_bytes(b.column("text").take(pa.array(hit)))]
-            nodes = np.frombuffer(b"".join(map(_class, sets)), ">i8").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(names.value([_class(x) for x in sets])), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "grams"])
 
     return run
 
@@ -391,17 +407,17 @@ FILTER_BITS = 26
 """Of the table of wanted documents: 8 MB. It only spares moving sets that no pair needs; the join decides."""
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, base: DataFrame, n: int, rule: Rule) -> DataFrame:
+def _linked(pairs: DataFrame, classes: DataFrame, base: DataFrame, n: int, rule: Rule, names) -> DataFrame:
     """Those of the pairs of classes whose sets are linked."""
     spark = base.sparkSession
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     ids = ends.join(classes.select("node", "rep"), "node").select(F.col("rep").alias("id"))
     chunks = ids.mapInArrow(common.tidy(_mark(FILTER_BITS)), "chunk long, marks binary").groupBy("chunk").applyInArrow(_or, "chunk long, marks binary").collect()  # 1024 rows of 8 KB at most
     table = bytearray(1 << (FILTER_BITS - 3))
     for r in chunks:
         table[r["chunk"] << 13 : (r["chunk"] + 1) << 13] = bytes(r["marks"])
     wanted = spark.sparkContext.broadcast(bytes(table))
-    sets = base.mapInArrow(common.tidy(_sets(n, wanted, FILTER_BITS)), "node long, grams binary")
+    sets = base.mapInArrow(common.tidy(_sets(n, wanted, FILTER_BITS, names)), "node long, grams binary")
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
     full = left.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
     return common.cut(full.select("a", "b", "ga", "gb").mapInArrow(common.tidy(_verify(rule)), "a long, b long").distinct(), "linked")
@@ -416,7 +432,42 @@ def _table(frequent: DataFrame) -> np.ndarray:
     return table
 
 
-def ngram_groups(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (75, 100)) -> DataFrame:
+def _renamed(rows: DataFrame, classes: DataFrame) -> dict[bytes, int]:
+    """New numbers of the classes that share one, but for the first of each number."""
+    clash = [r["node"] for r in classes.where("low <> high").select("node").limit(RENAMED + 1).collect()]  # nearly always none
+    if not clash:
+        return {}
+    spark = rows.sparkSession
+    met = rows.where("n > 0").join(F.broadcast(spark.createDataFrame([(x,) for x in clash], "node long")), "node").select("node", "class").distinct().limit(RENAMED + 1).collect()
+    if len(met) > RENAMED:
+        raise ValueError(f"more than {RENAMED} sets share a number")
+    open_, first = [], set()
+    for r in sorted(met, key=lambda r: (r["node"], bytes(r["class"]))):
+        if r["node"] in first:
+            open_.append(bytes(r["class"]))
+        first.add(r["node"])
+    out: dict[bytes, int] = {}
+    seed = 0
+    while open_:
+        seed += 1
+        tried = {c: int.from_bytes(xxhash.xxh3_64_digest(c, seed), "big", signed=True) for c in open_}
+        wanted = spark.createDataFrame([(x,) for x in set(tried.values())], "node long")
+        taken = {r["node"] for r in classes.join(F.broadcast(wanted), "node").select("node").collect()} | set(out.values())
+        for c, x in tried.items():
+            if x not in taken:
+                out[c] = x
+                taken.add(x)
+        open_ = [c for c in open_ if c not in out]
+    return out
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """(node, rep, n, sketch, docs, low, high): a row for each number; low and high differ if different sets have it."""
+    each = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.count("*").alias("docs"), F.min("class").alias("low"), F.max("class").alias("high"))
+    return common.cut(each, "classes")
+
+
+def ngram_groups(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (75, 100), name_bits: int = 64) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id.
 
     A document's set: the distinct n-grams of its words (runs of ``[^\\x20\\x09-\\x0D]``, A-Z
@@ -425,19 +476,28 @@ def ngram_groups(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (75,
     num * union, threshold being (num, den). component_id is the smallest doc_id that links
     reach, the own one included. Rows that repeat a doc_id are documents with texts of their
     own that share an id. A null id is below all others, so a component with one has a null
-    component_id. Sets are known by 64-bit hashes of their n-grams and of themselves. An empty table gives
-    an empty result. No list, group or pair is capped.
+    component_id. n-grams are known by 64-bit hashes, sets by 128 bits of those; the 64-bit numbers
+    by which sets are joined are made different where they meet (name_bits: fewer, for tests). An
+    empty table gives an empty result. No list, group or pair is capped.
     """
     spark = docs.sparkSession
     rule = Rule(*threshold)
     base = common.documents(docs)
-    found = common.cut(base.mapInArrow(common.tidy(_survey(n)), "doc_id long, n long, node long, sketch binary, slot int, docs long"), "survey")
+    schema = "doc_id long, n long, node long, class binary, sketch binary, slot int, docs long"
+    found = common.cut(base.mapInArrow(common.tidy(_survey(n, Names(name_bits, {}))), schema), "survey")
     rows = found.where(F.col("slot").isNull())
-    classes = common.cut(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "classes")
-    total = classes.agg(F.sum("n")).first()[0] or 0
+    classes = _classes(rows)
+    renamed = _renamed(rows, classes)
+    if renamed:
+        other = F.broadcast(spark.createDataFrame([(bytearray(c), x) for c, x in renamed.items()], "other binary, name long"))  # RENAMED rows at most
+        rows = rows.join(other, F.col("class") == F.col("other"), "left").withColumn("node", F.coalesce("name", "node"))
+        classes = _classes(rows)
+    names = spark.sparkContext.broadcast(Names(name_bits, renamed))
+    n_rows, total = classes.agg(F.sum("docs"), F.sum("n")).first()
+    n_rows, total = n_rows or 0, total or 0
     bits = max(1, min(22, (total // (2 * BUCKET_RECORDS)).bit_length()))
     level = spark.sparkContext.broadcast(_table(found.where(F.col("slot").isNotNull())))
-    lists = base.mapInArrow(common.tidy(_list_pieces(n, level, rule, bits)), "bucket long, keys binary, nodes binary")
+    lists = base.mapInArrow(common.tidy(_list_pieces(n, level, rule, bits, names)), "bucket long, keys binary, nodes binary")
     met = common.cut(lists.groupBy("bucket").applyInArrow(_meet, "a long, b long, key long"), "met")
 
     sides = lambda df: (
@@ -447,28 +507,42 @@ def ngram_groups(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (75,
     )
     short = sides(met.where(F.col("key").isNull()).select("a", "b").distinct())
 
-    # Long lists: those with the same members are one; a list is worked on in blocks of its members.
-    member = met.where(F.col("key").isNotNull()).select("key", F.col("b").alias("node")).distinct()
-    lists = member.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("sign")).where("size > 1").groupBy("size", "sign").agg(F.min("key").alias("key"))
-    lists = lists.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    member = member.join(lists, "key").join(classes.select("node", "n", "sketch"), "node")
-    member = common.cut(member.select("key", "node", "n", "sketch", "blocks", F.pmod(F.xxhash64("node", F.lit(7)), "blocks").cast("int").alias("own")), "long-lists")
+    # Long lists: those with the same members (by 128 bits of them) are one; a list is worked on in blocks of its members.
+    listing = common.cut(met.where(F.col("key").isNotNull()).select("key", F.col("b").alias("node")).distinct(), "listed")
+    n_listed = listing.count()
+    signs = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"sign{i}") for i in range(2)]
+    sized = common.cut(listing.groupBy("key").agg(F.count("*").alias("size"), *signs), "lists")
+    lists = sized.where("size > 1").groupBy("size", "sign0", "sign1").agg(F.min("key").alias("k"))
+    lists = lists.select("k", F.ceil(F.col("size") / BLOCK).cast("long").alias("value"))
+    hot_lists = sized.where(F.col("size") * HOT_SHARE > n_listed).select(F.col("key").alias("k"))
+    member = hot_lookup(listing, F.col("key"), n_listed, lists, hot_lists, "blocks").where(F.col("blocks").isNotNull())
+    member = member.join(classes.select("node", "n", "sketch"), "node")
+    member = common.cut(member.select("key", "node", "n", "sketch", F.col("blocks").cast("int").alias("blocks"), F.pmod(F.xxhash64("node", F.lit(7)), "blocks").cast("int").alias("own")), "long-lists")
     stars = member.groupBy("key", "own").applyInArrow(_stars(rule), "a long, b long").distinct()
     tried = common.cut(short.union(stars).distinct(), "candidates")
-    linked = _linked(tried, classes, base, n, rule)
-
-    labels = components(linked)
-    placed = member.join(labels, F.col("node") == F.col("v"), "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    dealt = placed.join(mixed, "key", "left_semi").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    linked = _linked(tried, classes, base, n, rule, names)
+
+    labels = common.cut(groups(linked), "groups")
+    placed = common.cut(member.join(labels, F.col("node") == F.col("v"), "left").withColumn("comp", F.coalesce("comp", "node")).drop("v"), "placed-lists")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select(F.col("key").alias("k"), F.lit(1).cast("long").alias("value"))
+    mixed = common.cut(mixed, "mixed-lists")
+    dealt = hot_lookup(placed, F.col("key"), n_listed, mixed, hot_lists, "open").where(F.col("open").isNotNull())
+    dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "own", "node", "n", "comp", "sketch")
     across = dealt.groupBy("key", "i", "j").applyInArrow(_across(rule), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
     across = common.cut(across, "candidates-across")
     if across.limit(1).count():
-        labels = components(linked.union(_linked(across, classes, base, n, rule)))
-
-    named = classes.join(labels, F.col("node") == F.col("v"), "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
-    first = named.groupBy("comp").agg(F.min("rep").alias("first"))
-    place = named.join(first, "comp").select(F.col("node").alias("of"), "first")
-    done = rows.join(place, (F.col("node") == F.col("of")) & (F.col("n") > 0), "left")
-    return done.select(common.public_id("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.coalesce("first", "doc_id") != common.NULL_ID, F.coalesce("first", "doc_id")).alias("component_id"))
+        labels = common.cut(groups(linked.union(_linked(across, classes, base, n, rule, names))), "groups")
+
+    # A class that is linked with none is a component of its own; its smallest id is known already.
+    named = common.cut(labels.join(classes.select("node", "rep"), F.col("v") == F.col("node")).select("node", "rep", "comp"), "named")
+    n_named = named.count()
+    first = named.groupBy(F.col("comp").alias("k")).agg(F.min("rep").alias("value"))
+    linked_ones = hot_lookup(named, F.col("comp"), n_named, first, hot_keys(named, "comp", n_named), "first").select(F.col("node").alias("k"), F.col("first").alias("value"))
+    alone = classes.join(labels, F.col("node") == F.col("v"), "left_anti").select(F.col("node").alias("k"), F.col("rep").alias("value"))
+    place = common.cut(linked_ones.union(alone), "places")
+    hot = classes.where(F.col("docs") * HOT_SHARE > n_rows).select(F.col("node").alias("k"))
+    with_words = hot_lookup(rows.where("n > 0").select("doc_id", "n", "node"), F.col("node"), n_rows, place, hot, "first")
+    empty = rows.where("n = 0").select("doc_id", "n", "node", F.col("doc_id").alias("first"))
+    done = with_words.union(empty)
+    return done.select(common.public_id("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("first") != common.NULL_ID, F.col("first")).alias("component_id"))

@@ -75,6 +75,13 @@ def test_against_brute_force(spark, monkeypatch, seed, frequent, short, block):
     assert cases.norm(got) == brute(rows)
 
 
+def test_sets_whose_numbers_meet(spark):
+    """With 5 bits nearly every number is shared by several sets: they get numbers of their own."""
+    rows = corpus(4, groups=12, hot=20)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert cases.norm(nj.ngram_groups(docs, name_bits=5).collect()) == brute(rows)
+
+
 def test_hard_cases(spark):
     rows = cases.hard_rows()
     got = nj.ngram_groups(cases.table(spark, rows)).collect()
@@ -152,3 +159,5 @@ def test_hot_keys_are_few(spark):
     table = rows.select(F.col("v").alias("k"), (F.col("v") * 2).alias("value")).distinct()
     found = cc.hot_lookup(rows, F.col("v"), 5000, table, cc.hot_keys(rows, "v", 5000), "x")
     assert found.where("x = 2 * v").count() == 5000 == found.count()
+    found = cc.hot_lookup(rows, F.col("v"), 5000, table.where("k <> 7"), cc.hot_keys(rows, "v", 5000), "x")
+    assert found.where("x is null").count() == 3000 and found.count() == 5000
