@@ -41,7 +41,7 @@ def build_index(spark: SparkSession, paths: list[str], k: int = extract.K, m: in
     extract.check_sizes(k, m)
     name = lambda p: p.split(":", 1)[-1].lstrip("/")  # noqa: E731  file:/x, file:///x and /x are one file
     files = spark.createDataFrame([(i, p, name(p)) for i, p in enumerate(paths)], "color_id int, file string, name string")  # the list itself
-    read = fastx.read_fastx(spark, paths).withColumn("name", F.regexp_replace("file", "^[a-z0-9]*:/*|^/+", ""))
+    read = fastx.read_fastx(spark, paths, overlap=k - 1).withColumn("name", F.regexp_replace("file", "^[a-z0-9]*:/*|^/+", ""))
     records = read.join(F.broadcast(files.select("name", F.col("color_id").alias("color"))), "name").select("color", "seq")
     windows = extract.split_windows(records, k).select("color", "seq")
     return index_records(windows, files.select("color_id", "file"), len(paths), k, m)

@@ -3,22 +3,33 @@
 Dense files hold rows of 1 + W words, sparse ones a minimizer and packed colors of a length that
 the first field tells. Neither has a header: the number of colors is the caller's to know, or
 stands in the name as ``.<N>c``. Parquet is the native form; these are for exchange.
+
+Readers are data sources: plain dense files are cut into parts of whole rows, one task each;
+sparse and compressed ones are read as streams, one task a file, in blocks. Writers run in the
+tasks of the rows: each writes its part file under a temporary name, and the driver renames
+those of the tasks that Spark counts, so a task that runs twice leaves one file.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from motifel.functions import bits as b
-from motifel.sources.fastx import extension
+from motifel.sources import storage
+from motifel.sources.storage import extension
 
-_CODEC = {"gz": "gzip", "bz2": "bz2", "lz4": "lz4"}
+ROWS = 50_000
+"""Of a batch at most."""
 
 
 def colors_in_name(path: str) -> int | None:
@@ -26,104 +37,210 @@ def colors_in_name(path: str) -> int | None:
     return int(m[1]) if m else None
 
 
-def _words(path: str, content: bytes) -> np.ndarray:
-    codec = extension(path)[1]
-    raw = pa.CompressedInputStream(pa.BufferReader(content), _CODEC[codec]).read() if codec else content
-    return np.frombuffer(raw, "<i8", len(raw) // 8)
-
-
-def _files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    return spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"), "content")
-
-
-def _dense(n_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column("file").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows = _words(path, content)
-                rows = rows[: len(rows) // (1 + n_words) * (1 + n_words)].reshape(-1, 1 + n_words)
-                for i in range(0, len(rows), 50_000):
-                    part = rows[i : i + 50_000]
-                    words = pa.ListArray.from_arrays(np.arange(0, len(part) * n_words + 1, n_words or 1, dtype=np.int32)[: len(part) + 1] if n_words else np.zeros(len(part) + 1, np.int32), pa.array(np.ascontiguousarray(part[:, 1:]).ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(part), pa.string()), pa.array(np.ascontiguousarray(part[:, 0])), words], ["file", "minimizer", "color_words"])
-
-    return run
-
-
-def read_raw(spark: SparkSession, paths: list[str] | str, n_colors: int = 0) -> DataFrame:
-    """(file, minimizer, color_words) of dense files; without colors the words are empty."""
-    n = b.words_needed(n_colors) if n_colors else 0
-    return _files(spark, paths).mapInArrow(_dense(n), "file string, minimizer long, color_words array<long>")
-
-
-def _sparse(layout: b.SparseLayout):
-    top = np.uint64(64 - layout.width)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column("file").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                w = _words(path, content)
-                u, at, found, packed = w.view(np.uint64), 0, [], []
-                while at + 1 < len(w):
-                    n = 1 + int(u[at + 1] >> top) // layout.per_word
-                    found.append(w[at])
-                    packed.append(w[at + 1 : at + 1 + n])
-                    at += 1 + n
-                    if len(found) == 50_000 or at + 1 >= len(w):
-                        yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), pa.array(found, pa.int64()), pa.array(packed, pa.list_(pa.int64()))], ["file", "minimizer", "packed"])
-                        found, packed = [], []
-
-    return run
+def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.ascontiguousarray(values), pa.int64()))
+
+
+def dense_batches(path: str, start: int, size: int | None, n_words: int) -> Iterator[pa.RecordBatch]:
+    """Rows of the bytes from ``start`` on, ``size`` of them or all. A part of a row at the end is an error: the number of colors is not that of the file."""
+    row = 8 * (1 + n_words)
+    with storage.open_in(path, start) as f:
+        for block in storage.blocks(f, row, most=size):
+            if len(block) % row:
+                raise ValueError(f"{path} does not end with a whole row of {1 + n_words} words")
+            rows = np.frombuffer(block, "<i8").reshape(-1, 1 + n_words)
+            for i in range(0, len(rows), ROWS):
+                part = rows[i : i + ROWS]
+                words = _lists(np.arange(len(part) + 1) * n_words, part[:, 1:].ravel())
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(part), pa.string()), pa.array(np.ascontiguousarray(part[:, 0])), words], ["file", "minimizer", "color_words"])
+
+
+def row_starts(words: np.ndarray, per_word: int, width: int) -> tuple[np.ndarray, int]:
+    """Where the sparse rows begin that lie whole in words, and where the last of them ends.
+    Neighbours mostly have as many words as each other, as files are sorted by count: a run of
+    such rows is found at once, in steps that double while it goes on."""
+    u, at, step, out = words.view(np.uint64), 0, 1, []
+    shift = np.uint64(64 - width)
+    while at + 1 < len(u):
+        n = 2 + int(u[at + 1] >> shift) // per_word
+        most = min(step, (len(u) - at) // n)
+        if not most:
+            break
+        here = u[at + 1 : at + most * n : n] >> shift
+        same = here // np.uint64(per_word) == n - 2
+        run = most if same.all() else int(np.argmin(same))
+        out.append(np.arange(at, at + run * n, n))
+        at += run * n
+        step = 2 * step if run == step else max(1, run)
+    return (np.concatenate(out) if out else np.zeros(0, np.int64)), at
+
+
+def sparse_batches(path: str, layout: b.SparseLayout) -> Iterator[pa.RecordBatch]:
+    """Rows (file, minimizer, packed) of a file, read in blocks; what a block ends with goes before the next."""
+    rest = np.zeros(0, "<i8")
+    with storage.open_in(path) as f:
+        for block in storage.blocks(f, 8):
+            if len(block) % 8:
+                raise ValueError(f"{path} does not end with a whole word")
+            words = np.concatenate([rest, np.frombuffer(block, "<i8")])
+            starts, end = row_starts(words, layout.per_word, layout.width)
+            ends = np.append(starts[1:], end)
+            for i in range(0, len(starts), ROWS):
+                at, to = starts[i : i + ROWS], ends[i : i + ROWS]
+                part = words[at[0] : to[-1]]
+                rest_of = np.ones(len(part), bool)
+                rest_of[at - at[0]] = False
+                packed = _lists(np.concatenate([[0], np.cumsum(to - at - 1)]), part[rest_of])
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(at), pa.string()), pa.array(np.ascontiguousarray(words[at])), packed], ["file", "minimizer", "packed"])
+            rest = words[end:]
+    if len(rest):
+        raise ValueError(f"{path} does not end with a whole row of a list of {layout.n_colors} colors")
+
+
+class _Part(InputPartition):
+    def __init__(self, path: str, start: int, size: int | None):
+        self.path, self.start, self.size = path, start, size
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.files, self.sparse = json.loads(options["files"]), options["sparse"] == "true"
+        self.n_words, self.split = int(options["words"]), int(options["split"])
+        self.layout = json.loads(options["layout"])
+
+    def partitions(self) -> list[_Part]:
+        out, row = [], 8 * (1 + self.n_words)
+        step = max(1, self.split // row) * row
+        for path, n in self.files:
+            if self.sparse or extension(path)[1]:
+                out.append(_Part(path, 0, None))
+                continue
+            if n % row:
+                raise ValueError(f"{path} has {n} bytes, not whole rows of {1 + self.n_words} words")
+            out += [_Part(path, i, min(step, n - i)) for i in range(0, n, step)]
+        return out or [_Part("", 0, 0)]
+
+    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+        if not partition.path:
+            return
+        if self.sparse:
+            n, parts = self.layout
+            yield from sparse_batches(partition.path, b.SparseLayout(n, tuple(parts) if parts else None))
+        else:
+            yield from dense_batches(partition.path, partition.start, partition.size, self.n_words)
+
+
+class RawSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "motifel_raw"
+
+    def schema(self) -> str:
+        return f"file string, minimizer long, {'packed' if self.options['sparse'] == 'true' else 'color_words'} array<long>"
+
+    def reader(self, schema) -> _Reader:
+        return _Reader(self.options)
+
+
+def _load(spark: SparkSession, paths: list[str] | str, sparse: bool, n_words: int, layout: list, split: int | None) -> DataFrame:
+    spark.dataSource.register(RawSource)
+    options = {"files": json.dumps(storage.listing(spark, paths)), "sparse": str(sparse).lower(), "words": str(n_words), "layout": json.dumps(layout)}
+    return spark.read.format("motifel_raw").options(**options, split=str(split or storage.split_bytes(spark))).load()
+
+
+def read_raw(spark: SparkSession, paths: list[str] | str, n_colors: int = 0, split: int | None = None) -> DataFrame:
+    """(file, minimizer, color_words) of dense files; without colors the words are empty. Files that do
+    not hold whole rows are an error. split: bytes of a part, by default as in Spark's file sources."""
+    return _load(spark, paths, False, b.words_needed(n_colors) if n_colors else 0, [], split)
 
 
 def read_sparse(spark: SparkSession, paths: list[str] | str, n_colors: int, parts: tuple[int, int] | None = None) -> DataFrame:
     """(file, minimizer, colors) of sparse files."""
     layout = b.SparseLayout(n_colors, parts)
-    rows = _files(spark, paths).mapInArrow(_sparse(layout), "file string, minimizer long, packed array<long>")
+    rows = _load(spark, paths, True, 0, [n_colors, parts], None)
     return rows.select("file", "minimizer", b.sparse_unpack(F.col("packed"), layout).alias("colors"))
 
 
-def _encode(codec: str):
+def interleaved(first: np.ndarray, lists: pa.ListArray) -> np.ndarray:
+    """Each number of first, and behind it those of its list."""
+    offsets = lists.offsets.to_numpy()
+    values = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+    at = offsets[:-1] - offsets[0] + np.arange(len(first))
+    out = np.empty(len(first) + len(values), values.dtype if len(values) else first.dtype)
+    own = np.zeros(len(out), bool)
+    own[at] = True
+    out[own], out[~own] = first, values
+    return out
+
+
+def _as_words(batch: pa.RecordBatch) -> bytes:
+    first = batch.column(0).to_numpy()
+    if batch.num_columns == 1:
+        return first.astype("<i8").tobytes()
+    return interleaved(first, batch.column(1).fill_null([]) if batch.column(1).null_count else batch.column(1)).astype("<i8").tobytes()
+
+
+def _as_index(batch: pa.RecordBatch) -> bytes:
+    """lo, hi, count and colors of each row as 32-bit words."""
+    lo, hi, n = (batch.column(i).to_numpy().astype(np.int64) for i in range(3))
+    lists = batch.column(3).cast(pa.list_(pa.int64()))
+    head = pa.ListArray.from_arrays(pa.array(np.arange(len(lo) + 1) * 2, pa.int32()), pa.array(np.stack([hi, n], 1).ravel()))
+    three = interleaved(lo, head).reshape(-1, 3)
+    offsets = lists.offsets.to_numpy()
+    values = lists.values.to_numpy()[offsets[0] : offsets[-1]]
+    out = np.empty(three.size + len(values), np.int64)
+    own = np.zeros(len(out), bool)
+    at = offsets[:-1] - offsets[0] + 3 * np.arange(len(lo))
+    for i in range(3):
+        own[at + i] = True
+    out[own], out[~own] = three.ravel(), values
+    return out.astype("<u4").tobytes()
+
+
+def _write(folder: str, kind: str, codec: str, encode):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sink = pa.BufferOutputStream()
-        out = pa.CompressedOutputStream(sink, _CODEC[codec]) if codec else sink
-        any_rows = False
+        context = TaskContext.get()
+        part, path, n, out = context.partitionId(), "", 0, None
         for batch in batches:
-            first, rest = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            any_rows |= bool(first)
-            out.write(b"".join(np.array([x, *(r or ())], "<i8").tobytes() for x, r in zip(first, rest, strict=True)))
-        out.close()
-        if any_rows:
-            content = (sink.getvalue()).to_pybytes()
-            yield pa.RecordBatch.from_arrays([pa.array([content], pa.binary())], ["content"])
+            if not batch.num_rows:
+                continue
+            if out is None:
+                path = f"{folder}/{part:05d}-{context.taskAttemptId()}"
+                out = storage.open_out(path, codec)
+            out.write(encode(batch))
+            n += batch.num_rows
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([path]), pa.array([n])], ["part", "path", "n"])
 
     return run
 
 
-def encoded(rows: DataFrame, words: str | None = None, codec: str = "") -> DataFrame:
-    """(content): for each partition the bytes of its rows in their order, a file part. Parts of
-    gzip, bzip2 and LZ4 frames may be put behind each other like plain ones."""
-    second = F.col(words) if words else F.lit(None).cast("array<long>")
-    return rows.select("minimizer", second.alias("words")).mapInArrow(_encode(codec), "content binary")
+def _write_parts(rows: DataFrame, path: str, kind: str, codec: str, encode) -> int:
+    spark = rows.sparkSession
+    at = storage.qualified(spark, path)
+    temporary = f"{at}/_temporary-{uuid.uuid4().hex}"
+    try:
+        done = rows.mapInArrow(_write(temporary, kind, codec, encode), "part long, path string, n long").collect()  # one small row for each part
+        suffix = f".{kind}.{codec}" if codec else f".{kind}"
+        spark._jvm.org.apache.hadoop.fs.Path(at).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(at))
+        storage.rename(spark, [(r["path"], f"{at}/part-{r['part']:05d}{suffix}") for r in done])
+    finally:
+        storage.delete(spark, temporary)
+    return len(done)
 
 
 def write_raw(rows: DataFrame, path: str, words: str | None = None, codec: str = "") -> int:
-    """Writes the rows (sorted by the caller) as part files part-NNNNN.raw[.codec] of a folder
-    through Hadoop's file system, one part at a time; returns the number of parts. For exchange
-    with other tools; large sets belong in Parquet."""
-    parts = encoded(rows, words, codec).withColumn("part", F.spark_partition_id())
-    suffix = f".raw.{codec}" if codec else ".raw"
-    jvm, conf = rows.sparkSession._jvm, rows.sparkSession._jsc.hadoopConfiguration()
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(conf)
-    fs.mkdirs(folder)
-    n = 0
-    for r in parts.toLocalIterator():  # one part at a time
-        n += 1
-        out = fs.create(jvm.org.apache.hadoop.fs.Path(folder, f"part-{r['part']:05d}{suffix}"), True)
-        out.write(bytes(r["content"]))
-        out.close()
-    return n
+    """Writes the rows (sorted by the caller) as part files part-NNNNN.raw[.codec] of a folder, each by
+    the task that has its rows; returns the number of parts. Parts of gzip, bzip2 and LZ4 frames
+    may be put behind each other like plain ones. The folder must be one that all executors share."""
+    return _write_parts(rows.select("minimizer", *([F.col(words).cast("array<long>").alias("words")] if words else [])), path, "raw", codec, _as_words)
+
+
+def write_index(index: DataFrame, path: str, codec: str = "") -> int:
+    """Writes rows (lo, hi, n_colors, colors) as a stream of 32-bit little-endian words: the halves of
+    the minimizer, the count, the colors. Part files part-NNNNN.idx[.codec], as ``write_raw`` does."""
+    return _write_parts(index.select("lo", "hi", F.col("n_colors").cast("long"), F.col("colors").cast("array<long>")), path, "idx", codec, _as_index)
 
 
 def write_hex(rows: DataFrame, path: str, codec: str | None = None) -> None:
