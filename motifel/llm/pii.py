@@ -1,14 +1,18 @@
 """Personal data: detected entities get keyed surrogates of their own type, shape and script.
 
-Detection finds secrets, mail addresses, IBANs, card and account numbers, social security
-numbers, IP addresses, phone numbers and persons (a title or a known given name, and a surname;
-in a document with a full name also its parts alone). An entity is known by its kind and its
-normal form, so that it has the same surrogate in every document and in every notation.
+Detection finds secrets, mail addresses, IBANs, card and account numbers, social security and
+passport numbers, IP addresses, phone numbers, dates of birth, street addresses and persons.
+A person is a title or a known given name and a surname; or two or three capitalised words, known or
+not, beside words that go with persons (verbs of speech, "Dear", "signed", "Name:"); or a Chinese
+name that stands alone or before a title. In a document with a full name also its parts alone. An
+entity is known by its kind and its normal form, so that it has the same surrogate in every
+document and in every notation.
 
 A surrogate follows from a secret key, the entity and a number of tries alone. It keeps what makes
 the type: digits for digits, letters of the same script and case for letters, the separators of
-each mention, valid check digits where the entity has such, the gender of given names. Given names are
-permuted inside the list of their gender and script, so they stay distinct by themselves. For
+each mention, valid check digits where the entity has such, the gender of listed given names. Those get
+other names of their list, such as the corpus does not have while there are any. Dates
+are shifted by a keyed rule that never gives two the same. For
 all other kinds distinctness is checked over the whole corpus: of entities that draw the same
 surrogate, or one that is itself an entity there, all but one draw again. Surrogates without a fixed
 length (surnames, mail addresses, secrets) get longer with each second try, so their values never run
@@ -37,7 +41,7 @@ BROADCAST_ROWS = 200_000
 """Redrawn entities that go to all workers at most; more are joined to the documents instead."""
 TRIES = 40
 """Rounds of random draws. From half of these on a surrogate may be a real entity of the corpus (a form may have no free values left); never that of another, nor the entity itself. Clashes that remain are settled exactly."""
-GROWING = ("surname", "email", "secret")
+GROWING = ("surname", "email", "secret", "address")
 """Kinds whose surrogates may be longer than the entity."""
 
 # Given names by script and gender, and titles by gender.
@@ -51,8 +55,22 @@ GIVEN = {
 }
 TITLES = "Mr Mrs Ms Miss Dr Prof Sir Madam Herr Frau Monsieur Madame Mme Mlle Señor Señora Sr Sra Srta Don Doña Господин Госпожа Κύριος Κυρία".split()
 #: Letters and syllables of surrogates.
+#: The commonest Chinese surnames, and titles and verbs that follow a name.
+HAN_SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严武戴莫孔向汤"
+HAN_TITLES = "先生 女士 小姐 老师 教授 医生 经理 博士 同学 说 表示 认为 告诉 问道".split()
+# Words that go with persons, before and after a name, in lower case, and words that begin no name.
+BEFORE = "dear hi hello thanks by with from met meet meets called asked told contact contacts saw visited married hired emailed interviewed signed sincerely regards author name patient client customer employee applicant tenant attn cc contacted between wrote spoke to and mit von an traf liebe lieber avec par chère cher con por querida querido estimado estimada с от".split()
+AFTER = "said says wrote writes called calls asked asks told tells replied replies answered met lives lived works worked joined left signed explained added thinks thought was is has will moved spoke phoned emailed visited married and sagte schrieb rief fragte wohnt wurde traf ist dit écrit demande habite dijo escribió preguntó vive сказал сказала написал написала живёт είπε έγραψε".split()
+BEFORE_TWO = "signed written given wrote writes spoke talked met sent directed founded led owned painted composed interviewed reported letter message call email mail note sold lent belongs married engaged".split()
+LINKS = {"by", "to", "with", "from"}
+STARTS = "Yesterday Today Tomorrow Later Finally Meanwhile Once Soon Still Even Only Perhaps Maybe Also Sometimes Often Here Now After Before Because Although Since Until During Under Over Please Thank Good".split()
+WEAK = {"to", "and", "was", "is", "has", "will", "by", "with", "from", "an", "von", "mit", "ist", "wurde", "con", "por", "par", "avec", "с", "от", "left", "between"}
+_NO_NAME = "The This That These Those There Then When Where While What Which Who Why How And But For Not You Your Our His Her Its They We It He She In On At Of To From With By As An If Or So No Yes All Some Most Many Any Each Every New Old North South East West Great Upper Lower Saint Lake Mount River Street Road Avenue City County State Republic Kingdom United University College School Institute Museum Hospital Bank Company Corporation Inc Ltd Group Party Church Park Station Airport Bridge Island Bay Sea Ocean January February March April May June July August September October November December Monday Tuesday Wednesday Thursday Friday Saturday Sunday Chapter Section Part Table Figure Page Volume Article Act World War Prime Minister President King Queen Department Ministry Office Committee Council Court Union Association Society Journal Review Press News Times Der Die Das Ein Eine Und Le La Les Un Une El Los Las Del Internet Web Windows Linux Google Apple Microsoft Amazon Android English German French Spanish American British European Chinese Indian Russian".split()
+#: Words of street names in four languages.
+_STREETS = "Street St Road Rd Avenue Ave Lane Ln Drive Boulevard Blvd Court Ct Way Place Square Sq Terrace Crescent Close".split()
+#: Letters and syllables of surrogates.
 LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
-SYLLABLES = {"latin": "ba bel cor dan der fal gar hol kan lin mar nor pen ros sal tor ven wal zim bro".split(), "cyrillic": "ба бел вол гор дан зар кол лев мар нов пет ров сав том фед чер".split(), "greek": "αλ βα γε δη ζα θε κα λα μα νι πα ρα σι τα φι χρ".split()}
+SYLLABLES = {"latin": "ba bel cor dan der fal gar hol kan lin mar nor pen ros sal tor ven wal zim bro".split(), "cyrillic": "ба бел вол гор дан зар кол лев мар нов пет ров сав том фед чер".split(), "greek": "αλ βα γε δη ζα θε κα λα μα νι πα ρα σι τα φι χρ".split(), "han": "伟芳娜敏静丽强磊军洋勇艳杰娟涛明超秀霞平刚桂文华玉红建国春梅"}
 
 _CAP = r"(?:[A-Z]|[À-ÖØ-Þ]|[Α-ΩΆΈ-Ώ]|[А-ЯЁ])"
 _NAME = rf"{_CAP}[^\W\d_]+(?:['’-][^\W\d_]+)*"
@@ -61,7 +79,9 @@ PATTERNS = [
     ("secret", re.compile(r"(?i)\b(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd|auth)\w*\W{0,4}\s*[=:]\W{0,4}\s*[\"']?(?P<v>[^\s\"',;]{8,})")),
     ("secret", re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,}|xox[abpr]-[A-Za-z0-9-]{10,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]+)")),
     ("secret", re.compile(r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]*[A-Fa-f])(?=[0-9A-Fa-f]*\d)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])")),
-    ("email", re.compile(r"[\w.+-]*[\w+]@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}", re.A)),
+    ("email", re.compile(r"[\w.+-]*[\w+]@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")),
+    ("date", re.compile(r"(?i:\b(?:born(?:\s+on)?|d\.?o\.?b\.?|date\s+of\s+birth|birth\s*da(?:te|y)|geboren(?:\s+am)?|geburtsdatum|geb\.|née?\s+le|date\s+de\s+naissance|nacid[oa]\s+el|fecha\s+de\s+nacimiento|дата\s+рождения)\W{1,4})(?P<v>\d{4}([./-])\d{1,2}\2\d{1,2}|\d{1,2}([./-])\d{1,2}\3(?:\d{4}|\d{2})|\d{1,2}\.?\s(?:de\s)?[^\W\d_]{3,10}\.?,?\s(?:de\s)?\d{4}|[^\W\d_]{3,10}\.?\s\d{1,2},?\s\d{4})(?!\w)")),
+    ("id", re.compile(r"(?i:\b(?:passport|reisepass\w*|passeport|pasaporte|паспорт\w*|driver'?s?\slicen[cs]e|national\sid|id\scard)\W{0,3}(?:no|nr|number|num|№|#|n°)?\W{0,3})(?P<v>[A-Z]{0,3}\d{6,9}[A-Z]?)(?!\w)")),
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", re.A)),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A)),
     ("card", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])", re.A)),
@@ -72,23 +92,42 @@ PATTERNS = [
     ("phone", re.compile(r"(?<![\w+.,/-])(?:1 )?[2-9]\d{2}(?: \d{3}[ .-]\d{4}|[2-9]\d{6})(?![\w]|[.,]\d)", re.A)),  # national numbers of ten digits
     ("phone", re.compile(r"(?<![\w+.,/-])0(?:\d{1,4}(?: \d{2,8}){1,5}|[1-9]\d{8,10})(?![\w]|[.,]\d)", re.A)),  # national numbers with a trunk prefix
 ]
+_CUE_WORDS = "order ratio invoice item part model version ref reference sku isbn issn case ticket serial batch build revision lot account page pages".split()
+_NO_PHONE = re.compile(rf"(?i:\b(?:{'|'.join(_CUE_WORDS)})\b(?:\s(?:no|nr|number|id))?\W{{1,3}}|#\s?)$")
+_STREET_NAME = rf"{_CAP}[^\W\d_]+(?:['’ -]{_CAP}[^\W\d_]+){{0,2}}"
+_ADDRESS = re.compile(
+    rf"(?<![\w.,/-])(?P<n1>\d{{1,5}}[A-Za-z]?),?\s(?P<s1>{_STREET_NAME})\s(?:{'|'.join(_STREETS)})\b"
+    rf"|\b(?P<s2>{_CAP}[^\W\d_]+?)(?:straße|strasse|str\.|weg|platz|allee|gasse)\s(?P<n2>\d{{1,4}}[a-z]?)(?!\w)"
+    rf"|(?<![\w.,/-])(?P<n3>\d{{1,5}}),?\s(?:rue|avenue|boulevard|place|allée|chemin)\s(?:de\sla\s|de\s|du\s|des\s|d['’])?(?P<s3>{_STREET_NAME})"
+    rf"|\b(?i:calle|avenida|plaza|paseo)\s(?:de\sla\s|del?\s|los\s)?(?P<s4>{_STREET_NAME}),?\s(?P<n4>\d{{1,5}})(?!\w)"
+)
+_ADDRESS_WORDS = re.compile(rf"\b(?:{'|'.join(_STREETS)}|rue|avenue|boulevard|place|allée|chemin)\b|straße|strasse|str\.|weg |platz |allee|gasse|(?i:calle|avenida|plaza|paseo)\s")
+_FULL = re.compile(rf"(?<![\w@.'’-])(?:{_NAME})(?: (?:(?:de|van|von|der|den|bin|al|el|di|da|la|le) ){{0,2}}(?:{_CAP}\. )?(?:{_NAME})){{1,3}}(?![\w@]|[.]\w)")
+_CAP_WORD = re.compile(_NAME)
+_WORD_BEFORE = re.compile(r"(?:([^\W\d_]+)\s+)?([^\W\d_]+)[:,]?\s*$")
+_WORD_AFTER = re.compile(r"\s*,?\s*([^\W\d_]+)")
+_HAN = "一-鿿"
+_HAN_NAME = re.compile(rf"(?<![{_HAN}])(?P<name>[{HAN_SURNAMES}][{_HAN}]{{1,2}}?)(?:(?![{_HAN}])|(?={'|'.join(HAN_TITLES)})|(?=[和与]\s?[{HAN_SURNAMES}][{_HAN}]{{1,2}}(?![{_HAN}])))")
+_HAN_ANY = re.compile(f"[{HAN_SURNAMES}]")
 _GIVEN = {n: k for k, names in GIVEN.items() for n in names}
 _GIVEN |= {n.upper(): k for n, k in _GIVEN.items()}
 _WRITTEN = {x: n for names in GIVEN.values() for n in names for x in (n, n.upper())}
 #: Words after a given name in capitals that are no surname.
 _NO_SURNAME = "A ALL ALSO AM AN AND ARE AS ASKED AT BE BEEN BUT BY CAN COULD DID DO DOES FOR FROM HAD HAS HAVE HE HER HIS I IF IN INTO IS IT MAY MET MUST NO NOT OF ON OR OUT SAID SAYS SHE SHOULD SO THAN THAT THE THEIR THEN THEY THIS TO TOLD UND UP WAS WE WENT WERE WHEN WHO WILL WITH WOULD YOU".split()
 _INITIALS = rf"(?:{_CAP}\.?[\s]){{0,3}}"
-_PERSON = re.compile(rf"\b(?:(?P<title>{'|'.join(TITLES)})\b\.?\s{_INITIALS}(?P<t1>{_NAME})(?:\s{_INITIALS}(?P<t2>{_NAME}))?|(?P<given>{'|'.join(sorted(_WRITTEN, key=len, reverse=True))})\s{_INITIALS}(?!(?<=[^\W\d_a-z]\s)(?:{'|'.join(_NO_SURNAME)})\b)(?P<last>{_NAME}))")
-_DIGIT = re.compile(r"\d")
+_PERSON = re.compile(rf"\b(?:(?P<title>{'|'.join(TITLES)})\b\.?\s{_INITIALS}(?P<t1>{_NAME})(?:\s{_INITIALS}(?P<t2>{_NAME}))?|(?P<given>{'|'.join(sorted(_WRITTEN, key=len, reverse=True))})(?:-(?P<second>{'|'.join(sorted(_WRITTEN, key=len, reverse=True))}))?\s{_INITIALS}(?!(?<=[^\W\d_a-z]\s)(?:{'|'.join(_NO_SURNAME)})\b)(?P<last>{_NAME}))")
+_DIGIT, _DIGITS = re.compile(r"\d"), re.compile(r"\d+")
 _PREFIX = re.compile(r"(?:AKIA|gh[pousr]_|sk-|xox[abpr]-|eyJ)?")
 _BLOCK = re.compile(r"(-----BEGIN .*?KEY-----\s*)(.*?)(\s*-----END .*)", re.S)
 _LETTERS_RUN = re.compile(r"[^\W\d_]+")
 _KNOWN = {*_GIVEN, *TITLES}
+_NO_NAME_SET, _BEFORE_SET, _AFTER_SET = set(_NO_NAME), set(BEFORE), set(AFTER)
+_BEFORE_TWO_SET, _STARTS_SET = set(BEFORE_TWO), {*STARTS, *_NO_NAME}
 
 
 def script(word: str) -> str:
     name = unicodedata.name(word[:1], "")
-    return next((s for s in ("cyrillic", "greek") if name.startswith(s.upper())), "latin")
+    return "han" if name.startswith("CJK") else next((s for s in ("cyrillic", "greek") if name.startswith(s.upper())), "latin")
 
 
 def normal(kind: str, text: str) -> str:
@@ -100,30 +139,77 @@ def normal(kind: str, text: str) -> str:
         return ":".join(f"{int(g, 16):x}" for g in ipaddress.IPv6Address(text).exploded.split(":"))
     if kind in ("card", "ssn", "iban"):
         return re.sub(r"[ -]", "", text)
+    if kind == "address":
+        number, street = _address(text)
+        return f"{number[1].lower()}|{' '.join(street[1].lower().split())}"
+    if kind == "date":
+        return " ".join(text.lower().split())
     if kind == "phone":
         return ("+" if text.startswith("+") else "") + "".join(_DIGIT.findall(text))
     return text
 
 
+def _address(text: str) -> tuple[tuple[tuple[int, int], str], tuple[tuple[int, int], str]]:
+    """((span, house number), (span, name of the street)) of an address."""
+    m = _ADDRESS.search(text)
+    i = next(i for i in "1234" if m[f"n{i}"])
+    return (m.span(f"n{i}"), m[f"n{i}"]), (m.span(f"s{i}"), m[f"s{i}"])
+
+
+def in_context(text: str) -> list[list[tuple[int, int]]]:
+    """Spans of the words of names that their surroundings tell: two or three capitalised words, none
+    of them a word that begins no name, with a word that goes with persons beside them. Words that go with
+    much else ("to", "was") count only together, one on each side, or behind a word of giving or
+    saying ("signed by", "wrote to"). A word that begins a sentence or a letter is no part of the name."""
+    out = []
+    for m in _FULL.finditer(text):
+        words = [(m.start() + w.start(), m.start() + w.end()) for w in _CAP_WORD.finditer(m[0])]
+        lead = text[max(0, m.start() - 60) : m.start()]
+        if len(words) > 2 and ((first := text[slice(*words[0])]) in _STARTS_SET or first.lower() in _BEFORE_SET):
+            lead, words = lead + first, words[1:]  # a word that begins a sentence, a letter or a line
+        parts = [text[a:b] for a, b in words]
+        if len(parts) > 3 or any(p in _NO_NAME_SET or len(p) > 20 for p in parts) or all(p.isupper() for p in parts):
+            continue
+        before, after = _WORD_BEFORE.search(lead), _WORD_AFTER.match(text, m.end())
+        b_word, a_word = before[2].lower() if before else "", after[1] if after else ""
+        b_cue, a_cue = b_word in _BEFORE_SET, a_word in _AFTER_SET
+        if b_word in LINKS and (before[1] or "").lower() in _BEFORE_TWO_SET:
+            b_word = before[1].lower()
+        strong = b_cue and b_word not in WEAK or a_cue and a_word not in WEAK
+        if strong or b_cue and a_cue:
+            out.append(words)
+    return out
+
+
 def persons(text: str) -> list[tuple[int, int, str, str]]:
-    """Parts of names: (start, end, "given" or "surname", normal form)."""
-    out, parts = [], {}
-    if _KNOWN.isdisjoint(_LETTERS_RUN.findall(text)):
-        return out
-    for m in _PERSON.finditer(text):
-        if m["title"]:
-            groups = [("given", "t1"), ("surname", "t2")] if m["t2"] and m["t1"] in _GIVEN else [("surname", "t1")] + ([("surname", "t2")] if m["t2"] else [])
-        else:
-            groups = [("given", "given"), ("surname", "last")]
-        for kind, g in groups:
-            out.append((m.start(g), m.end(g), kind, normal(kind, m[g])))
-            parts[m[g]] = kind
+    """Parts of names: (start, end, "given" or "surname", normal form). An unlisted given name counts as a surname."""
+    out, parts, busy = [], {}, set()
+
+    def add(a: int, b: int, kind: str) -> None:
+        if a not in busy:
+            busy.add(a)
+            out.append((a, b, kind, normal(kind, text[a:b])))
+            parts[text[a:b]] = kind
+
+    if not _KNOWN.isdisjoint(_LETTERS_RUN.findall(text)):
+        for m in _PERSON.finditer(text):
+            if m["title"]:
+                groups = [("given", "t1"), ("surname", "t2")] if m["t2"] and m["t1"] in _GIVEN else [("surname", "t1")] + ([("surname", "t2")] if m["t2"] else [])
+            else:
+                groups = [("given", "given"), *([("given", "second")] if m["second"] else []), ("surname", "last")]
+            for kind, g in groups:
+                add(*m.span(g), kind)
+    for words in in_context(text):
+        if not any(a in busy for a, _ in words):
+            for a, b in words:
+                add(a, b, "given" if text[a:b] in _GIVEN else "surname")
+    if not text.isascii() and _HAN_ANY.search(text):
+        for m in _HAN_NAME.finditer(text):
+            add(*m.span("name"), "surname")
     if parts:  # the same parts alone
-        taken = {s for s, *_ in out}
-        for m in re.finditer(rf"\b(?:{'|'.join(map(re.escape, sorted(parts, key=len, reverse=True)))})\b", text):
-            if m.start() not in taken:
-                kind = parts[m[0]]
-                out.append((m.start(), m.end(), kind, normal(kind, m[0])))
+        ends = {name: "" if script(name) == "han" else r"\b" for name in parts}
+        for m in re.finditer("|".join(f"{ends[x]}{re.escape(x)}{ends[x]}" for x in sorted(parts, key=len, reverse=True)), text):
+            add(*m.span(), parts[m[0]])
     return out
 
 
@@ -136,6 +222,10 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 group = "v" if "v" in p.groupindex else 0
                 if kind == "phone" and not 8 <= sum(c.isdigit() for c in m[0]) <= 15:
                     continue
+                if kind == "phone" and not m[0].startswith(("+", "(")) and _NO_PHONE.search(text[max(0, m.start() - 30) : m.start()]):
+                    continue
+                if kind == "date" and not _date(m["v"]):
+                    continue
                 if kind == "ip6" and not _ip6_valid(m[0]):
                     continue
                 if kind == "iban" and not _iban_valid(normal(kind, m[0])):
@@ -143,6 +233,8 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 if kind == "secret" and group == "v" and not (_DIGIT.search(m["v"]) or len(m["v"]) >= 12):
                     continue
                 found.append((*m.span(group), kind, normal(kind, m[group])))
+        if _ADDRESS_WORDS.search(text):
+            found += [(*m.span(), "address", normal("address", m[0])) for m in _ADDRESS.finditer(text)]
     found += persons(text)
     out, busy = [], []
     for f in found:
@@ -152,6 +244,22 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     return sorted(out)
 
 
+def _date(text: str) -> tuple[list[str], int, int | None, int] | None:
+    """(pieces of the text, which is the day, which the month, which the year) of a date; None if it is none.
+    Of two numbers up to 12 none is known to be the day; then the first counts as it."""
+    pieces = re.split(r"(\d+)", text)
+    at = [i for i, x in enumerate(pieces) if x.isdigit()]
+    n = [int(pieces[i]) for i in at]
+    if len(at) == 2:  # the month is a word
+        return (pieces, at[0], None, at[1]) if 1 <= n[0] <= 31 else None
+    if len(at) != 3:
+        return None
+    (a, b, y) = (at[1], at[2], at[0]) if len(pieces[at[0]]) == 4 else at
+    if int(pieces[b]) > 12 >= int(pieces[a]):
+        a, b = b, a
+    return (pieces, a, b, y) if 1 <= int(pieces[a]) <= 31 and 1 <= int(pieces[b]) <= 12 else None
+
+
 def _ip6_valid(s: str) -> bool:
     try:
         return bool(ipaddress.IPv6Address(s))
@@ -192,6 +300,8 @@ def form(kind: str, norm: str) -> str:
         return f"{norm[0]}{len(norm)}{_luhn(norm) == 0}"
     if kind == "iban":
         return norm[:2] + re.sub("[A-Z]", "A", _DIGIT.sub("0", norm[4:]))
+    if kind == "id":
+        return re.sub("[A-Za-z]", "A", _DIGIT.sub("0", norm))
     return kind
 
 
@@ -204,6 +314,8 @@ def _places(kind: str, norm: str) -> list:
         return [digits] * (len(norm) - 2) + ([range(9)] if _luhn(norm) else [])
     if kind == "iban":
         return [digits if c.isdigit() else LETTERS["latin"].upper() for c in norm[4:]]
+    if kind == "id":
+        return [digits if c.isdigit() else LETTERS["latin"].upper() for c in norm]
     return {"ip": [range(1, 255)] * 4, "ip6": [range(65536)] * 8, "ssn": [digits] * 9}[kind]
 
 
@@ -218,6 +330,8 @@ class Surrogates:
         self.key = key
         self.orders = {g: sorted(names, key=lambda n: hashlib.blake2b(n.encode(), key=key[:64]).digest()) for g, names in GIVEN.items()}
         self.next = {n: order[(i + 1) % len(order)] for order in self.orders.values() for i, n in enumerate(order)}
+        draw = self.numbers("date")
+        self.days, self.months, self.years = 1 + next(draw) % 11, 1 + next(draw) % 11, 4 * (1 + next(draw) % 5)
 
     def numbers(self, *what: object) -> Iterator[int]:
         """An endless stream of keyed numbers."""
@@ -246,8 +360,24 @@ class Surrogates:
                 out.append(c)
         return "".join(out)
 
+    def dated(self, norm: str) -> str:
+        """Another date: the year later by a multiple of four, days and months turned inside the ranges
+        that tell them apart and that every month has. So different dates stay different."""
+        pieces, d, m, y = _date(norm)
+        year, day, wide = pieces[y], int(pieces[d]), len(pieces[y])
+        low = 1000 if wide == 4 else 0
+        pieces[y] = f"{low + (int(year) - low + self.years) % (10**wide - low):0{wide}d}"
+        first, count = (1, 12) if day <= 12 else (13, 16)
+        if day <= 28:
+            pieces[d] = f"{first + (day - first + self.days) % count:0{len(pieces[d])}d}"
+            if m is not None:
+                pieces[m] = f"{1 + (int(pieces[m]) - 1 + self.months) % 12:0{len(pieces[m])}d}"
+        return "".join(pieces)
+
     def valued(self, kind: str, norm: str, index: int) -> str:
         """The value with a number among those of the form of an entity; different ones for different numbers below ``size``."""
+        if kind == "given":
+            return self.orders[_GIVEN[norm]][index]
         signs = []
         for place in _places(kind, norm):
             index, r = divmod(index, len(place))
@@ -277,8 +407,19 @@ class Surrogates:
         draw = self.numbers(kind, norm, attempt)
         if kind == "given":
             return self.next[norm]
+        if kind == "date":
+            return self.dated(norm)
+        if kind == "id":
+            return "".join(LETTERS["latin"][next(draw) % 26].upper() if c.isalpha() else str(next(draw) % 10) for c in norm)
+        if kind == "address":
+            number = norm.split("|")[0]
+            parts = SYLLABLES["latin"]
+            street = "".join(parts[next(draw) % len(parts)] for _ in range(2 + next(draw) % 2 + attempt // 2))
+            return f"{1 + next(draw) % 9}{self.shaped(number[1:], draw)}|{street}"
         if kind == "surname":
             parts = SYLLABLES[script(norm)]
+            if script(norm) == "han":
+                return HAN_SURNAMES[next(draw) % len(HAN_SURNAMES)] + "".join(parts[next(draw) % len(parts)] for _ in range(len(norm) - 1 + attempt // 2))
             return "".join(parts[next(draw) % len(parts)] for _ in range(3 + next(draw) % 2 + attempt // 2))
         if kind == "email":
             local, domain = norm.rsplit("@", 1)
@@ -311,6 +452,16 @@ class Surrogates:
 
 def laid_out(kind: str, mention: str, surrogate: str) -> str:
     """The surrogate in the notation of a mention: its separators, its case."""
+    if kind == "address":
+        (n, number), (t, street) = _address(mention)
+        new_number, new = surrogate.split("|")
+        out = mention
+        for (a, b), x in sorted([(n, new_number.upper() if number.isupper() else new_number), (t, new.upper() if street.isupper() else new.capitalize())], reverse=True):
+            out = out[:a] + x + out[b:]
+        return out
+    if kind == "date":
+        numbers = iter(_DIGITS.findall(surrogate))
+        return _DIGITS.sub(lambda m: next(numbers), mention)
     if kind in ("card", "ssn", "iban", "phone"):
         signs = iter(surrogate.lstrip("+"))
         return "".join(next(signs) if c.isalnum() else c for c in mention)
@@ -346,7 +497,7 @@ def _texts(b: pa.RecordBatch) -> list[str]:
 
 def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = {(kind, norm) for t in _texts(b) for _, _, kind, norm in detect(t) if kind != "given"}
+        found = {(kind, norm) for t in _texts(b) for _, _, kind, norm in detect(t) if kind != "date"}  # dates stay distinct by themselves
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([n for _, n in found], pa.string())], ["kind", "norm"])
 
 
@@ -405,12 +556,31 @@ def _settle(key: bytes):
     return run
 
 
+def assigned(present: set[str], make: Surrogates) -> dict[str, int]:
+    """For listed given names that the corpus has: the try (below 0, a place in the order of their list) of
+    each. Names that the corpus does not have come first; when those run out, the others change
+    places in a circle. No two share one and none is given itself, unless it is a whole list."""
+    out = {}
+    for order in make.orders.values():
+        at = {n: i for i, n in enumerate(order)}
+        here, free = [n for n in order if n in present], [n for n in order if n not in present]
+        rest = here[len(free) :]
+        new = free[: len(here)] + rest[1:] + rest[:1]
+        if len(rest) == 1 and len(here) > 1:  # a circle of one: changes places with the one before
+            new[-1], new[-2] = new[-2], new[-1]
+        out |= {n: -1 - at[x] for n, x in zip(here, new, strict=True)}
+    return out
+
+
 def redrawn(entities: DataFrame, key: bytes) -> DataFrame:
     """(kind, norm, attempt other than 0) of the entities that have to draw again to stay distinct. Every entity's
     table of surrogates is written between rounds; only those that clash draw again. An attempt below 0
     names a value of the entity's form (see ``settled``): such entities, left after all rounds, are only
     in forms that are nearly full, which meet in a task each."""
     schema = "kind string, norm string, attempt long, surrogate string"
+    spark = entities.sparkSession
+    given = assigned({r["norm"] for r in entities.where("kind = 'given'").select("norm").distinct().collect()}, _surrogates(key))  # names of the lists at most
+    entities = entities.where("kind <> 'given'")
     draw = lambda df: df.mapInArrow(common.tidy(_drawn(key)), schema)
     real = entities.select(F.col("kind").alias("rk"), F.col("norm").alias("real"))
     state = common.cut(draw(entities.select("kind", "norm", F.lit(0).cast("long").alias("attempt"))), "surrogates")
@@ -440,7 +610,8 @@ def redrawn(entities: DataFrame, key: bytes) -> DataFrame:
         within = (F.col("kind") == F.col("fk")) & (F.coalesce("form", F.lit("")) == F.col("ff"))
         exact = formed.join(full, within, "left_semi").groupBy("kind", "form").applyInArrow(_settle(key), schema)
         state = common.cut(formed.join(full, within, "left_anti").select("kind", "norm", "attempt", "surrogate").unionByName(exact), "surrogates")
-    return state.where("attempt <> 0").select("kind", "norm", "attempt")
+    names = spark.createDataFrame([("given", n, a) for n, a in given.items()], "kind string, norm string, attempt long")
+    return state.where("attempt <> 0").select("kind", "norm", "attempt").unionByName(names)
 
 
 _OUT = "text string, n_entities int, spans array<struct<start:int,stop:int,kind:string>>"
