@@ -24,6 +24,11 @@ def color_dimension(names: DataFrame, name: str = "file") -> DataFrame:
     return names.select(F.col(name).alias("file")).distinct().select((F.row_number().over(Window.orderBy("file")) - 1).alias("color_id"), "file")
 
 
+def small(dimension: DataFrame, most: int = 1 << 16) -> DataFrame:
+    """A dimension, marked to go to all executors if it has at most ``most`` rows; a larger one is joined by a shuffle."""
+    return F.broadcast(dimension) if dimension.limit(most + 1).count() <= most else dimension
+
+
 def color_count(pairs: DataFrame) -> int:
     """One more than the largest color."""
     return (pairs.agg(F.max("color")).first()[0] or 0) + 1
@@ -102,12 +107,12 @@ def _meets(words: Column, mask: list[int], test) -> Column:
 
 
 def ext_intersect(rows: DataFrame, colors: list[int], n_colors: int) -> DataFrame:
-    """Extension: minimizers that all of the colors have."""
+    """Extension: window hashes that all of the colors have."""
     return rows.where(_meets(F.col("color_words"), _mask_words(colors, n_colors), lambda x, m: x == m)).select("minimizer")
 
 
 def ext_except(rows: DataFrame, of: list[int], without: list[int], n_colors: int) -> DataFrame:
-    """Extension: minimizers that all of some colors and none of the others have."""
+    """Extension: window hashes that all of some colors and none of the others have."""
     has = _meets(F.col("color_words"), _mask_words(of, n_colors), lambda x, m: x == m)
     free = _meets(F.col("color_words"), _mask_words(without, n_colors), lambda x, m: x == 0)
     return rows.where(has & free).select("minimizer")
@@ -115,7 +120,8 @@ def ext_except(rows: DataFrame, of: list[int], without: list[int], n_colors: int
 
 def ext_jaccard(pairs: DataFrame, n_colors: int) -> DataFrame:
     """Extension: (a, b, n_both, jaccard) of each two colors that share a minimizer. From the color
-    sets: those of equal minimizers are counted first, so a set gives its pairs once."""
+    sets: those of equal window hashes are counted first, so a set gives its pairs once. The pairs of
+    colors are the result, so it grows with their square; their number must be one that allows that."""
     sets = color_lists(pairs).groupBy("colors").agg(F.count("*").alias("n"))
     both = sets.select(F.explode("colors").alias("a"), "colors", "n").select("a", F.explode(F.filter("colors", lambda c: c > F.col("a"))).alias("b"), "n").groupBy("a", "b").agg(F.sum("n").alias("n_both"))
     size = sets.select(F.explode("colors").alias("c"), "n").groupBy("c").agg(F.sum("n").alias("size"))

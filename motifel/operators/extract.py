@@ -1,7 +1,7 @@
-"""From sequences to k-mers and minimizers.
+"""From sequences to k-mers and window hashes.
 
 ``records``: any DataFrame with a sequence column. The kernels run over Arrow batches, in numpy;
-``window_minimizers`` says the same with window functions only and is the readable definition.
+``window_hashes`` says the same with window functions only and is the readable definition.
 """
 
 from __future__ import annotations
@@ -71,7 +71,8 @@ def _joined(seqs) -> list[bytes]:
 
 def _kernel(names: list[str], seq: str, k: int, m: int | None, how: str):
     """Rows (names..., pos, value) for each k-mer or minimizer. how: "all"; "distinct", each value once
-    in a chunk of a record, without pos; "runs", without those that repeat the one before."""
+    in a chunk of a record, without pos; "counted", the same with how often it is there as n; "runs",
+    without those that repeat the one before. Without names a chunk of many records counts as one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -82,22 +83,28 @@ def _kernel(names: list[str], seq: str, k: int, m: int | None, how: str):
                     at = np.flatnonzero(kernels.valid_at(code, k))
                     values = kernels.mers(code, k)[at]
                 else:
-                    at, values = kernels.minimizers(code, k, m)
+                    at, values = kernels.minimizer_hashes(code, k, m)
                 own = np.searchsorted(starts, at, "right") - 1
-                row, pos = first + own, at - starts[own] + before + 1
+                row, pos, n = first + own, at - starts[own] + before + 1, None
                 if how != "all" and len(row):
-                    if how == "distinct":
-                        order = np.lexsort((values, row))
-                        row, values, pos = row[order], values[order], pos[order]
+                    if how in ("distinct", "counted"):
+                        if names:
+                            order = np.lexsort((values, row))
+                            row, values = row[order], values[order]
+                        else:
+                            row, values = np.zeros(len(row), row.dtype), np.sort(values)
                     new = np.concatenate([[last != (row[0], values[0])], (row[1:] != row[:-1]) | (values[1:] != values[:-1])])
                     if how == "runs":
                         last = (row[-1], values[-1])
-                    row, values, pos = row[new], values[new], pos[new]
+                    if how == "counted":
+                        n = np.diff(np.append(np.flatnonzero(new), len(new)))
+                    row, values, pos = row[new], values[new], pos if how in ("distinct", "counted") else pos[new]
                 for i in range(0, len(row), 100_000):
                     part = slice(i, i + 100_000)
-                    rows = b.select(names).take(pa.array(row[part]))
-                    place = [] if how == "distinct" else [pa.array(pos[part])]
-                    yield pa.RecordBatch.from_arrays([*rows.columns, *place, pa.array(values[part].view(np.int64))], [*names, *["pos"][: len(place)], "value"])
+                    rows = b.select(names).take(pa.array(row[part])).columns if names else []
+                    place = [] if how in ("distinct", "counted") else [pa.array(pos[part])]
+                    count = [pa.array(n[part])] if n is not None else []
+                    yield pa.RecordBatch.from_arrays([*rows, *place, pa.array(values[part].view(np.int64)), *count], [*names, *["pos"][: len(place)], "value", *["n"][: len(count)]])
 
     return run
 
@@ -105,7 +112,8 @@ def _kernel(names: list[str], seq: str, k: int, m: int | None, how: str):
 def _run(records: DataFrame, keep: list[str], seq: str, k: int, m: int | None, how: str, out: str) -> DataFrame:
     base = records.select(*[F.col(c) for c in keep], F.col(seq).cast("string").alias(seq))
     kinds = dict(base.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *([] if how == "distinct" else ["pos long"]), "value long"])
+    more = {"distinct": ["value long"], "counted": ["value long", "n long"]}.get(how, ["pos long", "value long"])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *more])
     return base.mapInArrow(_kernel(keep, seq, k, m, how), schema).withColumnRenamed("value", out)
 
 
@@ -115,7 +123,15 @@ def kmers(records: DataFrame, keep: list[str], k: int = 27, seq: str = "seq") ->
     return _run(records, keep, seq, k, None, "all", "kmer").drop("pos")
 
 
-def minimizers(records: DataFrame, keep: list[str], k: int = K, m: int = M, seq: str = "seq") -> DataFrame:
+def counted_kmers(records: DataFrame, keep: list[str], k: int = 27, seq: str = "seq") -> DataFrame:
+    """(keep..., kmer, n): every canonical k-mer with its number. The kernel counts inside a record (without
+    keep inside a batch of records) before anything moves."""
+    check_sizes(k)
+    found = _run(records, keep, seq, k, None, "counted", "kmer")
+    return found.groupBy(*keep, "kmer").agg(F.sum("n").alias("n"))
+
+
+def minimizer_hashes(records: DataFrame, keep: list[str], k: int = K, m: int = M, seq: str = "seq") -> DataFrame:
     """(keep..., minimizer), each once: of each valid k-mer the unsigned smallest hash of its canonical m-mers.
 
     The kernel leaves out repeats inside a record before anything moves; ``distinct`` does the
@@ -125,7 +141,7 @@ def minimizers(records: DataFrame, keep: list[str], k: int = K, m: int = M, seq:
     return _run(records, keep, seq, k, m, "distinct", "minimizer").distinct()
 
 
-def placed_minimizers(records: DataFrame, keep: list[str], k: int = K, m: int = M, seq: str = "seq", runs: bool = False) -> DataFrame:
+def placed_hashes(records: DataFrame, keep: list[str], k: int = K, m: int = M, seq: str = "seq", runs: bool = False) -> DataFrame:
     """(keep..., pos, minimizer) of each valid k-mer of a record, pos from 1; with runs without those
     that repeat the one before, as written before any sort."""
     check_sizes(k, m)
@@ -147,7 +163,7 @@ def hash_positions(records: DataFrame, keep: list[str], m: int, seq: str = "seq"
     return murmur(both.select(*keep, "pos", dna.canonical(F.col("f"), F.col("r")).alias("mer")), "mer", "hash").drop("mer")
 
 
-def window_minimizers(records: DataFrame, keep: list[str], k: int = K, m: int = M, seq: str = "seq") -> DataFrame:
+def window_hashes(records: DataFrame, keep: list[str], k: int = K, m: int = M, seq: str = "seq") -> DataFrame:
     """(keep..., pos, minimizer) of each k-mer of clean fragments, by a window of k - m + 1 hashes. keep must name each fragment."""
     check_sizes(k, m)
     frame = Window.partitionBy(*keep).orderBy("pos").rowsBetween(m - k, 0)
@@ -167,14 +183,32 @@ def kmer_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("kmer").agg(F.count("*").alias("cnt"))
 
 
+def _tallied(seq: str, k: int):
+    """Rows (kmer, n, n_sequences, n_invalid): distinct k-mers of a batch with their numbers, and one row without a k-mer for its sequences."""
+    count = _kernel([], seq, k, None, "counted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["kmer", "n", "n_sequences", "n_invalid"]
+        for b in batches:
+            for found in count(iter([b])):
+                zeros = pa.array(np.zeros(found.num_rows, np.int64))
+                yield pa.RecordBatch.from_arrays([found.column("value"), found.column("n"), zeros, zeros], names)
+            column = b.column(seq)
+            bad = kernels.invalid_signs(_joined(column.cast(pa.binary()).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), *(pa.array([x]) for x in (0, len(column) - column.null_count, bad))], names)
+
+    return run
+
+
 def kmer_stats(records: DataFrame, k: int, seq: str = "seq") -> DataFrame:
-    """One row: n_sequences, n_kmers, n_unique, n_invalid (characters that are no base) over all records."""
-    text = dna.clean(F.col(seq))
+    """One row: n_sequences, n_kmers, n_unique, n_invalid (characters that are no base) over all records, which are read once."""
+    check_sizes(k)
+    base = records.select(F.col(seq).cast("string").alias(seq))
+    tallied = base.mapInArrow(_tallied(seq, k), "kmer long, n long, n_sequences long, n_invalid long")
+    per = tallied.groupBy("kmer").agg(*[F.sum(c).alias(c) for c in ("n", "n_sequences", "n_invalid")])
     zero = F.lit(0).cast("long")
-    sizes = records.agg(F.count(seq).alias("n_sequences"), zero.alias("n_kmers"), zero.alias("n_unique"), F.coalesce(F.sum(F.length(text) - F.length(F.regexp_replace(text, "[^ACGT]", ""))), zero).alias("n_invalid"))
-    counts = kmer_counts(kmers(records, [], k, seq)).agg(zero.alias("n_sequences"), F.coalesce(F.sum("cnt"), zero).alias("n_kmers"), F.count("*").alias("n_unique"), zero.alias("n_invalid"))
-    names = ["n_sequences", "n_kmers", "n_unique", "n_invalid"]
-    return sizes.unionByName(counts).agg(*[F.sum(c).alias(c) for c in names])  # of one row each
+    total = lambda c, out: F.coalesce(F.sum(c), zero).alias(out)
+    return per.agg(total("n_sequences", "n_sequences"), total("n", "n_kmers"), F.count("kmer").alias("n_unique"), total("n_invalid", "n_invalid"))
 
 
 def sorted_unsigned(df: DataFrame, column: str) -> DataFrame:

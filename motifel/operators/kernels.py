@@ -1,4 +1,4 @@
-"""numpy kernels over batches of sequences: codes, k-mers, minimizers."""
+"""numpy kernels over batches of sequences: codes, k-mers, window hashes."""
 
 from __future__ import annotations
 
@@ -20,6 +20,12 @@ def codes(seqs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return _CODE[joined], np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
 
 
+def invalid_signs(seqs: list[bytes]) -> int:
+    """Characters of UTF-8 texts that are no base."""
+    joined = np.frombuffer(b"".join(seqs), np.uint8)
+    return int(((_CODE[joined] == _INVALID) & (joined & 0xC0 != 0x80)).sum())
+
+
 def valid_at(code: np.ndarray, k: int) -> np.ndarray:
     """Where k bases in a row are valid."""
     if len(code) < k:
@@ -66,7 +72,7 @@ def window_minimum(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(out[: len(x) - w + 1], out[w - have : w - have + len(x) - w + 1])
 
 
-def minimizers(code: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+def minimizer_hashes(code: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray]:
     """(place of the k-mer, smallest hash of its canonical m-mers) for each valid k-mer."""
     if len(code) < k:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)

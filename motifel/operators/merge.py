@@ -1,4 +1,4 @@
-"""Merging sets of minimizers, plain or colored.
+"""Merging sets of window hashes, plain or colored.
 
 Any number of inputs is one aggregation with partial merging in each task (``merge_n``); two
 inputs whose colors stand behind each other are a full outer join (``merge_two_colored``). The
@@ -46,6 +46,16 @@ def merge_two_colored(left: DataFrame, right: DataFrame, n_left: int, n_right: i
     return both.select("minimizer", F.concat(wl, wr).alias("color_words"))
 
 
+def merge_n_words(*sets: tuple[DataFrame, int]) -> DataFrame:
+    """(minimizer, color_words) of any number of colored sets, each with its number of colors: the words
+    of each behind those of the one before, zeros where a set has none. One aggregation; a
+    minimizer gathers at most one row of each set."""
+    zero = lambda n: F.array(*[F.lit(0).cast("long")] * n)
+    rows = reduce(DataFrame.union, [s.select("minimizer", F.lit(i).alias("i"), "color_words") for i, (s, _) in enumerate(sets)])
+    by = rows.groupBy("minimizer").agg(F.map_from_entries(F.collect_list(F.struct("i", "color_words"))).alias("by"))
+    return by.select("minimizer", F.concat(*[F.coalesce(F.try_element_at("by", F.lit(i)), zero(b.words_needed(n))) for i, (_, n) in enumerate(sets)]).alias("color_words"))
+
+
 def merge_final(left: DataFrame, right: DataFrame, n_left: int, n_right: int) -> tuple[DataFrame, DataFrame, b.SparseLayout]:
     """The merged set split into dense rows and sparse lists."""
     layout = b.SparseLayout(n_left + n_right, (n_left, n_right))

@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motifel.functions import bits as b
-
-RANGES, SAMPLED = 64, 4096
+from motifel.sources.scratch import shared_path
 
 
 def dense_key(words: Column, minimizer: Column) -> Column:
-    """Text that sorts as dense rows do: color words by their bytes in memory, lowest byte first, then the minimizer."""
-    return F.concat(F.array_join(F.transform(words, lambda w: b.hex16(b.byte_swapped(w))), ""), b.hex16(minimizer))
+    """Bytes that sort as dense rows do: color words by their bytes in memory, lowest byte first, then the minimizer."""
+    return F.unhex(F.concat(F.array_join(F.transform(words, lambda w: b.hex16(b.byte_swapped(w))), ""), b.hex16(minimizer)))
 
 
 def numeric_key(words: Column, minimizer: Column) -> Column:
-    """Text that sorts by the words as unsigned numbers, then the minimizer."""
-    return F.concat(b.words_hex(words), b.hex16(minimizer))
+    """Bytes that sort by the words as unsigned numbers, then the minimizer."""
+    return F.unhex(F.concat(b.words_hex(words), b.hex16(minimizer)))
 
 
 def sparse_key(colors: Column, minimizer: Column) -> Column:
-    """Text that sorts by count, then ids, then minimizer: the order of packed words."""
-    return F.concat(F.lpad(F.hex(F.size(colors)), 8, "0"), F.array_join(F.transform(colors, lambda c: F.lpad(F.hex(c), 8, "0")), ""), b.hex16(minimizer))
+    """Bytes that sort by count, then ids, then minimizer: the order of packed words."""
+    return F.unhex(F.concat(F.lpad(F.hex(F.size(colors)), 8, "0"), F.array_join(F.transform(colors, lambda c: F.lpad(F.hex(c), 8, "0")), ""), b.hex16(minimizer)))
 
 
 def sort_dense(rows: DataFrame) -> DataFrame:
@@ -33,36 +36,37 @@ def sort_sparse(lists: DataFrame) -> DataFrame:
     return lists.orderBy(F.size("colors"), "colors", b.unsigned_key(F.col("minimizer")))
 
 
+_LOCAL = (1 << 33) - 1
+"""The part of a monotonically increasing id that counts inside a partition."""
+
+
 def ordinal(rows: DataFrame, key: Column, out: str = "idx") -> DataFrame:
-    """rows with their number from 0 in the order of key (text, different for each row).
+    """rows with their number from 0 in the order of key (different for each row).
 
-    Ranges of the key are drawn from a bounded sample, which only balances them; rows are
-    numbered inside each range and the sizes of the ranges before it are added. No task sees
-    all rows.
+    The rows are range-partitioned by the key, sorted, and written once with their place in their
+    partition; the sizes of the partitions before it are added when they are read. No task sees
+    more than a partition, and there are as many of those as in any sort of the session.
     """
-    keyed = rows.withColumn("__key", key)
-    total = keyed.count()
-    share = min(1.0, SAMPLED / max(1, total))
-    some = sorted(r[0] for r in keyed.select("__key").sample(share, 17).limit(2 * SAMPLED).collect())
-    step = max(1, len(some) // RANGES)
-    cuts = sorted({*some[step::step]})[: RANGES - 1]
-    part = sum((F.when(F.col("__key") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    placed = keyed.withColumn("__part", part)
-    sizes = {r["__part"]: r["n"] for r in placed.groupBy("__part").agg(F.count("*").alias("n")).collect()}  # RANGES rows
-    before, starts = 0, []
-    for i in range(len(cuts) + 1):
-        starts.append(before)
-        before += sizes.get(i, 0)
-    local = F.row_number().over(Window.partitionBy("__part").orderBy("__key")) - 1
-    start = F.element_at(F.array(*[F.lit(s).cast("long") for s in starts]), F.col("__part") + 1)
-    return placed.withColumn(out, start + local).drop("__key", "__part")
+    spark = rows.sparkSession
+    placed = rows.withColumn("__key", key).repartitionByRange("__key").sortWithinPartitions("__key").drop("__key").withColumn("__at", F.monotonically_increasing_id())
+    path = shared_path(spark, "ordinal")
+    placed.write.parquet(path)
+    placed = spark.read.schema(placed.schema).parquet(path)
+    part = F.shiftright("__at", 33)
+    sizes = sorted(placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())  # a row for each partition
+    starts, before = [], 0
+    for r in sizes:
+        starts.append((r["part"], before))
+        before += r["n"]
+    start = F.broadcast(spark.createDataFrame(starts, "__part long, __start long"))
+    return placed.join(start, part == F.col("__part")).select(*rows.columns, (F.col("__start") + F.col("__at").bitwiseAND(F.lit(_LOCAL))).alias(out))
 
 
 def color_sorter(rows: DataFrame) -> DataFrame:
     """(idx, ordinal, color_words): rows by their words as numbers, equal ones by falling ordinal; the
-    ordinal, a row's number in the order of minimizers, stands for the minimizer."""
+    ordinal, a row's number in the order of window hashes, stands for the minimizer."""
     named = ordinal(rows, b.hex16(F.col("minimizer")), "ordinal")
-    return ordinal(named, F.concat(b.words_hex(F.col("color_words")), b.hex16(F.lit(-1).cast("long") - F.col("ordinal")))).select("idx", "ordinal", "color_words")
+    return ordinal(named, F.unhex(F.concat(b.words_hex(F.col("color_words")), b.hex16(F.lit(-1).cast("long") - F.col("ordinal"))))).select("idx", "ordinal", "color_words")
 
 
 def color_top(lists: DataFrame, n: int = 16, smallest: bool = True) -> DataFrame:
@@ -71,12 +75,37 @@ def color_top(lists: DataFrame, n: int = 16, smallest: bool = True) -> DataFrame
     return lists.orderBy(way(F.size("colors")), way(F.col("colors")), way(b.unsigned_key(F.col("minimizer")))).limit(n)
 
 
-def check_sorted(numbered: DataFrame, key: Column, idx: str = "idx") -> DataFrame:
-    """One row: n_rows, n_violations (rows whose key is below that of the row before). Each row meets
-    its follower by number, so nothing is brought into one place."""
-    base = numbered.select(F.col(idx).alias("i"), key.alias("k"))
-    after = base.select((F.col("i") - 1).alias("i"), F.col("k").alias("after"))
-    return base.join(after, "i", "left").agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("after") < F.col("k"), 1).otherwise(0)), F.lit(0)).cast("long").alias("n_violations"))
+def _falls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for a partition: its rows, its places where the key falls, its first and last key."""
+    n, falls, first, last = 0, 0, None, None
+    for batch in batches:
+        keys = batch.column("k")
+        if not len(keys):
+            continue
+        if first is None:
+            first = keys.slice(0, 1)
+        else:
+            keys = pa.concat_arrays([last, keys])
+        falls += pc.sum(pc.less(keys.slice(1), keys.slice(0, len(keys) - 1))).as_py() or 0
+        n += batch.num_rows
+        last = keys.slice(len(keys) - 1)
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([falls]), first, last], ["n", "falls", "first", "last"])
+
+
+def check_sorted(rows: DataFrame, key: Column, idx: str | None = None) -> DataFrame:
+    """One row: n_rows, n_violations (rows whose key is below that of the row before). The order is that
+    of ``idx``, or without it that of the rows as they are read, partition by partition. A partition
+    is one pass; then the last key of each meets the first of the next."""
+    base = rows.select(key.alias("k"), *([F.col(idx).alias("i")] if idx else []))
+    if idx:
+        base = base.repartitionByRange("i").sortWithinPartitions("i").select("k")
+    kind = base.schema["k"].dataType.simpleString()
+    parts = base.mapInArrow(_falls, f"n long, falls long, first {kind}, last {kind}").withColumn("p", F.monotonically_increasing_id())
+    across = parts.withColumn("before", F.lag("last").over(Window.orderBy("p")))  # a row for each partition
+    border = F.when(F.col("first") < F.col("before"), 1).otherwise(0)
+    zero = F.lit(0).cast("long")
+    return across.agg(F.coalesce(F.sum("n"), zero).alias("n_rows"), F.coalesce(F.sum(F.col("falls") + border), zero).cast("long").alias("n_violations"))
 
 
 def raw_compare(left: DataFrame, right: DataFrame, value: str = "minimizer", around: int = 16, idx: str = "idx") -> DataFrame:

@@ -9,7 +9,7 @@ from motifel.functions import bits as b
 
 
 def color_histogram(rows: DataFrame) -> DataFrame:
-    """(n_colors, occurrences, percent, cumulative): how many minimizers have how many colors. As many rows as colors at most."""
+    """(n_colors, occurrences, percent, cumulative): how many window hashes have how many colors. As many rows as colors at most."""
     per = rows.groupBy(b.popcount(F.col("color_words")).alias("n_colors")).agg(F.count("*").alias("occurrences"))
     # The sum over at most N + 1 rows; the running one in the order of color counts.
     total = F.sum("occurrences").over(Window.partitionBy())
@@ -18,12 +18,12 @@ def color_histogram(rows: DataFrame) -> DataFrame:
 
 
 def color_summary(rows: DataFrame, n_colors: int) -> DataFrame:
-    """One row: n_minimizers, n_words (of the whole set), n_pairs, mean_colors, file_bytes, ram_bytes (a
+    """One row: n_keys, n_words (of the whole set), n_pairs, mean_colors, file_bytes, ram_bytes (a
     minimizer, a pointer, a count and two bytes for each color)."""
     width = 1 + b.words_needed(n_colors)
-    base = rows.agg(F.count("*").alias("n_minimizers"), F.coalesce(F.sum(b.popcount(F.col("color_words"))), F.lit(0)).alias("n_pairs"))
-    n = F.col("n_minimizers")
-    return base.select("n_minimizers", (n * width).alias("n_words"), "n_pairs", (F.col("n_pairs") / n).alias("mean_colors"), (n * width * 8).alias("file_bytes"), (n * 24 + F.col("n_pairs") * 2).alias("ram_bytes"))
+    base = rows.agg(F.count("*").alias("n_keys"), F.coalesce(F.sum(b.popcount(F.col("color_words"))), F.lit(0)).alias("n_pairs"))
+    n = F.col("n_keys")
+    return base.select("n_keys", (n * width).alias("n_words"), "n_pairs", (F.col("n_pairs") / n).alias("mean_colors"), (n * width * 8).alias("file_bytes"), (n * 24 + F.col("n_pairs") * 2).alias("ram_bytes"))
 
 
 def line_count(texts: DataFrame, column: str = "value") -> DataFrame:

@@ -17,7 +17,7 @@ from motifel.functions import dna, hashing
 from motifel.operators import colors, extract, merge, order, stats
 from motifel.plans import sql
 from motifel.plans.index import index_records
-from motifel.sources import fastx, rawmini
+from motifel.sources import fastx, rawmini, storage
 from motifel.sources.generated import generated_sets
 from motifel.sources.scratch import shared_path
 
@@ -74,14 +74,14 @@ def revcomp(spark, sf_dir):
 
 @query(f"WITH {sql.kmer_digits(31)} SELECT doc_id, count(*) AS n_kmers, count(DISTINCT c) AS n_canonical, translate(min(c), '0123', 'ACTG') AS first_kmer, translate(max(c), '0123', 'ACTG') AS last_kmer FROM kmer GROUP BY doc_id")
 def canonical_kmers(spark, sf_dir):
-    found = extract.kmers(_sequences(spark, sf_dir), ["doc_id"], 31)  # 62 bits: no sign to mind
-    per = found.groupBy("doc_id", "kmer").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n_kmers"), F.count("*").alias("n_canonical"), F.min("kmer").alias("a"), F.max("kmer").alias("z"))
+    found = extract.counted_kmers(_sequences(spark, sf_dir), ["doc_id"], 31)  # 62 bits: no sign to mind
+    per = found.groupBy("doc_id").agg(F.sum("n").alias("n_kmers"), F.count("*").alias("n_canonical"), F.min("kmer").alias("a"), F.max("kmer").alias("z"))
     return per.select("doc_id", "n_kmers", "n_canonical", dna.decode(F.col("a"), 31).alias("first_kmer"), dna.decode(F.col("z"), 31).alias("last_kmer"))
 
 
 @query(f"WITH {sql.kmer_digits(9)} SELECT translate(c, '0123', 'ACTG') AS kmer, count(*) AS cnt FROM kmer GROUP BY c")
 def kmer_count(spark, sf_dir):
-    return extract.kmer_counts(extract.kmers(_sequences(spark, sf_dir), [], 9)).select(dna.decode(F.col("kmer"), 9).alias("kmer"), "cnt")
+    return extract.counted_kmers(_sequences(spark, sf_dir), [], 9).select(dna.decode(F.col("kmer"), 9).alias("kmer"), F.col("n").alias("cnt"))
 
 
 @query(f"WITH {sql.kmer_digits(27)} SELECT (SELECT count(seq) FROM seq) AS n_sequences, (SELECT count(*) FROM kmer) AS n_kmers, (SELECT count(DISTINCT c) FROM kmer) AS n_unique, 0::BIGINT AS n_invalid")
@@ -127,32 +127,32 @@ def wang_roundtrip(spark, sf_dir):
     return hashing.wang_inverse(hashed, "hash", "back", 62).select("o_orderkey", "back")
 
 
-# --- minimizers ----------------------------------------------------------------------------
+# --- window hashes ----------------------------------------------------------------------------
 
 K, M = extract.K, extract.M
 _LEAST = sql.window_minima(K, M)
 
 
 @query(f"WITH {_LEAST} SELECT DISTINCT doc_id, {sql.hexed('mn')} AS minimizer FROM least_hash")
-def minimizers_doc(spark, sf_dir):
-    return extract.minimizers(_sequences(spark, sf_dir), ["doc_id"], K, M).select("doc_id", b.hex16(F.col("minimizer")).alias("minimizer"))
+def minimizer_doc(spark, sf_dir):
+    return extract.minimizer_hashes(_sequences(spark, sf_dir), ["doc_id"], K, M).select("doc_id", b.hex16(F.col("minimizer")).alias("minimizer"))
 
 
 @query(f"WITH {_LEAST} SELECT DISTINCT {sql.hexed('mn')} AS minimizer FROM least_hash")
-def minimizers_set(spark, sf_dir):
-    return extract.minimizers(_sequences(spark, sf_dir), [], K, M).select(b.hex16(F.col("minimizer")).alias("minimizer"))
+def minimizer_set(spark, sf_dir):
+    return extract.minimizer_hashes(_sequences(spark, sf_dir), [], K, M).select(b.hex16(F.col("minimizer")).alias("minimizer"))
 
 
 @query(f"WITH {_LEAST}, l AS (SELECT doc_id, pos, mn, lag(mn) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM least_hash) SELECT doc_id, pos, {sql.hexed('mn')} AS minimizer FROM l WHERE before IS NULL OR before <> mn")
 def minimizer_runs(spark, sf_dir):
-    placed = extract.placed_minimizers(_sequences(spark, sf_dir), ["doc_id"], K, M, runs=True)
+    placed = extract.placed_hashes(_sequences(spark, sf_dir), ["doc_id"], K, M, runs=True)
     return placed.select("doc_id", "pos", b.hex16(F.col("minimizer")).alias("minimizer"))
 
 
 @query(f"WITH {_LEAST} SELECT doc_id, count(*) AS n, {sql.hexed('min(mn)')} AS least, {sql.hexed('max(mn)')} AS greatest, {sql.hexed('bit_xor(mn)')} AS mixed FROM least_hash GROUP BY doc_id")
 def window_min(spark, sf_dir):
     """By window functions alone; minimizer_runs is the kernel's way."""
-    placed = extract.window_minimizers(_sequences(spark, sf_dir).select("doc_id", "seq"), ["doc_id"], K, M)
+    placed = extract.window_hashes(_sequences(spark, sf_dir).select("doc_id", "seq"), ["doc_id"], K, M)
     key = b.unsigned_key(F.col("minimizer"))
     agg = placed.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(key).alias("a"), F.max(key).alias("z"), F.bit_xor("minimizer").alias("x"))
     return agg.select("doc_id", "n", b.hex16(b.unsigned_key(F.col("a"))).alias("least"), b.hex16(b.unsigned_key(F.col("z"))).alias("greatest"), b.hex16(F.col("x")).alias("mixed"))
@@ -163,7 +163,7 @@ def _source_index(spark, sf_dir):
     s = _sequences(spark, sf_dir)
     dim = colors.color_dimension(s, "source")
     n = dim.count()
-    records = s.join(F.broadcast(dim), s.source.eqNullSafe(dim.file)).select(F.col("color_id").alias("color"), "seq")  # the list of sources
+    records = s.join(colors.small(dim), s.source.eqNullSafe(dim.file)).select(F.col("color_id").alias("color"), "seq")  # the list of sources
     return index_records(records, dim, n)
 
 
@@ -216,7 +216,7 @@ _hex = lambda: b.words_hex(F.col("color_words")).alias("words")
 def color_bitmap(spark, sf_dir):
     e = _table(spark, sf_dir, "events")
     dim = colors.color_dimension(e, "event_type")
-    return colors.color_bitmap(e.join(F.broadcast(dim), e.event_type == dim.file).select(F.col("user_id").alias("minimizer"), F.col("color_id").alias("color")))  # the list of types
+    return colors.color_bitmap(e.join(colors.small(dim), e.event_type == dim.file).select(F.col("user_id").alias("minimizer"), F.col("color_id").alias("color")))  # the list of types
 
 
 @query(f"WITH {sql.colored(_FULL, _N)} SELECT minimizer, {sql.WORDS_HEX} AS words FROM cs")
@@ -235,12 +235,12 @@ def bitmap_to_list(spark, sf_dir):
     return rows.select("minimizer", _listed(b.to_list(F.col("color_words"), n)).alias("colors"))
 
 
-@query(f"WITH {sql.colored(_FIRST, _N)} SELECT minimizer, {sql.WORDS_HEX} AS words FROM cs")
+@query(f"WITH {sql.colored(_FULL, _N)} SELECT minimizer, {sql.WORDS_HEX} AS words FROM cs")
 def list_to_bitmap(spark, sf_dir):
-    return colors.color_lists(_pairs(spark, sf_dir, 1)).select("minimizer", b.words_hex(b.from_list(F.col("colors"), _n(spark, sf_dir))).alias("words"))
+    return colors.color_lists(_pairs(spark, sf_dir)).select("minimizer", b.words_hex(b.from_list(F.col("colors"), _n(spark, sf_dir))).alias("words"))
 
 
-_LAYOUT = f"WITH {sql.colored(_FIRST, _N)}, laid AS (SELECT cs.*, n, {sql.layout('n', 'nw')} FROM cs, cs_n)"
+_LAYOUT, _LAYOUT_FULL = (f"WITH {sql.colored(x, _N)}, laid AS (SELECT cs.*, n, {sql.layout('n', 'nw')} FROM cs, cs_n)" for x in (_FIRST, _FULL))
 
 
 @query(f"{_LAYOUT} SELECT minimizer, {sql.WORDS_HEX} AS words FROM laid WHERE n <= 64 OR n_set > threshold")
@@ -255,18 +255,18 @@ def split_sparse(spark, sf_dir):
     return colors.split_sparse(rows, b.SparseLayout(n)).select("minimizer", _listed(F.col("colors")).alias("colors"), b.words_hex(F.col("packed")).alias("packed"))
 
 
-@query(f"{_LAYOUT}, {sql.packed('laid')} SELECT minimizer, packed FROM packed")
+@query(f"{_LAYOUT_FULL}, {sql.packed('laid')} SELECT minimizer, packed FROM packed")
 def sparse_pack(spark, sf_dir):
     """All lists packed, however long."""
     layout = b.SparseLayout(_n(spark, sf_dir))
-    lists = colors.color_lists(_pairs(spark, sf_dir, 1))
+    lists = colors.color_lists(_pairs(spark, sf_dir))
     return lists.select("minimizer", b.words_hex(b.sparse_pack(F.col("colors"), layout)).alias("packed"))
 
 
-@query(f"WITH {sql.colored(_FIRST, _N)} SELECT minimizer, {sql.joined()} AS colors FROM cs")
+@query(f"WITH {sql.colored(_FULL, _N)} SELECT minimizer, {sql.joined()} AS colors FROM cs")
 def sparse_unpack(spark, sf_dir):
     layout = b.SparseLayout(_n(spark, sf_dir))
-    packed = colors.color_lists(_pairs(spark, sf_dir, 1)).select("minimizer", b.sparse_pack(F.col("colors"), layout).alias("packed"))
+    packed = colors.color_lists(_pairs(spark, sf_dir)).select("minimizer", b.sparse_pack(F.col("colors"), layout).alias("packed"))
     return packed.select("minimizer", _listed(b.sparse_unpack(F.col("packed"), layout)).alias("colors"))
 
 
@@ -308,7 +308,7 @@ def color_histogram(spark, sf_dir):
     return stats.color_histogram(_rows(spark, sf_dir)[0])
 
 
-@query(f"WITH {sql.colored(_FULL, _N)} SELECT count(*) AS n_minimizers, count(*) * (1 + any_value(nw)) AS n_words, sum(n_set)::BIGINT AS n_pairs, sum(n_set)::DOUBLE / count(*) AS mean_colors, count(*) * (1 + any_value(nw)) * 8 AS file_bytes, count(*) * 24 + sum(n_set)::BIGINT * 2 AS ram_bytes FROM cs, cs_n")
+@query(f"WITH {sql.colored(_FULL, _N)} SELECT count(*) AS n_keys, count(*) * (1 + any_value(nw)) AS n_words, sum(n_set)::BIGINT AS n_pairs, sum(n_set)::DOUBLE / count(*) AS mean_colors, count(*) * (1 + any_value(nw)) * 8 AS file_bytes, count(*) * 24 + sum(n_set)::BIGINT * 2 AS ram_bytes FROM cs, cs_n")
 def color_summary(spark, sf_dir):
     return stats.color_summary(*_rows(spark, sf_dir))
 
@@ -380,7 +380,7 @@ def _line_rows(spark, sf_dir) -> DataFrame:
 def _flag_rows(spark, sf_dir) -> DataFrame:
     li = _table(spark, sf_dir, "lineitem")
     dim = colors.color_dimension(li, "l_returnflag")
-    return colors.color_words(li.join(F.broadcast(dim), li.l_returnflag == dim.file).select(F.col("l_partkey").alias("minimizer"), F.col("color_id").alias("color")), 3)  # three flags
+    return colors.color_words(li.join(colors.small(dim), li.l_returnflag == dim.file).select(F.col("l_partkey").alias("minimizer"), F.col("color_id").alias("color")), 3)  # three flags
 
 
 @query(f"WITH {_behind(_LINES, _FLAGS, '7', '3')} SELECT minimizer, {sql.WORDS_HEX} AS words FROM cs")
@@ -408,6 +408,16 @@ def merge_unequal(spark, sf_dir):
     return merge.merge_two_colored(left, _flag_rows(spark, sf_dir), n, 3).select("minimizer", _hex())
 
 
+_WORDS = f"(({_MAX} + 63) // 64)"
+
+
+@query(f"WITH {sql.colored(f'SELECT minimizer, color FROM ({_FIRST}) UNION ALL SELECT minimizer, color + 64 * {_WORDS} FROM ({_LINES}) UNION ALL SELECT minimizer, color + 64 * (2 * {_WORDS} + 1) FROM ({_FLAGS}) UNION ALL SELECT minimizer, color + 64 * ({_WORDS} + 1) FROM ({_SECOND})', f'SELECT 64 * (2 * {_WORDS} + 2) AS n')} SELECT minimizer, {sql.WORDS_HEX} AS words FROM cs")
+def merge_n_words(spark, sf_dir):
+    """Four colored sets of unequal numbers of words in one merge."""
+    first, n = _rows(spark, sf_dir, 1)
+    return merge.merge_n_words((first, n), (_line_rows(spark, sf_dir), 7), (_rows(spark, sf_dir, 2)[0], n), (_flag_rows(spark, sf_dir), 3)).select("minimizer", _hex())
+
+
 _HEAD, _TAIL = f"{_FULL} WHERE l_linenumber <= 3", f"{_FULL} WHERE l_linenumber > 3"
 _FINAL = f"""WITH {_behind(_HEAD, _TAIL, _MAX, _MAX)}, two AS (SELECT {_MAX}::INT AS one, 2 * {_MAX}::INT AS n),
     laid AS (SELECT cs.*, one, two.n AS total, {sql.layout('two.n', '(2 * ((one + 63) // 64))')} FROM cs, two)"""
@@ -439,9 +449,9 @@ def sort_dense(spark, sf_dir):
     return order.ordinal(rows, order.dense_key(F.col("color_words"), F.col("minimizer"))).select("idx", "minimizer", _hex())
 
 
-@query(f"WITH {sql.colored(_FIRST, _N)} SELECT row_number() OVER (ORDER BY n_set, colors, minimizer) - 1 AS idx, minimizer, {sql.joined()} AS colors FROM cs")
+@query(f"WITH {sql.colored(_FULL, _N)} SELECT row_number() OVER (ORDER BY n_set, colors, minimizer) - 1 AS idx, minimizer, {sql.joined()} AS colors FROM cs")
 def sort_sparse(spark, sf_dir):
-    lists = colors.color_lists(_pairs(spark, sf_dir, 1))
+    lists = colors.color_lists(_pairs(spark, sf_dir))
     return order.ordinal(lists, order.sparse_key(F.col("colors"), F.col("minimizer"))).select("idx", "minimizer", _listed(F.col("colors")).alias("colors"))
 
 
@@ -455,15 +465,15 @@ def sort_unsigned(spark, sf_dir):
 def check_sorted(spark, sf_dir):
     rows, _ = _rows(spark, sf_dir)
     key = order.dense_key(F.col("color_words"), F.col("minimizer"))
-    return order.check_sorted(order.ordinal(rows, key), key)
+    return order.check_sorted(order.ordinal(rows, key), key, "idx")
 
 
 @query(f"WITH {sql.colored(_FULL, _N)}, k AS (SELECT minimizer, {sql.SWAPPED_HEX} AS key FROM cs), l AS (SELECT key, lag(key) OVER (ORDER BY minimizer) AS before FROM k) SELECT count(*) AS n_rows, count(*) FILTER (WHERE before > key) AS n_violations FROM l")
 def check_unsorted(spark, sf_dir):
-    """The same check over rows in the order of minimizers, which is another one."""
+    """The same check over rows in the order of window hashes, which is another one."""
     rows, _ = _rows(spark, sf_dir)
     numbered = order.ordinal(rows, b.hex16(F.col("minimizer")))
-    return order.check_sorted(numbered, F.array_join(F.transform("color_words", lambda w: b.hex16(b.byte_swapped(w))), ""))
+    return order.check_sorted(numbered, F.array_join(F.transform("color_words", lambda w: b.hex16(b.byte_swapped(w))), ""), "idx")
 
 
 @query(f"WITH {sql.colored(_FULL, _N)}, o AS (SELECT row_number() OVER (ORDER BY minimizer) - 1 AS ordinal, {sql.WORDS_HEX} AS words FROM cs) SELECT row_number() OVER (ORDER BY words, ordinal DESC) - 1 AS idx, ordinal, words FROM o")
@@ -472,11 +482,11 @@ def color_sorter(spark, sf_dir):
 
 
 def _top_sql(way: str) -> str:
-    return f"WITH {sql.colored(_FIRST, _N)}, t AS (SELECT * FROM cs ORDER BY n_set {way}, colors {way}, minimizer {way} LIMIT 16) SELECT minimizer, n_set AS n_colors, {sql.joined()} AS colors FROM t"
+    return f"WITH {sql.colored(_FULL, _N)}, t AS (SELECT * FROM cs ORDER BY n_set {way}, colors {way}, minimizer {way} LIMIT 16) SELECT minimizer, n_set AS n_colors, {sql.joined()} AS colors FROM t"
 
 
 def _top(spark, sf_dir, smallest: bool) -> DataFrame:
-    lists = order.color_top(colors.color_lists(_pairs(spark, sf_dir, 1)), 16, smallest)
+    lists = order.color_top(colors.color_lists(_pairs(spark, sf_dir)), 16, smallest)
     return lists.select("minimizer", F.size("colors").alias("n_colors"), _listed(F.col("colors")).alias("colors"))
 
 
@@ -509,10 +519,14 @@ def first_value_length(spark, sf_dir):
     return stats.first_value_length(_table(spark, sf_dir, "documents").orderBy("doc_id"), "text")
 
 
-@query()
+@query("SELECT count(DISTINCT c_nationkey) AS n_files, 8 * count(*) AS n_bytes, 8 * count(*) // 1024 AS n_kbytes, 8 * count(*) // 1048576 AS n_mbytes FROM customer")
 def file_totals(spark, sf_dir):
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf_dir}/documents.parquet").select("length")
-    return stats.file_totals(files)
+    """Of flat files, one for each nation, that hold its customers."""
+    customers = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("minimizer"), F.col("c_nationkey").cast("int").alias("part"))
+    n = customers.agg(F.max("part")).first()[0] or 0
+    path = shared_path(spark, "nations")
+    rawmini.write_raw(customers.repartitionById(n + 1, F.col("part")), path)
+    return stats.file_totals(spark.createDataFrame([(size,) for _, size in storage.listing(spark, path)], "length long"))
 
 
 @query(f"WITH {sql.colored(_FULL, _N)} SELECT minimizer FROM cs_pairs WHERE color IN (1, 3) GROUP BY 1 HAVING count(*) = 2")
@@ -546,6 +560,51 @@ def fasta_roundtrip(spark, sf_dir):
     return back.select("header", F.length("seq").cast("long").alias("n_bases"), F.md5("seq").alias("digest"))
 
 
+_BACK = f"WITH {sql.SEQ} SELECT doc_id::VARCHAR AS header, length(seq) AS n_bases, md5(seq) AS digest FROM seq WHERE seq IS NOT NULL"
+
+
+def _digested(back: DataFrame) -> DataFrame:
+    return back.select("header", F.length("seq").cast("long").alias("n_bases"), F.md5("seq").alias("digest"))
+
+
+def _fastq(spark, sf_dir) -> DataFrame:
+    """Each sequence as a record of four lines, its quality a run of @."""
+    s = _sequences(spark, sf_dir).where("seq IS NOT NULL")
+    return s.select(F.concat(F.lit("@"), F.col("doc_id"), F.lit("\n"), F.col("seq"), F.lit("\n+\n"), F.regexp_replace("seq", ".", "@")).alias("value"))
+
+
+@query(_BACK)
+def fastq_roundtrip(spark, sf_dir):
+    """All sequences written as plain FASTQ and read again in parts of 1 MB, one task each."""
+    path = shared_path(spark, "fastq")
+    _fastq(spark, sf_dir).write.text(path)
+    return _digested(fastx.read_parts(spark, path, split=1 << 20))
+
+
+@query(_BACK)
+def bz2_roundtrip(spark, sf_dir):
+    path = shared_path(spark, "fastq-bz2")
+    _fastq(spark, sf_dir).write.option("compression", "bzip2").text(path)
+    return _digested(fastx.read_fastx(spark, path))
+
+
+@query(_BACK)
+def lz4_roundtrip(spark, sf_dir):
+    """FASTA in LZ4 frames, one line a sequence."""
+    path = shared_path(spark, "fasta-lz4")
+    s = _sequences(spark, sf_dir).where("seq IS NOT NULL")
+    rawmini.write_lines(s.select(F.concat(F.lit(">"), F.col("doc_id"), F.lit("\n"), F.col("seq")).alias("value")), path, "fasta", "lz4")
+    return _digested(fastx.read_fastx(spark, path))
+
+
+@query(f"WITH {sql.kmer_digits(6)} SELECT translate(c, '0123', 'ACTG') AS kmer, count(*) AS abundance FROM kmer GROUP BY c")
+def kmer_text_roundtrip(spark, sf_dir):
+    path = shared_path(spark, "kmer-text")
+    counts = extract.counted_kmers(_sequences(spark, sf_dir), [], 6)
+    counts.select(dna.decode(F.col("kmer"), 6), "n").write.csv(path, sep="\t")
+    return fastx.read_kmer_text(spark, path)
+
+
 @query(f"WITH {sql.colored(_FULL, _N)} SELECT minimizer, {sql.WORDS_HEX} AS words FROM cs")
 def raw_roundtrip(spark, sf_dir):
     """All rows written as LZ4 frames of flat words and read again."""
@@ -555,20 +614,20 @@ def raw_roundtrip(spark, sf_dir):
     return rawmini.read_raw(spark, path, n).select("minimizer", _hex())
 
 
-@query(f"WITH {sql.colored(_FIRST, _N)} SELECT minimizer, {sql.joined()} AS colors FROM cs")
+@query(f"WITH {sql.colored(_FULL, _N)} SELECT minimizer, {sql.joined()} AS colors FROM cs")
 def sparse_roundtrip(spark, sf_dir):
     n = _n(spark, sf_dir)
     layout = b.SparseLayout(n)
-    lists = colors.color_lists(_pairs(spark, sf_dir, 1))
+    lists = colors.color_lists(_pairs(spark, sf_dir))
     path = shared_path(spark, "sparse")
     rawmini.write_raw(order.sort_sparse(lists).select("minimizer", b.sparse_pack(F.col("colors"), layout).alias("packed")), path, "packed", "gz")
     return rawmini.read_sparse(spark, path, n).select("minimizer", _listed(F.col("colors")).alias("colors"))
 
 
-@query(f"WITH {sql.colored(_FIRST, _N)} SELECT color, count(*) AS n, min(minimizer) AS first_one, max(minimizer) AS last_one FROM cs_pairs GROUP BY 1")
+@query(f"WITH {sql.colored(_FULL, _N)} SELECT color, count(*) AS n, min(minimizer) AS first_one, max(minimizer) AS last_one FROM cs_pairs GROUP BY 1")
 def by_color_roundtrip(spark, sf_dir):
     """A folder for each color, and its set read again."""
-    rows, n = _rows(spark, sf_dir, 1)
+    rows, n = _rows(spark, sf_dir)
     path = shared_path(spark, "by-color")
     rawmini.write_by_color(colors.as_pairs(rows, n), path)
     back = spark.read.schema("minimizer long, color int").parquet(path)
@@ -578,7 +637,7 @@ def by_color_roundtrip(spark, sf_dir):
 @query("""WITH v AS (SELECT unnest(range(256)) AS v), p AS (SELECT v, unnest(range(8)) AS i FROM v), m AS (SELECT v AS color, v::HUGEINT * (256::HUGEINT ** i)::HUGEINT AS x FROM p UNION SELECT v, 0 FROM v),
     k AS (SELECT x, count(DISTINCT color)::INT AS n_colors FROM m GROUP BY x) SELECT n_colors, count(*) AS occurrences FROM k GROUP BY 1""")
 def generated_merge(spark, sf_dir):
-    """The 256 generated sets merged: how many minimizers have how many colors."""
+    """The 256 generated sets merged: how many window hashes have how many colors."""
     rows = colors.color_words(generated_sets(spark, 256), 256)
     return stats.color_histogram(rows).select("n_colors", "occurrences")
 

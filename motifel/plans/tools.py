@@ -37,8 +37,8 @@ def store(rows: DataFrame, path: str, words: str | None) -> None:
         rawmini.write_raw(ordered, path, words, codec if codec in fastx.CODECS else "")
 
 
-def _minimizers(spark, a):
-    found = extract.minimizers(fastx.read_fastx(spark, a.input), [], a.kmer, a.minimizer)
+def _minimizer_set(spark, a):
+    found = extract.minimizer_hashes(fastx.read_fastx(spark, a.input), [], a.kmer, a.minimizer)
     store(found, a.output, None)
     return found
 
@@ -92,13 +92,13 @@ def _top(spark, a):
 def _extract(spark, a):
     one = colors.extract_color(load(spark, a.file, a.colors), a.select, a.colors)
     store(one, a.output, None)
-    return one.agg(F.count("*").alias("n_minimizers"))
+    return one.agg(F.count("*").alias("n_keys"))
 
 
 def _extract_all(spark, a):
     pairs = colors.as_pairs(load(spark, a.file, a.colors), a.colors)
     rawmini.write_by_color(pairs, a.output)
-    return pairs.groupBy("color").agg(F.count("*").alias("n_minimizers")).orderBy("color")
+    return pairs.groupBy("color").agg(F.count("*").alias("n_keys")).orderBy("color")
 
 
 def _index(spark, a):
@@ -118,9 +118,12 @@ def _compare(spark, a):
 
 
 def _check(spark, a):
+    """In the order of the file: dense rows by their words, sparse ones by count, ids and minimizer, plain ones by value."""
+    if a.sparse:
+        rows = rawmini.read_sparse(spark, a.file, a.colors)
+        return order.check_sorted(rows, order.sparse_key(F.col("colors"), F.col("minimizer")))
     rows = load(spark, a.file, a.colors)
-    key = order.dense_key(F.col("color_words"), F.col("minimizer"))
-    return order.check_sorted(rows.withColumn("idx", F.monotonically_increasing_id()), key) if a.colors else rows.agg(F.count("*").alias("n_rows"))
+    return order.check_sorted(rows, order.dense_key(F.col("color_words"), F.col("minimizer")) if a.colors else b.unsigned_key(F.col("minimizer")))
 
 
 def _generate(spark, a):
@@ -138,7 +141,7 @@ _FILE = [(("-f", "--file"), {"required": True}), (("-c", "--colors"), {"type": i
 _TWO = [(("first",), {}), (("second",), {})]
 _OUT = (("-o", "--output"), {"required": True})
 COMMANDS = {
-    "minimizers": (_minimizers, [(("-i", "--input"), {"nargs": "+", "required": True}), _OUT, (("-k", "--kmer"), {"type": int, "default": 31}), (("-m", "--minimizer"), {"type": int, "default": 19})]),
+    "minimizer-set": (_minimizer_set, [(("-i", "--input"), {"nargs": "+", "required": True}), _OUT, (("-k", "--kmer"), {"type": int, "default": 31}), (("-m", "--minimizer"), {"type": int, "default": 19})]),
     "kmers": (_kmers, [(("-i", "--input"), {"nargs": "+", "required": True}), (("-o", "--output"), {}), (("-k", "--kmer"), {"type": int, "default": 27})]),
     "merge": (_merge, [*_TWO, _OUT, (("-c", "--first-colors"), {"type": int, "default": 0}), (("-C", "--second-colors"), {"type": int, "default": 0})]),
     "merge-all": (_merge_all, [(("-i", "--input"), {"nargs": "+", "required": True}), _OUT, (("--colored",), {"action": "store_true"})]),
@@ -150,7 +153,7 @@ COMMANDS = {
     "extract-index": (_index, _FILE),
     "dump": (_dump, _FILE),
     "compare": (_compare, _TWO),
-    "check-sorted": (_check, _FILE),
+    "check-sorted": (_check, [*_FILE, (("--sparse",), {"action": "store_true"})]),
     "generate": (_generate, [_OUT, (("-n", "--sets"), {"type": int, "default": 16})]),
     "encode": (_encode, [(("text",), {})]),
 }

@@ -243,6 +243,15 @@ def write_index(index: DataFrame, path: str, codec: str = "") -> int:
     return _write_parts(index.select("lo", "hi", F.col("n_colors").cast("long"), F.col("colors").cast("array<long>")), path, "idx", codec, _as_index)
 
 
+def write_lines(rows: DataFrame, path: str, kind: str, codec: str = "") -> int:
+    """Writes the text of the column ``value``, a line feed after each, as part files part-NNNNN.<kind>[.codec]."""
+    return _write_parts(rows.select(F.col("value").cast("string")), path, kind, codec, _as_lines)
+
+
+def _as_lines(batch: pa.RecordBatch) -> bytes:
+    return b"".join(x + b"\n" for x in batch.column(0).cast(pa.binary()).to_pylist() if x is not None)
+
+
 def write_hex(rows: DataFrame, path: str, codec: str | None = None) -> None:
     """One 16-digit hex number in each line, in the order of the rows."""
     writer = rows.select(b.hex16(F.col("minimizer")).alias("value")).write

@@ -89,7 +89,8 @@ def listing(spark: SparkSession, paths: list[str] | str) -> list[tuple[str, int]
         if found is None or not len(found):
             raise FileNotFoundError(p)
         for status in found:
-            for s in fs.listStatus(status.getPath()) if status.isDirectory() else [status]:
+            inside = sorted(fs.listStatus(status.getPath()), key=lambda s: s.getPath().getName()) if status.isDirectory() else [status]
+            for s in inside:
                 if s.isFile() and (not status.isDirectory() or not s.getPath().getName().startswith(("_", "."))):
                     out.append((s.getPath().toString(), s.getLen()))
     return out

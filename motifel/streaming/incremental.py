@@ -17,7 +17,7 @@ def update_index(records: DataFrame, path: str, checkpoint: str, k: int = extrac
     """Starts the query over a streaming DataFrame (color, seq)."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        pairs = extract.minimizers(batch, ["color"], k, m).select("minimizer", "color")
+        pairs = extract.minimizer_hashes(batch, ["color"], k, m).select("minimizer", "color")
         pairs.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     writer = records.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)

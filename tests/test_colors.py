@@ -94,8 +94,8 @@ def test_orders(spark, n):
 def test_checks(spark):
     one = lambda v: order.ordinal(spark.createDataFrame([(x,) for x in v], "minimizer long"), b.hex16(F.col("minimizer")))
     a, c = one(range(100)), one([x + (x >= 50) for x in range(120)])
-    assert tuple(order.check_sorted(a, F.col("minimizer")).first()) == (100, 0)
-    assert tuple(order.check_sorted(a, F.col("minimizer") % 10).first()) == (100, 9)
+    assert tuple(order.check_sorted(a, F.col("minimizer"), "idx").first()) == (100, 0)
+    assert tuple(order.check_sorted(a, F.col("minimizer") % 10, "idx").first()) == (100, 9)
     got = sorted(order.raw_compare(a, c).collect(), key=lambda r: r.idx)
     assert [r.idx for r in got] == list(range(34, 66)) and [r.same for r in got] == [i < 50 for i in range(34, 66)]
     assert order.raw_compare(a, a).count() == 0
@@ -103,12 +103,30 @@ def test_checks(spark):
     assert order.ordinal(empty, b.hex16(F.col("minimizer"))).count() == 0
 
 
+def test_checks_across_partitions(spark):
+    """The last key of a partition against the first of the next: 3, 2 | 1, 0 falls three times."""
+    rows = spark.createDataFrame([(3,), (2,), (1,), (0,)], "minimizer long").coalesce(1)
+    two = spark.range(0, 4, 1, 2).select((3 - F.col("id")).alias("minimizer"))
+    assert two.rdd.getNumPartitions() == 2
+    for df in (rows, two):
+        assert tuple(order.check_sorted(df, F.col("minimizer")).first()) == (4, 3)
+    gaps = spark.range(0, 100, 1, 10).where("id < 20 or id >= 70").select(F.when(F.col("id") == 70, 5).otherwise(F.col("id")).alias("minimizer"))
+    assert tuple(order.check_sorted(gaps, F.col("minimizer")).first()) == (50, 1)
+    assert tuple(order.check_sorted(rows.where("minimizer > 9"), F.col("minimizer")).first()) == (0, 0)
+
+
+def test_ordinals_of_many_partitions(spark):
+    rows = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5000).alias("minimizer"))
+    got = order.ordinal(rows, b.hex16(F.col("minimizer")))
+    assert got.where("idx <> minimizer").count() == 0 and got.count() == 5000
+
+
 def test_reports(spark):
     sets, rows = random_rows(spark, 3, 70, 200)
     h = sorted(stats.color_histogram(rows).collect(), key=lambda r: r.n_colors)
     assert sum(r.occurrences for r in h) == len(sets) and abs(h[-1].cumulative - 100) < 1e-9
     s = stats.color_summary(rows, 70).first()
-    assert (s.n_minimizers, s.n_words, s.n_pairs) == (len(sets), 3 * len(sets), sum(map(len, sets.values())))
+    assert (s.n_keys, s.n_words, s.n_pairs) == (len(sets), 3 * len(sets), sum(map(len, sets.values())))
 
 
 def test_extensions(spark):

@@ -27,7 +27,7 @@ def canon(mer):
     return min(code(mer), code(mer[::-1].translate(str.maketrans("ACTG", "TGAC"))))
 
 
-def brute_minimizers(seq, k, m):
+def brute_hashes(seq, k, m):
     out = []
     for run in runs(seq):
         for i in range(len(run) - k + 1):
@@ -48,28 +48,28 @@ def table(spark):
 
 
 @pytest.mark.parametrize("k,m", [(31, 19), (5, 5), (8, 3), (32, 32), (4, 1)])
-def test_minimizers_against_brute_force(spark, table, k, m):
-    got = {(r.id, r.minimizer & MASK) for r in extract.minimizers(table, ["id"], k, m).collect()}
-    assert got == {(i, x) for i, s in sequences() for x in brute_minimizers(s, k, m)}
-    one = {r.minimizer & MASK for r in extract.minimizers(table, [], k, m).collect()}
+def test_hashes_against_brute_force(spark, table, k, m):
+    got = {(r.id, r.minimizer & MASK) for r in extract.minimizer_hashes(table, ["id"], k, m).collect()}
+    assert got == {(i, x) for i, s in sequences() for x in brute_hashes(s, k, m)}
+    one = {r.minimizer & MASK for r in extract.minimizer_hashes(table, [], k, m).collect()}
     assert one == {x for _, x in got}
 
 
 @pytest.mark.parametrize("k,m", [(31, 19), (8, 3)])
 def test_windows_say_the_same_as_the_kernel(spark, table, k, m):
     pieces = extract.seq_fragments(table, min_length=k)
-    window = sorted((r.id, r.frag_id, r.pos, r.minimizer) for r in extract.window_minimizers(pieces, ["id", "frag_id"], k, m).collect())
-    kernel = sorted((r.id, r.frag_id, r.pos, r.minimizer) for r in extract.placed_minimizers(pieces, ["id", "frag_id"], k, m).collect())
+    window = sorted((r.id, r.frag_id, r.pos, r.minimizer) for r in extract.window_hashes(pieces, ["id", "frag_id"], k, m).collect())
+    kernel = sorted((r.id, r.frag_id, r.pos, r.minimizer) for r in extract.placed_hashes(pieces, ["id", "frag_id"], k, m).collect())
     assert window == kernel and len(kernel) > 100
-    lagged = sorted((r.id, r.frag_id, r.pos) for r in extract.minimizer_runs(extract.window_minimizers(pieces, ["id", "frag_id"], k, m), ["id", "frag_id"]).collect())
-    assert lagged == sorted((r.id, r.frag_id, r.pos) for r in extract.placed_minimizers(pieces, ["id", "frag_id"], k, m, runs=True).collect())
+    lagged = sorted((r.id, r.frag_id, r.pos) for r in extract.minimizer_runs(extract.window_hashes(pieces, ["id", "frag_id"], k, m), ["id", "frag_id"]).collect())
+    assert lagged == sorted((r.id, r.frag_id, r.pos) for r in extract.placed_hashes(pieces, ["id", "frag_id"], k, m, runs=True).collect())
 
 
 def test_strands_do_not_matter(spark, table):
     from motifel.functions.dna import clean, revcomp
 
     back = table.select("id", revcomp(clean(F.col("seq"))).alias("seq"))
-    assert {r[0] for r in extract.minimizers(table, []).collect()} == {r[0] for r in extract.minimizers(back, []).collect()}
+    assert {r[0] for r in extract.minimizer_hashes(table, []).collect()} == {r[0] for r in extract.minimizer_hashes(back, []).collect()}
 
 
 @pytest.mark.parametrize("k", [1, 3, 27, 32])
@@ -90,12 +90,12 @@ def test_chunks_and_windows_change_nothing(spark, monkeypatch):
     rng = random.Random(9)
     seq = "".join(rng.choice("ACGTN" if i % 97 == 0 else "ACGT") for i in range(5000))
     df = spark.createDataFrame([(1, seq), (2, seq[:100])], "id long, seq string").coalesce(1)
-    whole = {(r.id, r.minimizer) for r in extract.minimizers(df, ["id"]).collect()}
+    whole = {(r.id, r.minimizer) for r in extract.minimizer_hashes(df, ["id"]).collect()}
     counts = {r.kmer: r.cnt for r in extract.kmer_counts(extract.kmers(df, [], 21)).collect()}
-    assert {(r.id, r.minimizer) for r in extract.minimizers(extract.split_windows(df, 31, starts=100), ["id"]).collect()} == whole
+    assert {(r.id, r.minimizer) for r in extract.minimizer_hashes(extract.split_windows(df, 31, starts=100), ["id"]).collect()} == whole
     assert {r.kmer: r.cnt for r in extract.kmer_counts(extract.kmers(extract.split_windows(df, 21, starts=77), [], 21)).collect()} == counts
-    placed = sorted(map(tuple, extract.placed_minimizers(df, ["id"]).collect()))
-    alone = sorted(map(tuple, extract.placed_minimizers(df, ["id"], runs=True).collect()))
+    placed = sorted(map(tuple, extract.placed_hashes(df, ["id"]).collect()))
+    alone = sorted(map(tuple, extract.placed_hashes(df, ["id"], runs=True).collect()))
     # Kernels run in worker processes, so a small chunk is tried here directly.
     monkeypatch.setattr(extract, "CHUNK", 300)
     import pyarrow as pa
@@ -108,11 +108,11 @@ def test_chunks_and_windows_change_nothing(spark, monkeypatch):
 
 def test_empty_and_bad_sizes(spark):
     empty = spark.createDataFrame([], "id long, seq string")
-    assert extract.minimizers(empty, ["id"]).count() == 0 and extract.kmers(empty, ["id"]).count() == 0
+    assert extract.minimizer_hashes(empty, ["id"]).count() == 0 and extract.kmers(empty, ["id"]).count() == 0
     assert tuple(extract.kmer_stats(empty, 5).first()) == (0, 0, 0, 0)
     for k, m in ((0, 1), (33, 5), (5, 6), (5, 0)):
         with pytest.raises(ValueError):
-            extract.minimizers(empty, ["id"], k, m)
+            extract.minimizer_hashes(empty, ["id"], k, m)
 
 
 def test_hex(spark):

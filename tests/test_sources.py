@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from test_extract import brute_minimizers
+from test_extract import brute_hashes
 
 from motifel.functions import bits as b
 from motifel.operators import colors
@@ -232,7 +232,7 @@ def write_samples(folder, n=5, seed=1):
         codec = ["", ".gz", ".bz2", ".lz4", ""][i % 5]
         (folder / f"f{i}.fasta{codec}").write_bytes(PACK[codec](text.encode()))
         for s in seqs:
-            for x in brute_minimizers(s, 31, 19):
+            for x in brute_hashes(s, 31, 19):
                 want.setdefault(x, set()).add(i)
     return want
 
@@ -263,7 +263,7 @@ def test_stream_gives_the_same_index(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         incremental.update_index(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = {(r.minimizer & MASK, r.color) for r in incremental.pairs(spark, str(tmp_path / "out")).collect()}
-    assert got == {(x, c) for c, s in rows for x in brute_minimizers(s, 31, 19)}
+    assert got == {(x, c) for c, s in rows for x in brute_hashes(s, 31, 19)}
     incremental.compact(spark, str(tmp_path / "out"), str(tmp_path / "whole"))
     assert spark.read.parquet(str(tmp_path / "whole")).count() == len(got)
     assert incremental.rows(spark, str(tmp_path / "out"), 3).count() == len({m for m, _ in got})

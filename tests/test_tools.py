@@ -26,7 +26,7 @@ def test_the_round_trip_of_the_tools(spark, tmp_path):
         assert run("extract-color", "-f", merged, "-c", 5, "-s", i, "-o", tmp_path / f"back{i}.raw").first()[0] == len(fixture_set(i))
         assert run("compare", files[i], tmp_path / f"back{i}.raw").count() == 0
     assert run("compare", files[1], files[2]).count() > 0
-    assert [r.n_minimizers for r in run("extract-all-colors", "-f", merged, "-c", 5, "-o", tmp_path / "colors").collect()] == [len(fixture_set(i)) for i in range(5)]
+    assert [r.n_keys for r in run("extract-all-colors", "-f", merged, "-c", 5, "-o", tmp_path / "colors").collect()] == [len(fixture_set(i)) for i in range(5)]
     assert sum(r.occurrences for r in run("color-stats", "-f", merged, "-c", 5).collect()) == report.n_final
     assert run("dump", "-f", merged, "-c", 5).count() == run("extract-index", "-f", merged, "-c", 5).count() == run("dump", "-f", files[0]).count() + report.n_final - 1
     assert run("color-top", "-f", merged, "-c", 5, "-m", 3).count() == 6
@@ -37,11 +37,30 @@ def test_the_round_trip_of_the_tools(spark, tmp_path):
     assert run("merge", files[1], files[2], "-o", tmp_path / "plain.raw").first().n_final == len({*fixture_set(1), *fixture_set(2)})
 
 
+def test_check_sorted_of_files(spark, tmp_path):
+    from motifel.functions import bits as b
+    from motifel.operators import order
+    from motifel.sources import rawmini
+    from pyspark.sql import functions as F
+
+    check = lambda *a: tuple(tools.main(["check-sorted", "-f", *map(str, a)], spark).first())
+    rows = spark.createDataFrame([(x,) for x in (5, 1, -1, 3)], "minimizer long").coalesce(1)
+    tools.store(rows, str(tmp_path / "sorted"), None)
+    rawmini.write_raw(rows, str(tmp_path / "not"))
+    assert check(tmp_path / "sorted") == (4, 0) and check(tmp_path / "not") == (4, 2)
+    layout = b.SparseLayout(100)
+    lists = spark.createDataFrame([(9, [1]), (2, [0, 5]), (1, [7]), (4, [99])], "minimizer long, colors array<int>").repartition(3)
+    pack = lambda df, name: rawmini.write_raw(df.select("minimizer", b.sparse_pack(F.col("colors"), layout).alias("p")), str(tmp_path / name), "p")
+    pack(order.sort_sparse(lists), "s")
+    pack(lists.orderBy("minimizer").coalesce(1), "t")
+    assert check(tmp_path / "s", "-c", 100, "--sparse") == (4, 0) and check(tmp_path / "t", "-c", 100, "--sparse") == (4, 2)
+
+
 def test_tools_on_sequences(spark, tmp_path):
     (tmp_path / "in").mkdir()
     want = write_samples(tmp_path / "in")
     files = sorted(str(p) for p in (tmp_path / "in").iterdir())
-    assert tools.main(["minimizers", "-i", *files, "-o", str(tmp_path / "m.raw")], spark).count() == len(want)
+    assert tools.main(["minimizer-set", "-i", *files, "-o", str(tmp_path / "m.raw")], spark).count() == len(want)
     assert tools.load(spark, str(tmp_path / "m.raw"), 0).count() == len(want)
     stats = tools.main(["kmers", "-i", *files, "-o", str(tmp_path / "k.parquet")], spark).first()
     assert stats.n_sequences == 9 and spark.read.parquet(str(tmp_path / "k.parquet")).count() == stats.n_unique
