@@ -21,14 +21,16 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier gives label 1, at the threshold of its query."""
+    """Documents that the classifier gives label 1, at the threshold of its query. Null and empty texts
+    are scored as texts without words, and repeated rows alike; an empty table stays empty."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = classify(docs, labels, threshold=0.3, carry=("text", "lang", "source", "n_chars"))
     return scored.where("predicted = 1").select(COLUMNS)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the lines that many of them share; n_chars follows the text."""
+    """All documents without the lines that many of them share; n_chars follows the text. A null text
+    becomes the empty one; a document that loses all its lines stays, empty."""
     done = line_dedup(docs, min_chars=20, min_docs=3, carry=("lang", "source"))
     return done.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
@@ -42,14 +44,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it. Rows of one doc_id are taken equally often."""
-    copies = mix(docs).groupBy(F.col("doc_id").alias("mixed")).agg(F.max("copies").alias("copies")).where("copies > 0")
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("mixed")))
+    """Each row as often as the mix takes it, rows that repeat a doc_id each by their own number. A
+    null source is a source of its own; texts without words stay once."""
+    taken = mix(docs, carry=("text", "lang", "n_chars")).where("copies > 0")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all copies and their places in sequences."""
+    """The pieces of all copies and their places in sequences. An empty text is its end id alone."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 

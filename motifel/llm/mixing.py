@@ -30,10 +30,14 @@ BLOCK_ROWS = 2_000
 """Documents of a source that are rounded together."""
 
 
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sizes = np.fromiter((len(x.split()) for x in common.as_bytes(b.column("text"))), np.int64, b.num_rows)  # of bytes: splits at [\x20\x09-\x0D]+
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(sizes)], ["doc_id", "source", "size"])
+def _sizes(more: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "source", *more]
+        for b in batches:
+            sizes = np.fromiter((len(x.split()) for x in common.as_bytes(b.column("text"))), np.int64, b.num_rows)  # of bytes: splits at [\x20\x09-\x0D]+
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(sizes)], [*names, "size"])
+
+    return run
 
 
 def targets(totals: list[tuple[str | None, int]], share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = (5, 2, 1)) -> list[float]:
@@ -63,8 +67,10 @@ def _rate(lam: Column, x: Column, cap: float) -> Column:
     return F.exp(F.least(lam * x, F.lit(math.log(cap))))
 
 
-def solve(histogram: DataFrame, state: list[dict], cap: float, rounds: int = 60, within: float = 1e-7) -> dict[int, float]:
-    """lambda of each source. histogram: (sid, size, n); state: sid, total, mean, target, smallest."""
+def solve(histogram: DataFrame, state: list[dict], cap: float, rounds: int = 200, within: float = 1e-7) -> dict[int, float]:
+    """lambda of each source. histogram: (sid, size, n); state: sid, total, mean, target, smallest.
+    A Newton step that leaves the interval known to hold the root is replaced by its middle. Sources
+    that miss their target by more than ``within`` of it after all rounds are an error."""
     spark = histogram.sparkSession
     low, high, lam, open_ = {}, {}, {}, set()
     for s in state:
@@ -98,6 +104,8 @@ def solve(histogram: DataFrame, state: list[dict], cap: float, rounds: int = 60,
             if not low[k] < step < high[k]:
                 step = (low[k] + high[k]) / 2 if low[k] > -math.inf else min(2 * high[k], lam[k] * 2) - 1
             lam[k] = step
+    if open_:
+        raise RuntimeError(f"{len(open_)} sources did not reach their target in {rounds} rounds")
     return lam
 
 
@@ -125,8 +133,8 @@ def _diffuse(cap: int):
     return run
 
 
-def mix(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[float, ...] = (5, 2, 1), block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """A row per document: doc_id, source, size, source_size, target, copies, taken, row.
+def mix(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[float, ...] = (5, 2, 1), block_rows: int = BLOCK_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A row per document: doc_id, source, size, source_size, target, copies, taken, row, and the columns of ``carry``.
 
     size: runs of ``[^\\x20\\x09-\\x0D]`` in the text, 0 if null. source_size: the sum of its
     source's; target: the words that its source is to give; copies: 0 to cap; taken:
@@ -136,8 +144,12 @@ def mix(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[float,
     An empty table gives an empty result. ``row`` numbers the rows of the result.
     """
     spark = docs.sparkSession
-    base = common.documents(docs, "source").select("doc_id", "text", F.col("source").cast("string").alias("source"))
-    sized = common.cut(base.mapInArrow(common.tidy(_sizes), "doc_id long, source string, size long").withColumn("row", F.monotonically_increasing_id()), "sizes")
+    handed = [F.col(f"`{c}`").alias(f"c_{c}") for c in carry]
+    common.bound_batches(spark)
+    base = docs.select(common.internal_id("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), *handed)
+    kind, names = dict(base.dtypes), [f"c_{c}" for c in carry]
+    schema = ", ".join(["doc_id long", "source string", *(f"`{c}` {kind[c]}" for c in names), "size long"])
+    sized = common.cut(base.mapInArrow(common.tidy(_sizes(names)), schema).withColumn("row", F.monotonically_increasing_id()), "sizes")
     per_size = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
     totals = per_size.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("total"), F.sum("n").alias("docs"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("smallest")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
@@ -155,6 +167,9 @@ def mix(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[float,
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = due.repartition(parts, "sid", "block").sortWithinPartitions("sid", "block", F.col("size").desc(), "doc_id", "row")
     taken = dealt.mapInArrow(common.tidy(_diffuse(cap)), "doc_id long, sid int, size long, copies long, row long")
-    return taken.join(F.broadcast(dim), "sid").select(
-        common.public_id("doc_id").alias("doc_id"), F.col("s_source").alias("source"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "row"
-    )
+    done = taken.join(F.broadcast(dim), "sid")
+    if carry:
+        done = done.join(sized.select(F.col("row").alias("c_row"), *names), F.col("row") == F.col("c_row"))
+    return done.select(
+        common.public_id("doc_id").alias("doc_id"), F.col("s_source").alias("source"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "row", *(F.col(f"c_{c}").alias(c) for c in carry)
+    )

@@ -8,8 +8,8 @@ hash. Its word vector is its index vector plus the normalised sum of the index v
 its neighbours, gathered over the texts of all documents. A document is the mean of
 the word vectors of all its words, of each kind.
 
-Two things are bounded. The training sample: ``MAX_TRAIN`` labelled rows, those with the
-smallest hash of their id. The word vectors: ``TERMS`` buckets of each kind of term, so that
+Two things are bounded. The training sample: ``MAX_TRAIN`` labelled rows, of the ids with the
+smallest hashes; where ids repeat, the rows with the smallest hashes of id and text. The word vectors: ``TERMS`` buckets of each kind of term, so that
 words whose hashes fall into one bucket share its vector. Labels, language, source and id are no inputs of a score.
 """
 
@@ -215,7 +215,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, folds: i
     )
     chosen = spark.createDataFrame(chosen.collect(), "l_id long, label int")  # max_train rows at most
     sample = common.documents(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "label")
+    sample = sample.dropDuplicates(["doc_id", "text"]).withColumn("at", F.xxhash64("doc_id", "text"))  # a row that is there twice teaches nothing new
     sample = common.cut(sample.repartition(8, F.xxhash64("doc_id")).sortWithinPartitions("doc_id", "text"), "quality-sample")
+    if sample.count() > max_train:  # ids that stand for several texts: rows are bounded too
+        last = sample.select("at").orderBy("at").limit(max_train).agg(F.max("at")).first()[0]
+        sample = sample.where(F.col("at") <= last)
     sums = "kind int, chunk int, sums binary"
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # so that the sums that move do not grow with the input
     parts = common.documents(docs).select("text").coalesce(tasks).mapInArrow(common.tidy(_contexts), sums).groupBy("kind", "chunk").applyInArrow(_added, sums).toArrow().to_pylist()  # 2 * CHUNKS rows of fixed size
@@ -230,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, folds: i
         vectors.append((own / np.linalg.norm(own, axis=1, keepdims=True).clip(1) + total / np.maximum(size, 1e-9)).astype(np.float32))
     del parts
     shared = spark.sparkContext.broadcast(vectors)
-    rows = sample.mapInArrow(common.tidy(_features(shared)), "doc_id long, label int, x binary").orderBy("doc_id", "x").toArrow()  # max_train rows of fixed size, but for repeated ids
+    rows = sample.mapInArrow(common.tidy(_features(shared)), "doc_id long, label int, x binary").orderBy("doc_id", "x").toArrow()  # max_train rows of fixed size
     if not rows.num_rows:  # nothing to learn from
         d = 2 * DIM
         return vectors, Network(np.zeros(d), np.ones(d), np.zeros((d, 1)), np.zeros(1), np.zeros(1), 0.0)

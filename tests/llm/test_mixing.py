@@ -85,3 +85,23 @@ def test_too_many_sources_are_refused(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
     with pytest.raises(ValueError):
         mixing.mix(cases.table(spark, cases.hard_rows()))
+
+
+def test_rates_against_an_independent_solution(spark):
+    """lambda by halving an interval, for each source alone; and no other rates with those sums are closer to one."""
+    rng, state, rows, want = random.Random(9), [], [], {}
+    for sid in range(6):
+        sizes = [rng.choice([1, 3, 40, 200, 1500]) + sid for _ in range(60)]
+        mean, target = sum(sizes) / 60, sum(sizes) * rng.uniform(0.2, 1.9)
+        state.append({"sid": sid, "total": sum(sizes), "mean": mean, "target": target, "smallest": min(sizes)})
+        rows += [(sid, n, sizes.count(n)) for n in set(sizes)]
+        low, high = -1e4, 1e4
+        rate = lambda lam, n: min(2.0, math.exp(min(1.0, lam * n / mean)))  # noqa: B023, E731
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(rate(mid, n) * n for n in sizes) < target else (low, mid)
+        want[sid] = high
+    got = mixing.solve(spark.createDataFrame(rows, "sid int, size long, n long"), state, 2.0)
+    assert all(math.isclose(got[s], want[s], rel_tol=1e-4, abs_tol=1e-5) for s in want)
+    with pytest.raises(RuntimeError, match="did not reach"):
+        mixing.solve(spark.createDataFrame(rows, "sid int, size long, n long"), state, 2.0, rounds=1)

@@ -73,11 +73,37 @@ def test_run_gives_the_same_rows(stages, spark, data_dir):
 
 
 def test_hard_cases(spark, tmp_path):
-    rows = [r[:5] for r in cases.hard_rows()]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    """Nulls, empty and long texts, repeated rows, clashing further columns: each stage's rows are those of its rule."""
+    import test_packing
+    from motifel.llm.mixing import mix
+
+    rows = cases.hard_rows()
     spark.createDataFrame([(i * 3, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    for docs in (docs, docs.where(F.lit(False))):
-        for name, f in corpus_pipeline.STAGES:
-            at = f"{tmp_path}/{name}-{docs.count()}"
-            f(spark, docs, str(tmp_path)).write.mode("overwrite").parquet(at)
-            docs = spark.read.parquet(at)
+    stage = dict(corpus_pipeline.STAGES)
+    key = lambda r: (r.doc_id, r.text, r.lang, r.source, r.n_chars)
+
+    docs = cases.table(spark, rows)  # with columns kept, size, row
+    kept = stage["quality_classifier"](spark, docs, str(tmp_path))
+    assert kept.columns == corpus_pipeline.COLUMNS and cases.norm(key(r) for r in kept.collect()) == cases.norm(r[:5] for r in rows)  # labels are all 1
+    lines = stage["line_dedup"](spark, docs, str(tmp_path)).collect()
+    assert cases.norm((r.doc_id, r.text) for r in lines) == cases.norm((d, t) for d, t, *_ in brute_lines(rows)) and all(r.n_chars == len(r.text) for r in lines)
+    one = stage["ngram_jaccard_join"](spark, docs, str(tmp_path)).collect()
+    groups = brute([(r[0], r[1]) for r in rows])
+    stays = {d for d, _, c in groups if d == c}
+    assert cases.norm(key(r) for r in one) == cases.norm(r[:5] for r in rows if r[0] in stays)
+    mixed = stage["source_mixing"](spark, docs, str(tmp_path)).collect()
+    want = Counter()
+    for r in mix(docs, carry=("text",)).collect():
+        want[r.doc_id, r.text, r.source] += r.copies
+    assert Counter((r.doc_id, r.text, r.source) for r in mixed) == +want
+    words = Counter()
+    for r in mixed:
+        words[r.source] += len((r.text or "").split())
+    for r in mix(docs).groupBy("source").agg(F.max("target").alias("t"), F.max("size").alias("most")).collect():
+        assert abs(words[r.source] - r.t) <= max(20, 0.01 * r.t), r
+    packed = stage["best_fit_packing"](spark, docs, str(tmp_path)).collect()
+    assert test_packing.check([(r[0], r[1]) for r in rows], packed, 2048) >= 1
+
+    empty = docs.where(F.lit(False))
+    for name, f in corpus_pipeline.STAGES:
+        assert f(spark, empty, str(tmp_path)).collect() == [], name

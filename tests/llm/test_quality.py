@@ -107,3 +107,31 @@ def test_temperature_is_fitted_on_rows_not_learnt_from():
     for low in (0.1, 0.3, 0.5, 0.7):
         some = (p >= low) & (p < low + 0.2)
         assert abs(y[some].mean() - p[some].mean()) < 0.12
+
+
+def test_scores_against_a_plain_loop(spark):
+    """Pooling and the forward pass, one number after another, from the vectors and weights of a fit."""
+    rng = random.Random(3)
+    rows = [(i, cases.prose(rng, rng.randint(0, 30)) + (" 12 34 !!" if i % 2 else ""), None, None, None, None, None, None) for i in range(40)]
+    docs, labels = cases.table(spark, rows), spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    vectors, net = quality.fit(docs, labels)
+    got = {r.doc_id: r.score for r in quality.classify(docs, labels).collect()}
+    terms, d = quality.Terms(), quality.DIM
+    for i, text, *_ in rows:
+        kinds = [k.tolist() for k in terms(text.encode())]
+        x = [sum(float(vectors[k][t][j]) for t in kinds[k]) / max(1, len(kinds[k])) for k in (0, 1) for j in range(d)]
+        n = len(text.split())
+        z = [(x[j] - net.mean[j]) / net.scale[j] * n / (n + quality.PRIOR) for j in range(2 * d)]
+        hidden = [np.tanh(sum(z[j] * net.w1[j][h] for j in range(2 * d)) + net.b1[h]) for h in range(len(net.b1))]
+        logit = sum(hidden[h] * net.w2[h] for h in range(len(hidden))) + net.b2
+        assert abs(got[i] - 1 / (1 + np.exp(-logit / net.temperature))) < 1e-5
+
+
+def test_rows_of_repeated_ids_are_bounded(spark, monkeypatch):
+    seen = []
+    real = quality.train
+    monkeypatch.setattr(quality, "train", lambda x, y: seen.append(len(x)) or real(x, y))
+    rows = [(i % 7, cases.prose(random.Random(i % 50), 8), None, None, None, None, None, None) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7)], "doc_id long, quality int")
+    got = quality.classify(cases.table(spark, rows), labels, max_train=30).collect()
+    assert len(got) == 400 and seen == [30]
