@@ -68,9 +68,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage over the written result of the one before; tables that only earlier ones read are deleted as soon as theirs is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mark = common.written()
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = common.cut(docs, f"stage-{name}")
+            common.release(spark, mark, keep=1)
     return docs

@@ -43,15 +43,20 @@ def documents(docs: DataFrame, *more: str, id_col: str = "doc_id", text_col: str
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches by rows and bytes, so that a run of long texts stays small in a worker."""
+    """Arrow batches by rows and bytes, so that a run of long texts stays small in a worker. A setting of the
+    session: plans are made when a result is read, so it stays, and later queries of the session have
+    batches of this size too (their results do not depend on it)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where that is unset, a temporary folder of
+    this machine does in local mode (tests); elsewhere it would lose rows, so that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="motifel-shared-")
         atexit.register(shutil.rmtree, at, True)
         spark.conf.set("spark.checkpoint.dir", at)
@@ -72,13 +77,21 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 _written: list[str] = []
 
 
-def release(spark: SparkSession) -> int:
-    """Deletes the tables that this process wrote by ``cut``: for when all results that read them are stored. Returns how many."""
-    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), len(_written)
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+def written() -> int:
+    """How many tables ``cut`` has written so far, as a mark for ``release``."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Deletes the tables that this process wrote by ``cut`` after a mark, but for the last ``keep``: for when all
+    results that read them are stored. Returns how many."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    gone = _written[since : len(_written) - keep]
+    del _written[since : len(_written) - keep]
+    for p in gone:
+        path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
-    return n
+    return len(gone)
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

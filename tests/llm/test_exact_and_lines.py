@@ -105,5 +105,20 @@ def test_tables_in_the_shared_folder(spark):
     at = common.shared_dir(spark)
     assert common.cut(spark.range(10), "x").agg(F.sum("id")).first()[0] == 45
     assert common.shared_dir(spark) == at
-    path = common._written[-1]
-    assert common.release(spark) > 0 and not os.path.exists(path.removeprefix("file:")) and common.release(spark) == 0
+    mark = common.written()
+    tables = [common.cut(spark.range(n), "x") for n in (3, 4, 5)]
+    first, _, last = (p.removeprefix("file:") for p in common._written[mark:])
+    assert common.release(spark, mark, keep=1) == 2 and not os.path.exists(first) and os.path.exists(last) and tables[2].count() == 5
+    assert common.release(spark, mark) == 1 and not os.path.exists(last) and common.written() == mark
+
+
+def test_no_temporary_folder_on_a_cluster():
+    class Far:
+        class sparkContext:
+            master = "yarn"
+            getConf = staticmethod(dict)
+
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Far)

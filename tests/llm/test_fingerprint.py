@@ -59,6 +59,44 @@ def test_likeness_bounds():
     assert fp.likeness(e, e) == 1 and fp.likeness(a, a) == 1 and fp.likeness(a, e) == 0
 
 
+def plain_sketch(text):
+    """Whole numbers and one k-mer after another: values of the closed syncmers, each once, in order."""
+    def mix(x):
+        x = x * 0x9E3779B97F4A7C15 % 2**64
+        x ^= x >> 29
+        x = x * 0xC2B2AE3D27D4EB4F % 2**64
+        return x ^ x >> 32
+
+    words = [int.from_bytes(text[i : i + 8], "little") for i in range(len(text) - 7)]
+    out = []
+    for i in range(len(text) - 23):
+        order = [mix(w) for w in words[i : i + 17]]
+        if min(order) in (order[0], order[-1]):
+            value = mix((mix((order[0] + words[i + 8]) % 2**64) + words[i + 16]) % 2**64) >> 32
+            if value not in out:
+                out.append(value)
+    return out
+
+
+def plain_likeness(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, v in enumerate(a):
+        for j, w in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if v == w else max(table[i][j + 1], table[i + 1][j])
+    return table[-1][-1] / len({*a, *b}) if a or b else 1.0
+
+
+def test_sketches_and_likeness_against_plain_loops():
+    texts = [t.encode() for r in cases.hard_rows() if 24 <= len(t := r[1] or "") < 1500]
+    texts += [texts[0][: len(texts[0]) // 2] + texts[3], texts[3] + texts[0], texts[0] * 2]
+    plain = [plain_sketch(t) for t in texts]
+    for t, p in zip(texts, plain, strict=True):
+        assert fp.sketch(t).tolist() == p
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            assert abs(fp.likeness(fp.sketch(a), fp.sketch(b)) - plain_likeness(plain[i], plain[j])) < 1e-12
+
+
 def expected(rows):
     key = lambda r: (-(1 << 63) if r[0] is None else r[0])
     rows = sorted(rows, key=key)
@@ -82,6 +120,14 @@ def test_repeated_ids_keep_all_rows(spark):
     rows = cases.hard_rows()
     got = fp.fingerprints(cases.table(spark, rows), buckets=5).collect()
     assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in rows)
+    # Rows of one id follow each other by a hash of their text: the same rows whatever the number of buckets.
+    again = fp.fingerprints(cases.table(spark, rows, 7), buckets=2).collect()
+    assert cases.norm(got) == cases.norm(again)
+    order = {r.text: r.h for r in spark.createDataFrame([(r[1],) for r in rows], "text string").selectExpr("text", "xxhash64(text) AS h").collect()}
+    key = lambda r: (-(1 << 63) if r[0] is None else r[0], order[r[1]])
+    ranked = sorted(rows, key=key)
+    want = [(r[0], hashlib.sha256(((t := r[1] or "")[: len(t) - len(t) // 4] + (n[1] or "")[: len(t) // 4]).encode()).hexdigest()) for r, n in zip(ranked, ranked[1:] + ranked[:1], strict=True)]
+    assert cases.norm((r.doc_id, r.edited_sha256) for r in got) == cases.norm(want)
 
 
 def test_empty_table(spark):
