@@ -79,20 +79,19 @@ def _kernel(names: list[str], seq: str, k: int, m: int | None, how: str):
             seqs = _joined(b.column(seq).cast(pa.binary()).to_pylist())
             last = None  # (row, value) that the chunk before ended with
             for code, starts, first, before in _chunks(seqs, k):
-                if m is None:
-                    at = np.flatnonzero(kernels.valid_at(code, k))
-                    values = kernels.mers(code, k)[at]
-                else:
-                    at, values = kernels.minimizer_hashes(code, k, m)
+                at, values = kernels.kmer_values(code, k) if m is None else kernels.minimizer_hashes(code, k, m)
                 own = np.searchsorted(starts, at, "right") - 1
                 row, pos, n = first + own, at - starts[own] + before + 1, None
                 if how != "all" and len(row):
                     if how in ("distinct", "counted"):
-                        if names:
-                            order = np.lexsort((values, row))
-                            row, values = row[order], values[order]
-                        else:
-                            row, values = np.zeros(len(row), row.dtype), np.sort(values)
+                        if how == "distinct":  # most hashes repeat the one before
+                            new = np.concatenate([[True], (row[1:] != row[:-1]) | (values[1:] != values[:-1])])
+                            row, values = row[new], values[new]
+                        if not names:
+                            row = np.zeros(len(row), row.dtype)
+                        ends = np.flatnonzero(np.diff(row, append=-1)) + 1
+                        for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                            values[i:j].sort()
                     new = np.concatenate([[last != (row[0], values[0])], (row[1:] != row[:-1]) | (values[1:] != values[:-1])])
                     if how == "runs":
                         last = (row[-1], values[-1])

@@ -7,6 +7,8 @@ import numpy as np
 from motifel.functions.hashing import murmur_numpy
 
 _INVALID = 255
+TILE = 1 << 15
+"""Starts of k-mers that are worked on at once."""
 _CODE = np.full(256, _INVALID, np.uint8)
 for _i, _pair in enumerate(("Aa", "Cc", "TtUu", "Gg")):
     for _c in _pair:
@@ -72,9 +74,22 @@ def window_minimum(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(out[: len(x) - w + 1], out[w - have : w - have + len(x) - w + 1])
 
 
+def _tiled(code: np.ndarray, k: int, values) -> tuple[np.ndarray, np.ndarray]:
+    """(place, value) of each valid k-mer; values(codes) gives those of some starts at a time, so that
+    what is between fits in a core's cache."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    for a in range(0, len(code) - k + 1, TILE):
+        tile = code[a : a + TILE + k - 1]
+        at = np.flatnonzero(valid_at(tile, k))
+        found.append((at + a, values(tile)[at]))
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
+def kmer_values(code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, canonical k-mer) of each valid k-mer."""
+    return _tiled(code, k, lambda tile: mers(tile, k))
+
+
 def minimizer_hashes(code: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray]:
     """(place of the k-mer, smallest hash of its canonical m-mers) for each valid k-mer."""
-    if len(code) < k:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at = np.flatnonzero(valid_at(code, k))
-    return at, window_minimum(murmur_numpy(mers(code, m)), k - m + 1)[at]
+    return _tiled(code, k, lambda tile: window_minimum(murmur_numpy(mers(tile, m)), k - m + 1))
