@@ -1,10 +1,10 @@
 """Connected components of links by randomised contraction, without a driver-side graph.
 
 A round gives every vertex a new random priority, lets it choose the vertex of the least
-priority among itself and its neighbours, and puts the choice in its place in all links.
-Whatever the ids and their order, a round is expected to leave at most three quarters of the
-vertices (half of a chain's), so the rounds are logarithmic and all of them together move a
-small multiple of the links. The choices are put together from the last round to the first.
+priority among all that are at most two links away, and puts the choice in its place in all
+links. Stars and cliques are done in one round; whatever the ids and their order, a chain keeps a
+third of its vertices, so the rounds are logarithmic and all of them together move a small
+multiple of the links. The choices are put together from the last round to the first.
 
 Every table of a round is written to the shared folder, so none depends on the executors
 that made the one before. A vertex with a large share of all links, or a component with a
@@ -54,11 +54,14 @@ def contract(links: DataFrame) -> list[DataFrame]:
     while n := edges.count():
         priority = lambda c: F.xxhash64(F.col(c), F.lit(len(maps)))  # noqa: B023, E731
         least = edges.groupBy("a").agg(F.min_by("b", priority("b")).alias("near"), F.count("*").alias("n"))
-        chosen = common.cut(least.select(F.col("a").alias("k"), F.when(priority("near") < priority("a"), F.col("near")).otherwise(F.col("a")).alias("value"), "n"), "chosen")
-        hot = chosen.where(F.col("n") * HOT_SHARE > n).select("k")
+        first = F.when(priority("near") < priority("a"), F.col("near")).otherwise(F.col("a"))
+        near = common.cut(least.select(F.col("a").alias("k"), first.alias("value"), "n"), "near")
+        hot = common.cut(near.where(F.col("n") * HOT_SHARE > n).select("k"), "hot")
+        seen = hot_lookup(edges, F.col("b"), n, near, hot, "x").select("a", "x").union(near.select("k", "value"))
+        chosen = common.cut(seen.groupBy(F.col("a").alias("k")).agg(F.min_by("x", priority("x")).alias("value")), "chosen")
         half = hot_lookup(edges, F.col("a"), n, chosen, hot, "x").select(F.col("x").alias("a"), "b").distinct()
         whole = hot_lookup(half, F.col("b"), n, chosen, hot, "x").select("a", F.col("x").alias("b")).where(F.col("a") != F.col("b")).distinct()
-        maps.append(chosen.select("k", "value"))
+        maps.append(chosen)
         edges = common.cut(whole, "links")
     return maps
 

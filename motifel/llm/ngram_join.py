@@ -508,25 +508,26 @@ def ngram_groups(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (75,
     short = sides(met.where(F.col("key").isNull()).select("a", "b").distinct())
 
     # Long lists: those with the same members (by 128 bits of them) are one; a list is worked on in blocks of its members.
-    listing = common.cut(met.where(F.col("key").isNotNull()).select("key", F.col("b").alias("node")).distinct(), "listed")
-    n_listed = listing.count()
+    # Sketches join last and in the order of their sets, so that those that move for several lists stand together and pack well.
+    listing = met.where(F.col("key").isNotNull()).select("key", F.col("b").alias("node")).distinct()
     signs = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"sign{i}") for i in range(2)]
     sized = common.cut(listing.groupBy("key").agg(F.count("*").alias("size"), *signs), "lists")
+    n_listed = sized.agg(F.sum("size")).first()[0] or 0
     lists = sized.where("size > 1").groupBy("size", "sign0", "sign1").agg(F.min("key").alias("k"))
-    lists = lists.select("k", F.ceil(F.col("size") / BLOCK).cast("long").alias("value"))
-    hot_lists = sized.where(F.col("size") * HOT_SHARE > n_listed).select(F.col("key").alias("k"))
+    lists = common.cut(lists.select("k", F.ceil(F.col("size") / BLOCK).cast("long").alias("value")), "lists-kept")
+    hot_lists = common.cut(sized.where(F.col("size") * HOT_SHARE > n_listed).select(F.col("key").alias("k")), "hot")
     member = hot_lookup(listing, F.col("key"), n_listed, lists, hot_lists, "blocks").where(F.col("blocks").isNotNull())
-    member = member.join(classes.select("node", "n", "sketch"), "node")
-    member = common.cut(member.select("key", "node", "n", "sketch", F.col("blocks").cast("int").alias("blocks"), F.pmod(F.xxhash64("node", F.lit(7)), "blocks").cast("int").alias("own")), "long-lists")
-    stars = member.groupBy("key", "own").applyInArrow(_stars(rule), "a long, b long").distinct()
+    member = common.cut(member.select("key", "node", F.col("blocks").cast("int").alias("blocks"), F.pmod(F.xxhash64("node", F.lit(7)), "blocks").cast("int").alias("own")), "long-lists")
+    sketched = lambda df: df.join(classes.select("node", "n", "sketch"), "node").sortWithinPartitions("node")
+    stars = sketched(member).groupBy("key", "own").applyInArrow(_stars(rule), "a long, b long").distinct()
     tried = common.cut(short.union(stars).distinct(), "candidates")
     linked = _linked(tried, classes, base, n, rule, names)
 
     labels = common.cut(groups(linked), "groups")
-    placed = common.cut(member.join(labels, F.col("node") == F.col("v"), "left").withColumn("comp", F.coalesce("comp", "node")).drop("v"), "placed-lists")
+    placed = member.join(labels, F.col("node") == F.col("v"), "left").withColumn("comp", F.coalesce("comp", "node")).drop("v")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select(F.col("key").alias("k"), F.lit(1).cast("long").alias("value"))
     mixed = common.cut(mixed, "mixed-lists")
-    dealt = hot_lookup(placed, F.col("key"), n_listed, mixed, hot_lists, "open").where(F.col("open").isNotNull())
+    dealt = sketched(hot_lookup(placed, F.col("key"), n_listed, mixed, hot_lists, "open").where(F.col("open").isNotNull()))
     dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "own", "node", "n", "comp", "sketch")
     across = dealt.groupBy("key", "i", "j").applyInArrow(_across(rule), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")

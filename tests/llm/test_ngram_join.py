@@ -153,6 +153,12 @@ def test_rounds_of_a_shuffled_chain(spark, seed):
     assert left[0] == 4096 and all(b <= 0.75 * a + 2 for a, b in zip(left, left[1:], strict=False))
 
 
+def test_a_star_and_a_clique_take_one_round(spark):
+    links = [(i, 0) for i in range(1, 3000)] + [(i, j) for i in range(5000, 5030) for j in range(5000, i)]
+    random.Random(1).shuffle(links)
+    assert len(cc.contract(spark.createDataFrame(links, "a long, b long"))) == 1
+
+
 def test_hot_keys_are_few(spark):
     rows = spark.range(5000).select(F.when(F.col("id") < 3000, F.lit(7)).otherwise(F.col("id")).alias("v"))
     assert [r.k for r in cc.hot_keys(rows, "v", 5000).collect()] == [7]
