@@ -70,6 +70,25 @@ QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_document_fingerprint
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES = {
+    "op6_ngram_jaccard_join": rf"""
+        WITH RECURSIVE low AS (
+          SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+        gram AS (
+          SELECT DISTINCT doc_id, md5(unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                 ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g
+          FROM low),
+        size AS (SELECT doc_id, count(*) AS n FROM gram GROUP BY 1),
+        shared AS (
+          SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+          FROM gram a JOIN gram b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        link AS (
+          SELECT a, b FROM shared JOIN size x ON a = x.doc_id JOIN size y ON b = y.doc_id
+          WHERE 100 * c >= 75 * (x.n + y.n - c)),
+        way AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach AS (SELECT a AS v, b AS r FROM way UNION SELECT reach.v, way.b FROM reach JOIN way ON reach.r = way.a),
+        least_of AS (SELECT v, min(r) AS least FROM reach GROUP BY 1)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(l.least, d.doc_id)) AS component_id
+        FROM documents d LEFT JOIN size ON size.doc_id = d.doc_id LEFT JOIN least_of l ON l.v = d.doc_id""",
     "op10_exact_dedup": f"""
         WITH t AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
