@@ -29,18 +29,22 @@ class Trees:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 5, rate: float = 0.15, bins: int = 32, l2: float = 2.0, weight: np.ndarray | None = None) -> Trees:
-    """Trees for P(y = 1) by Newton boosting of the log loss. Deterministic."""
+def boost(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 5, rate: float = 0.15, bins: int = 32, l2: float = 2.0, weight: np.ndarray | None = None, columns: float = 1.0) -> Trees:
+    """Trees for P(y = 1) by Newton boosting of the log loss; each tree sees a share ``columns`` of the features. Deterministic."""
+    rng = np.random.default_rng(1)
     w = np.ones(len(x)) if weight is None else weight
     cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
     binned = np.stack([np.searchsorted(c, col, "left") for c, col in zip(cuts, x.T, strict=True)], 1)
-    n, m = x.shape
+    n = len(x)
+    useful = np.flatnonzero([len(c) > 0 and np.ptp(col) > 0 for c, col in zip(cuts, x.T, strict=True)])
     prior = float(np.clip(np.average(y, weights=w), 1e-3, 1 - 1e-3))
     score = np.full(n, np.log(prior / (1 - prior)))
     base, inner = float(score[0]), (1 << depth) - 1
     out = Trees(base, np.zeros((trees, inner), np.int64), np.full((trees, inner), np.inf), np.zeros((trees, 1 << depth)), depth)
-    flat = binned + np.arange(m) * bins
     for k in range(trees):
+        some = useful if columns >= 1 else np.sort(rng.choice(useful, max(1, int(columns * len(useful))), replace=False))
+        m = len(some)
+        flat = binned[:, some] + np.arange(m) * bins
         p = 1 / (1 + np.exp(-score))
         g, h = w * (y - p), w * p * (1 - p)
         at = np.zeros(n, np.int64)
@@ -55,8 +59,9 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 5, rate: f
             gain[(hh < 1) | (th - hh < 1)] = 0
             best = gain.reshape(width, -1).argmax(1)
             for node in range(width):
-                f, b = divmod(int(best[node]), bins)
-                if gain[node, f, b] > 1e-6 and b < len(cuts[f]):
+                j, b = divmod(int(best[node]), bins)
+                f = some[j]
+                if gain[node, j, b] > 1e-6 and b < len(cuts[f]):
                     out.feature[k, first + node], out.threshold[k, first + node] = f, cuts[f][b]
             at = 2 * at + 1 + (x[np.arange(n), out.feature[k, at]] > out.threshold[k, at])
         own = at - inner

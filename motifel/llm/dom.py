@@ -161,11 +161,13 @@ class Page:
         return [self.tags[n] for n in stack[1:]]
 
 
-N_FEATURES = 2 * len(KINDS) + 3 * len(WORDS) + 27
+N_FEATURES = 2 * len(KINDS) + 3 * len(WORDS) + 36
 
 
 def features(page: Page) -> np.ndarray:
-    """A row per node: tag, attribute words of itself, its parent and all ancestors, subtree sizes and densities, depth, place, siblings."""
+    """A row per node: tag, attribute words of itself, its parent and all ancestors, subtree sizes and densities, depth,
+    place, siblings; how much text it has beside its largest and its earlier siblings, on the way to the root too; the
+    main heading; and what the page as a whole tells by its tags and attributes."""
     n = len(page.tags)
     parent = page.parents
     x = np.zeros((n, N_FEATURES), np.float32)
@@ -203,6 +205,24 @@ def features(page: Page) -> np.ndarray:
             x[i, 2 * a + w : 2 * a + 2 * w] = x[p, 2 * a : 2 * a + w]
             x[i, 2 * a + 2 * w : 2 * a + 3 * w] = np.maximum(x[p, 2 * a + 2 * w : 2 * a + 3 * w], x[p, 2 * a : 2 * a + w])
     log = math.log1p
+    first = [int(t == "h1") for t in page.tags]
+    for i in range(n - 1, 0, -1):
+        first[parent[i]] += first[i]
+    share, least, earlier, most_before, near_head = [1.0] * n, [1.0] * n, [0.0] * n, [0.0] * n, [0] * n
+    for p, c in enumerate(children):
+        largest, so_far = max((chars[i] for i in c), default=0), 0
+        for i in c:
+            share[i] = chars[i] / max(1, largest)
+            least[i] = min(least[p], share[i])
+            earlier[i] = log(so_far) - log(chars[i])
+            most_before[i] = max(most_before[p], earlier[i]) if p else earlier[i]
+            so_far = max(so_far, chars[i])
+            near_head[i] = near_head[p] + 1 if first[i] else 0  # levels on which it has the main heading in it
+    in_head = [0] * n
+    for i in range(1, n):
+        in_head[i] = max(in_head[parent[i]], near_head[i])
+    told = sum(map(len, page.words))
+    whole = (log(told), sum(k == 0 for k in kind), log(total), log(sum(t == "h1" for t in page.tags)))
     rows = []
     place = [0] * n
     alike = []  # for each parent, its children of each kind
@@ -220,6 +240,7 @@ def features(page: Page) -> np.ndarray:
             log(chars[i]), log(words[i]), links[i] / max(1, chars[i]), log(count[i]), chars[i] / count[i] / 100, marks[i] / max(1, words[i]), log(paragraphs[i]), log(items[i]), log(heads[i]), log(inputs[i]),
             words[i] / max(1, runs[i]), log(longest[i]), depth[i], before[i] / total, chars[i] / total, chars[i] / max(1, chars[p]), k, len(sib), k / len(sib), same / len(sib),
             log(chars[prev]) if prev >= 0 else -1, log(chars[nxt]) if nxt >= 0 else -1, kind[prev] if prev >= 0 else -1, kind[nxt] if nxt >= 0 else -1, links[p] / max(1, chars[p]), log(paragraphs[p]), log(chars[p]),
+            share[i], least[i], earlier[i], most_before[i], in_head[i], *whole,
         ))
     x[:, 2 * a + 3 * w :] = rows
     return x

@@ -16,16 +16,18 @@ def model():
     return hx.trained()
 
 
-def test_held_out_pages(model):
+@pytest.mark.parametrize("silent,least", [(False, 0.98), (True, 0.92)])
+def test_held_out_pages(model, silent, least):
+    """Precision and recall of characters; silent: without any class, id and role."""
     right = wrong = missed = 0
     for h in pages(200, seed=1234):
-        p = Page(h)
+        p = Page(re.sub(r' (?:class|id|role)="[^"]*"', "", h) if silent else h)
         y, kept = hx.labels(p), decode(p.parents, model.probabilities(features(p)))
         for t, a, b in zip(p.texts, y, kept, strict=True):
             right += len(t) * bool(a and b)
             wrong += len(t) * bool(b and not a)
             missed += len(t) * bool(a and not b)
-    assert right / (right + wrong) > 0.98 and right / (right + missed) > 0.98
+    assert right / (right + wrong) > least and right / (right + missed) > least
 
 
 def test_siblings_of_one_kind_are_counted_at_every_size():
