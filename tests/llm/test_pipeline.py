@@ -100,7 +100,7 @@ def test_hard_cases(spark, tmp_path):
     for r in mixed:
         words[r.source] += len((r.text or "").split())
     for r in mix(docs).groupBy("source").agg(F.max("target").alias("t"), F.max("size").alias("most")).collect():
-        assert abs(words[r.source] - r.t) <= max(20, 0.01 * r.t), r
+        assert abs(words[r.source] - r.t) <= max(20, 0.01 * r.t, r.most / 2), r  # whole copies of one long document
     packed = stage["best_fit_packing"](spark, docs, str(tmp_path)).collect()
     assert test_packing.check([(r[0], r[1]) for r in rows], packed, 2048) >= 1
 
