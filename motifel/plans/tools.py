@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from motifel.functions import bits as b
 from motifel.functions import dna
 from motifel.operators import colors, extract, merge, order, stats
-from motifel.sources import fastx, rawmini
+from motifel.sources import fastx, rawmini, storage
 from motifel.sources.generated import generated_sets
 
 
@@ -38,8 +38,13 @@ def store(rows: DataFrame, path: str, words: str | None) -> None:
 
 
 def _minimizer_set(spark, a):
-    found = extract.minimizer_hashes(fastx.read_fastx(spark, a.input), [], a.kmer, a.minimizer)
-    store(found, a.output, None)
+    """With --save-debug also the hashes as they are before any sort, without repeats in a row, beside the output."""
+    records = fastx.read_fastx(spark, a.input, overlap=a.kmer - 1)
+    if a.save_debug:
+        rawmini.write_raw(extract.placed_hashes(records, [], a.kmer, a.minimizer, runs=True), f"{a.output}.unsorted")
+    found = extract.minimizer_hashes(records, [], a.kmer, a.minimizer)
+    if not a.do_not_save_output:
+        store(found, a.output, None)
     return found
 
 
@@ -102,7 +107,23 @@ def _extract_all(spark, a):
 
 
 def _index(spark, a):
-    return colors.color_index(load(spark, a.file, a.colors), a.colors)
+    index = colors.color_index(load(spark, a.file, a.colors), a.colors)
+    if a.output:
+        codec = a.output.rsplit(".", 1)[-1]
+        rawmini.write_index(index, a.output, codec if codec in fastx.CODECS else "")
+    return index
+
+
+def _line_count(spark, a):
+    return storage.line_counts(spark, a.input)
+
+
+def _value_length(spark, a):
+    return stats.first_value_length(spark.read.text(a.file))
+
+
+def _totals(spark, a):
+    return stats.file_totals(spark.createDataFrame([(n,) for _, n in storage.listing(spark, a.input)], "length long"))
 
 
 def _dump(spark, a):
@@ -141,7 +162,7 @@ _FILE = [(("-f", "--file"), {"required": True}), (("-c", "--colors"), {"type": i
 _TWO = [(("first",), {}), (("second",), {})]
 _OUT = (("-o", "--output"), {"required": True})
 COMMANDS = {
-    "minimizer-set": (_minimizer_set, [(("-i", "--input"), {"nargs": "+", "required": True}), _OUT, (("-k", "--kmer"), {"type": int, "default": 31}), (("-m", "--minimizer"), {"type": int, "default": 19})]),
+    "minimizer-set": (_minimizer_set, [(("-i", "--input"), {"nargs": "+", "required": True}), _OUT, (("-k", "--kmer"), {"type": int, "default": 31}), (("-m", "--minimizer"), {"type": int, "default": 19}), (("--save-debug",), {"action": "store_true"}), (("--do-not-save-output",), {"action": "store_true"})]),
     "kmers": (_kmers, [(("-i", "--input"), {"nargs": "+", "required": True}), (("-o", "--output"), {}), (("-k", "--kmer"), {"type": int, "default": 27})]),
     "merge": (_merge, [*_TWO, _OUT, (("-c", "--first-colors"), {"type": int, "default": 0}), (("-C", "--second-colors"), {"type": int, "default": 0})]),
     "merge-all": (_merge_all, [(("-i", "--input"), {"nargs": "+", "required": True}), _OUT, (("--colored",), {"action": "store_true"})]),
@@ -150,7 +171,10 @@ COMMANDS = {
     "color-top": (_top, [*_FILE, (("-m", "--rows"), {"type": int, "default": 16})]),
     "extract-color": (_extract, [*_FILE, _OUT, (("-s", "--select"), {"type": int, "required": True})]),
     "extract-all-colors": (_extract_all, [*_FILE, _OUT]),
-    "extract-index": (_index, _FILE),
+    "extract-index": (_index, [*_FILE, (("-o", "--output"), {})]),
+    "line-count": (_line_count, [(("-i", "--input"), {"nargs": "+", "required": True})]),
+    "value-length": (_value_length, [(("-f", "--file"), {"required": True})]),
+    "totals": (_totals, [(("-i", "--input"), {"nargs": "+", "required": True})]),
     "dump": (_dump, _FILE),
     "compare": (_compare, _TWO),
     "check-sorted": (_check, [*_FILE, (("--sparse",), {"action": "store_true"})]),

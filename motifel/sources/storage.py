@@ -9,7 +9,8 @@ from typing import BinaryIO
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The ends of file names that name a codec.
 CODECS = {"gz": "gzip", "bz2": "bz2", "lz4": "lz4"}
@@ -96,6 +97,22 @@ def listing(spark: SparkSession, paths: list[str] | str) -> list[tuple[str, int]
     return out
 
 
+def _count_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = []
+        for path in batch.column("file").to_pylist():
+            with open_in(path) as f:
+                counts.append(sum(block.count(b"\n") for block in blocks(f)))
+        yield pa.RecordBatch.from_arrays([batch.column("file"), pa.array(counts, pa.int64())], ["file", "n_lines"])
+
+
+def line_counts(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """(file, n_lines): the line feeds of each file, plain or compressed, read as a stream, a task a file."""
+    files = [(i, p) for i, (p, _) in enumerate(listing(spark, paths))]
+    dealt = spark.createDataFrame(files, "i int, file string").repartitionById(max(1, len(files)), F.col("i"))
+    return dealt.select("file").mapInArrow(_count_lines, "file string, n_lines long")
+
+
 def rename(spark: SparkSession, pairs: list[tuple[str, str]]) -> None:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for old, new in pairs:

@@ -29,6 +29,8 @@ def test_the_round_trip_of_the_tools(spark, tmp_path):
     assert [r.n_keys for r in run("extract-all-colors", "-f", merged, "-c", 5, "-o", tmp_path / "colors").collect()] == [len(fixture_set(i)) for i in range(5)]
     assert sum(r.occurrences for r in run("color-stats", "-f", merged, "-c", 5).collect()) == report.n_final
     assert run("dump", "-f", merged, "-c", 5).count() == run("extract-index", "-f", merged, "-c", 5).count() == run("dump", "-f", files[0]).count() + report.n_final - 1
+    run("extract-index", "-f", merged, "-c", 5, "-o", tmp_path / "index.gz")
+    assert list((tmp_path / "index.gz").glob("part-*.idx.gz"))
     assert run("color-top", "-f", merged, "-c", 5, "-m", 3).count() == 6
     assert run("color-sort", "-f", merged, "-c", 5, "-o", tmp_path / "sorted").count() == report.n_final
     two = run("merge", merged, files[0], "-c", 5, "-o", tmp_path / "six.6c.gz").first()
@@ -62,6 +64,15 @@ def test_tools_on_sequences(spark, tmp_path):
     files = sorted(str(p) for p in (tmp_path / "in").iterdir())
     assert tools.main(["minimizer-set", "-i", *files, "-o", str(tmp_path / "m.raw")], spark).count() == len(want)
     assert tools.load(spark, str(tmp_path / "m.raw"), 0).count() == len(want)
+    run = lambda *a: tools.main([str(x) for x in a], spark)
+    assert run("minimizer-set", "-i", *files, "-o", tmp_path / "n.raw", "--save-debug", "--do-not-save-output").count() == len(want)
+    assert not (tmp_path / "n.raw").exists()
+    runs = tools.load(spark, str(tmp_path / "n.raw.unsorted"), 0)
+    assert {r[0] & (1 << 64) - 1 for r in runs.collect()} == set(want) and runs.count() >= len(want)
+    assert run("totals", "-i", *files).first().n_bytes == sum((tmp_path / "in" / f).stat().st_size for f in files)
+    lines = {r.file.rsplit("/", 1)[-1].split(".")[0]: r.n_lines for r in run("line-count", "-i", *files).collect()}
+    assert lines == {f"f{i}": 6 if i != 2 else 3 for i in range(5)}
+    assert run("value-length", "-f", files[0]).first().k == len(">s0")
     stats = tools.main(["kmers", "-i", *files, "-o", str(tmp_path / "k.parquet")], spark).first()
     assert stats.n_sequences == 9 and spark.read.parquet(str(tmp_path / "k.parquet")).count() == stats.n_unique
     assert tools.main(["encode", "ACTG"], spark).first().code == 27
