@@ -597,6 +597,19 @@ def lz4_roundtrip(spark, sf_dir):
     return _digested(fastx.read_fastx(spark, path))
 
 
+@query(f"WITH {sql.SEQ}, r AS (SELECT dense_rank() OVER (ORDER BY lang) - 1 AS color, seq FROM seq WHERE seq IS NOT NULL AND lang IS NOT NULL) SELECT color::INT AS color, count(*) AS n_records, sum(length(seq))::BIGINT AS n_bases FROM r GROUP BY 1")
+def directory_scan(spark, sf_dir):
+    """A folder with a file for each language; a file's color is its place in the listing."""
+    path = shared_path(spark, "scan")
+    s = _table(spark, sf_dir, "documents").select("doc_id", "lang", dna.pseudo_dna(F.col("text")).alias("seq")).where("seq IS NOT NULL AND lang IS NOT NULL")
+    dim = colors.color_dimension(s, "lang")
+    lines = s.join(colors.small(dim), s.lang == dim.file).select(F.concat(F.lit(">"), F.col("doc_id"), F.lit("\n"), F.col("seq")).alias("value"), "color_id")
+    rawmini.write_lines(lines.repartitionById(max(1, dim.count()), F.col("color_id")), path, "fasta", "lz4")
+    files = spark.createDataFrame(list(enumerate(fastx.list_files(spark, path))), "color int, file string")
+    back = fastx.read_fastx(spark, [r["file"] for r in files.collect()]).join(colors.small(files), "file")
+    return back.groupBy("color").agg(F.count("*").alias("n_records"), F.sum(F.length("seq")).cast("long").alias("n_bases"))
+
+
 @query(f"WITH {sql.kmer_digits(6)} SELECT translate(c, '0123', 'ACTG') AS kmer, count(*) AS abundance FROM kmer GROUP BY c")
 def kmer_text_roundtrip(spark, sf_dir):
     path = shared_path(spark, "kmer-text")
