@@ -70,7 +70,7 @@ def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     doomed = common.cut(counted.where(F.col("n_docs") >= min_docs).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "keep"), "repeated-lines")
     lost = pairs.join(doomed, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).where(F.col("doc_id") != F.col("keep"))
     as_binary = F.expr("unhex(concat(lpad(hex(h1),16,'0'),lpad(hex(h2),16,'0')))")
-    return lost.groupBy("doc_id").agg(F.collect_list(as_binary).alias("drops"))
+    return lost.groupBy("doc_id").agg(F.collect_set(as_binary).alias("drops"))  # rows that share an id lose the same lines
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
