@@ -218,6 +218,8 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     found: list[tuple[int, int, str, str]] = []
     if _DIGIT.search(text) or "@" in text or "----" in text:
         for kind, p in PATTERNS:
+            if kind == "email" and "@" not in text:
+                continue
             for m in p.finditer(text):
                 group = "v" if "v" in p.groupindex else 0
                 if kind == "phone" and not 8 <= sum(c.isdigit() for c in m[0]) <= 15:
