@@ -34,13 +34,28 @@ TERMS, DIM, NONZERO, WINDOW = 1 << 14, 64, 6, 2
 PRIOR = 10
 MIN_STEPS = 2000
 """Steps of the network's training at least, for small samples."""
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 CHUNKS = 32
 """Parts in which the sums of word vectors are added up."""
 BLOCK, FULL = 1 << 16, (1 << 31) // (2 * WINDOW * NONZERO) - 1
 """Words of a text that are worked on at once, and words of which 32 bits hold all sums."""
 _SHAPE = [(re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), "a"), (re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"\d+"), "9")]
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+#: The same for words of ASCII signs: what is stripped, and the sign that stands for each.
+_STRIPPED = bytes(c for c in range(128) if not chr(c).isalnum())
+_SIGNS = bytes(97 if 97 <= c <= 122 else 65 if 65 <= c <= 90 else 57 if 48 <= c <= 57 else c for c in range(256))
+_RUNS, _TEXT_RUNS = re.compile(rb"(?<=a)a+|(?<=A)A+|(?<=9)9+"), re.compile(r"(?<=a)a+|(?<=A)A+|(?<=9)9+")
+
+
+class _Signs(dict):
+    """For ``str.translate``: the sign that stands for each character, found when it is first seen."""
+
+    def __missing__(self, c: int) -> str:
+        self[c] = sign = next((sign for pattern, sign in _SHAPE if pattern.fullmatch(chr(c))), chr(c))
+        return sign
+
+
+_SIGN_OF = _Signs()
 
 
 def index_vectors(seed: int) -> np.ndarray:
@@ -57,20 +72,33 @@ class Terms:
 
     def __init__(self):
         self.known: dict[bytes, int] = {}
+        self.shapes: dict[bytes | str, int] = {}
+
+    def both(self, w: bytes) -> int:
+        """The buckets of a word and of its shape, as one number."""
+        half = TERMS // 2
+        if w.isascii():
+            signs = w.translate(_SIGNS)
+            shape = self.shapes.get(signs)
+            if shape is None:
+                shape = self.shapes[signs] = xxhash.xxh3_64_intdigest(_RUNS.sub(b"", signs)) % half
+            return xxhash.xxh3_64_intdigest(w.strip(_STRIPPED).lower()) % TERMS * half + shape
+        s = w.decode("utf-8", "replace")
+        signs = s.translate(_SIGN_OF)
+        shape = self.shapes.get(signs)
+        if shape is None:
+            shape = self.shapes[signs] = xxhash.xxh3_64_intdigest(_TEXT_RUNS.sub("", signs)) % half
+        bare = s if s[0].isalnum() and s[-1].isalnum() else _EDGES.sub("", s)
+        return xxhash.xxh3_64_intdigest(bare.lower()) % TERMS * half + shape
 
     def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         words = text.split()
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
+            self.shapes.clear()
         for w in set(words).difference(known):
-            s = w.decode("utf-8", "replace")
-            bare = _EDGES.sub("", s).lower()
-            shape = s
-            for pattern, sign in _SHAPE:
-                shape = pattern.sub(sign, shape)
-            half = TERMS // 2
-            known[w] = xxhash.xxh3_64_intdigest(bare) % TERMS * half + xxhash.xxh3_64_intdigest(shape) % half
+            known[w] = self.both(w)
         both = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         lexical, shape = both // (TERMS // 2), both % (TERMS // 2)
         shape[1:] += (both[1:] == both[:-1]) * (TERMS // 2)

@@ -59,6 +59,23 @@ def test_whole_shapes_count():
     assert a != b
 
 
+def test_words_have_the_buckets_of_the_general_rule():
+    import re
+
+    import xxhash
+
+    rng, terms = random.Random(2), quality.Terms()
+    signs = "abzABZ019 .,_-'!\x01\x7f/" + "éÉßñÑØøЖж日٣½ª×İ\u00ad\ufffd"
+    words = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 12))).replace(" ", "") for _ in range(3000)] + ["http://a.b/C9", "___", "a_b", "--x--", "A1a2"]
+    for w in words:
+        shape = w
+        for pattern, sign in quality._SHAPE:
+            shape = pattern.sub(sign, shape)
+        bare = re.sub(r"^[\W_]+|[\W_]+$", "", w).lower()
+        half = quality.TERMS // 2
+        assert terms.both(w.encode()) == xxhash.xxh3_64_intdigest(bare) % quality.TERMS * half + xxhash.xxh3_64_intdigest(shape) % half, w
+
+
 def test_word_vectors_cover_all_documents(spark):
     """Also texts without a label; sums against a plain loop."""
     texts = [cases.prose(random.Random(i), 40) for i in range(6)] + ["quokka wombat numbat quokka", "x", ""]
