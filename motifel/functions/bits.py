@@ -98,10 +98,55 @@ def has_color(words: Column, color: int) -> Column:
 
 def to_list(words: Column, n_colors: int) -> Column:
     """Ascending color ids of a bitmap. Colors of word i are its set bits plus 64 i."""
-    in_word = F.transform(words, lambda w, i: F.transform(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("getbit", w, b) == 1), lambda b: b + i * 64))
+    none = F.array().cast("array<int>")
+    in_word = F.transform(words, lambda w, i: F.when(w == 0, none).otherwise(_ids(w, i)))
     return F.filter(F.flatten(in_word), lambda c: c < n_colors)
 
 
+def _ids(word: Column, i: Column) -> Column:
+    """Colors of word i."""
+    return F.transform(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("getbit", word, b) == 1), lambda b: b + i * 64)
+
+
+NONZERO = "array<struct<i:int,w:bigint>>"
+"""Words that are not 0, with their places, in their order: a bitmap as large as what is set in it, however many
+colors there are. The functions below want a column of it rather than an expression: they look at neighbours."""
+
+
+def nonzero(words: Column) -> Column:
+    return F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda e: e["w"] != 0)
+
+
+def _gap(some: Column, e: Column, k: Column) -> Column:
+    """How many words that are 0 stand before e, the entry k from 0."""
+    return e["i"] - F.when(k == 0, F.lit(-1)).otherwise(F.element_at(some, F.greatest(k, F.lit(1)))["i"]) - 1
+
+
+def _tail(some: Column, n_words: int) -> Column:
+    return F.lit(n_words - 1) - F.coalesce(F.try_element_at(some, F.lit(-1))["i"], F.lit(-1))
+
+
+def nonzero_words(some: Column, n_words: int) -> Column:
+    """All words."""
+    zeros = lambda n: F.array_repeat(F.lit(0).cast("long"), n)
+    return F.concat(F.flatten(F.transform(some, lambda e, k: F.concat(zeros(_gap(some, e, k)), F.array(e["w"])))), zeros(_tail(some, n_words)))
+
+
+def nonzero_hex(some: Column, n_words: int) -> Column:
+    """words_hex of all words."""
+    zeros = lambda n: F.repeat(F.lit("0"), n * 16)
+    return F.concat(F.array_join(F.transform(some, lambda e, k: F.concat(zeros(_gap(some, e, k)), hex16(e["w"]))), ""), zeros(_tail(some, n_words)))
+
+
+def nonzero_list(some: Column, n_colors: int) -> Column:
+    """Ascending color ids, as to_list."""
+    return F.filter(F.flatten(F.transform(some, lambda e: _ids(e["w"], e["i"]))), lambda c: c < n_colors)
+
+
+def nonzero_popcount(some: Column) -> Column:
+    return F.aggregate(some, F.lit(0), lambda a, e: a + F.bit_count(e["w"]))
+
+
 def from_list(colors: Column, n_colors: int) -> Column:
     """The bitmap words of color ids."""
     one = F.lit(1).cast("long")

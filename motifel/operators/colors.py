@@ -2,7 +2,8 @@
 
 Two forms. Pairs: (minimizer, color), the form to join and group. Rows: (minimizer, color_words),
 a bitmap of ceil(N / 64) words in which color c is bit c mod 64 of word c div 64; or (minimizer,
-colors), an ascending list. A color is the rank of its set in the sorted list of all sets, also of
+nonzero), the words of the bitmap that are not 0 with their places (bits.NONZERO), which with many colors
+are far fewer; or (minimizer, colors), an ascending list. A color is the rank of its set in the sorted list of all sets, also of
 those that hold nothing.
 """
 
@@ -49,9 +50,22 @@ def color_words(pairs: DataFrame, n_colors: int) -> DataFrame:
     if n <= WIDE:
         each = [F.bit_or(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(n)]
         return pairs.groupBy("minimizer").agg(*each).select("minimizer", F.array(*[f"w{i}" for i in range(n)]).alias("color_words"))
-    rows = pairs.groupBy("minimizer", word.cast("int").alias("i")).agg(F.bit_or(bit).alias("w"))
-    packed = rows.groupBy("minimizer").agg(F.map_from_entries(F.collect_list(F.struct("i", "w"))).alias("by"))
-    return packed.select("minimizer", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.element_at("by", i), F.lit(0).cast("long"))).alias("color_words"))
+    return nonzero_rows(pairs).select("minimizer", b.nonzero_words(F.col("nonzero"), n).alias("color_words"))
+
+
+def nonzero_rows(pairs: DataFrame) -> DataFrame:
+    """(minimizer, nonzero) of pairs, which may repeat; of the size of the pairs, whatever the number of colors."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("color") % 64).cast("int"))
+    rows = pairs.groupBy("minimizer", F.floor(F.col("color") / 64).cast("int").alias("i")).agg(F.bit_or(bit).alias("w"))
+    entry = F.when(F.col("i").isNotNull(), F.struct("i", "w"))  # no entry of a null color
+    return rows.groupBy("minimizer").agg(F.sort_array(F.collect_list(entry)).cast(b.NONZERO).alias("nonzero"))
+
+
+def as_nonzero(rows: DataFrame) -> DataFrame:
+    """rows with ``nonzero`` in the place of color_words."""
+    if "nonzero" in rows.columns:
+        return rows
+    return rows.select(*[c for c in rows.columns if c != "color_words"], b.nonzero(F.col("color_words")).alias("nonzero"))
 
 
 def color_lists(pairs: DataFrame) -> DataFrame:
@@ -61,7 +75,7 @@ def color_lists(pairs: DataFrame) -> DataFrame:
 
 def as_pairs(rows: DataFrame, n_colors: int) -> DataFrame:
     """(color, minimizer) for each bit that is set: the set of each color, behind each other."""
-    return rows.select(F.explode(b.to_list(F.col("color_words"), n_colors)).alias("color"), "minimizer")
+    return as_nonzero(rows).select(F.explode(b.nonzero_list(F.col("nonzero"), n_colors)).alias("color"), "minimizer")
 
 
 def extract_color(rows: DataFrame, color: int, n_colors: int) -> DataFrame:
@@ -89,10 +103,12 @@ def split_sparse(rows: DataFrame, layout: b.SparseLayout) -> DataFrame:
     return listed.withColumn("packed", b.sparse_pack(F.col("colors"), layout))
 
 
-def raw_dump(rows: DataFrame, n_colors: int) -> DataFrame:
-    """(minimizer, hex, words, colors) as text, for people."""
-    w = F.col("color_words")
-    return rows.select("minimizer", b.hex16(F.col("minimizer")).alias("hex"), b.words_hex(w).alias("words"), F.array_join(b.to_list(w, n_colors).cast("array<string>"), " ").alias("colors"))
+def raw_dump(rows: DataFrame, n_colors: int, *more: str) -> DataFrame:
+    """(minimizer, hex, words, colors, *more) as text, for people. The text of the words is longer than all else:
+    rows are best numbered or sorted before."""
+    w = F.col("nonzero")
+    listed = F.array_join(b.nonzero_list(w, n_colors).cast("array<string>"), " ").alias("colors")
+    return as_nonzero(rows).select("minimizer", b.hex16(F.col("minimizer")).alias("hex"), b.nonzero_hex(w, b.words_needed(n_colors)).alias("words"), listed, *more)
 
 
 def _mask_words(colors: list[int], n_colors: int) -> list[int]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,14 +13,32 @@ from motifel.functions import bits as b
 from motifel.sources.scratch import shared_path
 
 
+def _key(some: Column, word: Callable[[Column], Column], last: Column) -> Column:
+    """Bytes that sort as all words do, by number, then last. Of the first words that differ the one
+    at an earlier place is against a 0, so it is the greater: places count down, and 0, which is none, ends them."""
+    entry = lambda e: F.concat(F.lpad(F.hex(F.lit(b.LOW) - e["i"]), 8, "0"), b.hex16(word(e["w"])))
+    return F.unhex(F.concat(F.array_join(F.transform(some, entry), ""), F.lit("0" * 8), b.hex16(last)))
+
+
 def dense_key(words: Column, minimizer: Column) -> Column:
-    """Bytes that sort as dense rows do: color words by their bytes in memory, lowest byte first, then the minimizer."""
-    return F.unhex(F.concat(F.array_join(F.transform(words, lambda w: b.hex16(b.byte_swapped(w))), ""), b.hex16(minimizer)))
+    """Bytes that sort as dense rows do: color words by their bytes in memory, lowest byte first, then the
+    minimizer. As long as the words that are not 0."""
+    return dense_key_of(b.nonzero(words), minimizer)
+
+
+def dense_key_of(some: Column, minimizer: Column) -> Column:
+    """dense_key of words by bits.NONZERO."""
+    return _key(some, b.byte_swapped, minimizer)
 
 
 def numeric_key(words: Column, minimizer: Column) -> Column:
     """Bytes that sort by the words as unsigned numbers, then the minimizer."""
-    return F.unhex(F.concat(b.words_hex(words), b.hex16(minimizer)))
+    return numeric_key_of(b.nonzero(words), minimizer)
+
+
+def numeric_key_of(some: Column, last: Column) -> Column:
+    """numeric_key of words by bits.NONZERO."""
+    return _key(some, lambda w: w, last)
 
 
 def sparse_key(colors: Column, minimizer: Column) -> Column:
@@ -29,7 +47,8 @@ def sparse_key(colors: Column, minimizer: Column) -> Column:
 
 
 def sort_dense(rows: DataFrame) -> DataFrame:
-    return rows.orderBy(dense_key(F.col("color_words"), F.col("minimizer")))
+    some = F.col("nonzero") if "nonzero" in rows.columns else b.nonzero(F.col("color_words"))
+    return rows.orderBy(dense_key_of(some, F.col("minimizer")))
 
 
 def sort_sparse(lists: DataFrame) -> DataFrame:
@@ -63,10 +82,12 @@ def ordinal(rows: DataFrame, key: Column, out: str = "idx") -> DataFrame:
 
 
 def color_sorter(rows: DataFrame) -> DataFrame:
-    """(idx, ordinal, color_words): rows by their words as numbers, equal ones by falling ordinal; the
-    ordinal, a row's number in the order of window hashes, stands for the minimizer."""
+    """(idx, ordinal, color_words, or nonzero where rows have that): rows by their words as numbers, equal ones
+    by falling ordinal; the ordinal, a row's number in the order of window hashes, stands for the minimizer."""
+    words = "nonzero" if "nonzero" in rows.columns else "color_words"
+    some = F.col(words) if words == "nonzero" else b.nonzero(F.col(words))
     named = ordinal(rows, b.hex16(F.col("minimizer")), "ordinal")
-    return ordinal(named, F.unhex(F.concat(b.words_hex(F.col("color_words")), b.hex16(F.lit(-1).cast("long") - F.col("ordinal"))))).select("idx", "ordinal", "color_words")
+    return ordinal(named, numeric_key_of(some, F.lit(-1).cast("long") - F.col("ordinal"))).select("idx", "ordinal", words)
 
 
 def color_top(lists: DataFrame, n: int = 16, smallest: bool = True) -> DataFrame:

@@ -205,6 +205,12 @@ def _rows(spark, sf_dir, line: int | None = None) -> tuple[DataFrame, int]:
     return colors.color_words(_pairs(spark, sf_dir, line), n), n
 
 
+def _nonzero(spark, sf_dir) -> tuple[DataFrame, int]:
+    """The same rows by their words that are not 0."""
+    li = _table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("minimizer"), F.col("l_suppkey").cast("int").alias("color"))
+    return colors.nonzero_rows(li), _n(spark, sf_dir)
+
+
 def _listed(c: Column) -> Column:
     return F.array_join(c.cast("array<string>"), ",")
 
@@ -640,7 +646,7 @@ def sparse_roundtrip(spark, sf_dir):
 @query(f"WITH {sql.colored(_FULL, _N)} SELECT color, count(*) AS n, min(minimizer) AS first_one, max(minimizer) AS last_one FROM cs_pairs GROUP BY 1")
 def by_color_roundtrip(spark, sf_dir):
     """A folder for each color, and its set read again."""
-    rows, n = _rows(spark, sf_dir)
+    rows, n = _nonzero(spark, sf_dir)
     path = shared_path(spark, "by-color")
     rawmini.write_by_color(colors.as_pairs(rows, n), path)
     back = spark.read.schema("minimizer long, color int").parquet(path)

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -258,6 +259,54 @@ def write_hex(rows: DataFrame, path: str, codec: str | None = None) -> None:
     (writer.option("compression", codec) if codec else writer).text(path)
 
 
-def write_by_color(pairs: DataFrame, path: str) -> None:
-    """A folder color=<i> for each color."""
-    pairs.write.partitionBy("color").parquet(path)
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int | None, pa.Table]]:
+    """(color, its other columns) of each run of rows of a color."""
+    color, rest = batch.column("color"), pa.Table.from_batches([batch]).drop_columns(["color"])
+    ids, null = color.fill_null(0).to_numpy(), color.is_null().to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (null[1:] != null[:-1])]))
+    for i, j in zip(starts, [*starts[1:], len(ids)], strict=True):
+        yield (None if null[i] else int(ids[i])), rest.slice(i, j - i)
+
+
+def _write_colors(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        part, n, last, out, names = context.partitionId(), 0, None, None, None
+        fs, inside = storage.file_system(folder)
+
+        def done() -> None:
+            out.close()
+            fs.move(*names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for color, rows in _runs(batch):
+                if out is None or color != last:
+                    if out is not None:
+                        done()
+                    at = f"{inside}/color={'__HIVE_DEFAULT_PARTITION__' if color is None else color}"
+                    fs.create_dir(at, recursive=True)
+                    names = f"{at}/.part-{part:05d}-{context.taskAttemptId()}", f"{at}/part-{part:05d}.parquet"
+                    last, out = color, pq.ParquetWriter(names[0], rows.schema, filesystem=fs)
+                    n += 1
+                out.write_table(rows)
+        if out is not None:
+            done()
+            yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+    return run
+
+
+def write_by_color(pairs: DataFrame, path: str) -> int:
+    """A folder color=<i> of Parquet files for each color, as partitionBy makes them; returns the number of
+    files. Rows are dealt and sorted by color first, so a color is one file, or a few where it has more rows than
+    a task should. A task writes under a hidden name and renames: one that runs twice leaves one file."""
+    spark = pairs.sparkSession
+    at = storage.qualified(spark, path)
+    if storage.exists(spark, at):
+        raise FileExistsError(at)
+    dealt = pairs.hint("rebalance", "color").sortWithinPartitions("color")
+    done = dealt.mapInArrow(_write_colors(at), "n long").collect()  # one small row for each task
+    storage.make_folder(spark, at)
+    return sum(r["n"] for r in done)

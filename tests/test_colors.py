@@ -156,3 +156,18 @@ def test_more_than_64_colors(spark, tmp_path):
     assert {int(r.minimizer, 16): int(r.w0, 16) | int(r.w1, 16) << 64 for r in rows} == want and any(v >> 64 for v in want.values())
     with pytest.raises(Exception, match="color_words"):
         colors.color_bitmap(spark.createDataFrame([(1, 64)], "minimizer long, color int")).collect()
+
+
+@pytest.mark.parametrize("n", [5, 64, 130, 1100, 5000])
+def test_nonzero_words_are_the_same_rows(spark, n):
+    rng = random.Random(n)
+    sets = {b.signed(rng.getrandbits(64)): sorted({*rng.sample(range(n), rng.randint(1, 4)), rng.choice([0, n - 1])}) for _ in range(40)}
+    p = spark.createDataFrame([(k, c) for k, v in sets.items() for c in v] * 2 + [(5, None)], "minimizer long, color int").repartition(3)
+    words, some = b.words_needed(n), F.col("nonzero")
+    made = colors.nonzero_rows(p)
+    shown = made.select("minimizer", "nonzero", b.nonzero_words(some, words).alias("w"), b.nonzero_hex(some, words).alias("x"), b.nonzero_list(some, n).alias("l"), b.nonzero_popcount(some).alias("n"))
+    for r in shown.withColumn("back", b.nonzero(F.col("w"))).withColumn("hex", b.words_hex(F.col("w"))).collect():
+        want = sets.get(r.minimizer, [])
+        assert r.l == want and r.n == len(want) and r.nonzero == r.back and r.x == r.hex and len(r.w) == words
+        assert [x % (1 << 64) for x in r.w] == [sum(1 << (c % 64) for c in want if c // 64 == i) for i in range(words)]
+    assert {(r.minimizer, r.color) for r in colors.as_pairs(made, n).collect()} == {(k, c) for k, v in sets.items() for c in v}

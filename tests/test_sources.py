@@ -274,3 +274,17 @@ def test_colors_by_folder(spark, tmp_path):
     rawmini.write_by_color(p, str(tmp_path / "c"))
     assert sorted(r.minimizer for r in spark.read.parquet(str(tmp_path / "c/color=0")).collect()) == [1, 2]
     assert colors.color_count(p) == 2
+
+
+def test_a_color_is_one_file(spark, tmp_path):
+    """However many tasks hold its rows; a null color has Spark's folder for it."""
+    p = spark.range(0, 4000, 1, 8).select((F.col("id") * 7919 % 4000).alias("minimizer"), F.when(F.col("id") % 40 != 3, F.col("id") % 40).cast("int").alias("color"))
+    at = tmp_path / "c"
+    assert rawmini.write_by_color(p, str(at)) == 40
+    files = sorted(f.relative_to(at).parts for f in at.rglob("*.parquet"))
+    assert len(files) == len({f[0] for f in files}) == 40 and not list(at.rglob(".part*"))
+    back = spark.read.schema("minimizer long, color int").parquet(str(at)).collect()
+    assert sorted(map(tuple, back), key=str) == sorted(map(tuple, p.collect()), key=str)
+    with pytest.raises(FileExistsError):
+        rawmini.write_by_color(p, str(at))
+    assert rawmini.write_by_color(p.limit(0), str(tmp_path / "none")) == 0
