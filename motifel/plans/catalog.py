@@ -300,8 +300,9 @@ def color_index(spark, sf_dir):
 
 @query(f"WITH {sql.colored(_FULL, _N)} SELECT row_number() OVER (ORDER BY minimizer) - 1 AS idx, {sql.hexed('minimizer')} AS hex, {sql.WORDS_HEX} AS words, {sql.joined(by=' ')} AS colors FROM cs")
 def raw_dump(spark, sf_dir):
-    dumped = colors.raw_dump(*_rows(spark, sf_dir))
-    return order.ordinal(dumped, F.col("hex")).drop("minimizer")
+    rows, n = _nonzero(spark, sf_dir)
+    numbered = order.ordinal(rows, b.hex16(F.col("minimizer")))
+    return colors.raw_dump(numbered, n, "idx").drop("minimizer")
 
 
 @query("SELECT upper(lpad(to_hex(k), 16, '0')) AS hex FROM (SELECT DISTINCT o_orderkey AS k FROM orders)")
