@@ -470,8 +470,8 @@ def sort_unsigned(spark, sf_dir):
 
 @query(f"WITH {sql.colored(_FULL, _N)} SELECT count(*) AS n_rows, 0::BIGINT AS n_violations FROM cs")
 def check_sorted(spark, sf_dir):
-    rows, _ = _rows(spark, sf_dir)
-    key = order.dense_key(F.col("color_words"), F.col("minimizer"))
+    rows, _ = _nonzero(spark, sf_dir)
+    key = order.dense_key_of(F.col("nonzero"), F.col("minimizer"))
     return order.check_sorted(order.ordinal(rows, key), key, "idx")
 
 

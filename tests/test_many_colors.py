@@ -6,7 +6,10 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from motifel.functions import bits
+from motifel.operators import colors, order
 from motifel.plans import catalog
 from motifel.sources.scratch import shared_path
 
@@ -43,3 +46,19 @@ def run(spark, many, name):
 def test_raw_dump_numbers_rows_before_it_writes_them_out(spark, many):
     _, written = run(spark, many, "raw_dump")
     assert written == [{"minimizer", "nonzero", "__at"}]
+
+
+def test_check_sorted_keeps_rows_small(spark, many):
+    df, written = run(spark, many, "check_sorted")
+    assert written == [{"minimizer", "nonzero", "__at"}] and tuple(df.first()) == (len({r.l_partkey for r in spark.read.parquet(f"{many}/lineitem.parquet").collect()}), 0)
+
+
+def test_keys_of_many_words_are_short_and_sort_alike(spark):
+    rng = random.Random(2)
+    sets = {k: sorted(rng.sample([0, 1, 7, 8, 63, 64, 127, 128, 70_000, 299_999], rng.randint(0, 4))) for k in range(300)}
+    whole = {k: b"".join((sum(1 << (c % 64) for c in v if c // 64 == i)).to_bytes(8, "little") for i in range(4688)) for k, v in sets.items()}
+    rows = colors.nonzero_rows(spark.createDataFrame([(k, c) for k, v in sets.items() for c in v or [None]], "minimizer long, color int"))
+    keyed = {r.minimizer: bytes(r.key) for r in rows.select("minimizer", order.dense_key_of(F.col("nonzero"), F.col("minimizer")).alias("key")).collect()}
+    assert sorted(sets, key=keyed.get) == sorted(sets, key=lambda k: (whole[k], k)) and max(map(len, keyed.values())) <= 12 * 4 + 12
+    dense = rows.select("minimizer", bits.nonzero_words(F.col("nonzero"), 4688).alias("w"))
+    assert {r.minimizer: bytes(r.key) for r in dense.select("minimizer", order.dense_key(F.col("w"), F.col("minimizer")).alias("key")).collect()} == keyed
