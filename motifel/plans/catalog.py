@@ -485,7 +485,8 @@ def check_unsorted(spark, sf_dir):
 
 @query(f"WITH {sql.colored(_FULL, _N)}, o AS (SELECT row_number() OVER (ORDER BY minimizer) - 1 AS ordinal, {sql.WORDS_HEX} AS words FROM cs) SELECT row_number() OVER (ORDER BY words, ordinal DESC) - 1 AS idx, ordinal, words FROM o")
 def color_sorter(spark, sf_dir):
-    return order.color_sorter(_rows(spark, sf_dir)[0]).select("idx", "ordinal", _hex())
+    rows, n = _nonzero(spark, sf_dir)
+    return order.color_sorter(rows).select("idx", "ordinal", b.nonzero_hex(F.col("nonzero"), b.words_needed(n)).alias("words"))
 
 
 def _top_sql(way: str) -> str:

@@ -62,3 +62,8 @@ def test_keys_of_many_words_are_short_and_sort_alike(spark):
     assert sorted(sets, key=keyed.get) == sorted(sets, key=lambda k: (whole[k], k)) and max(map(len, keyed.values())) <= 12 * 4 + 12
     dense = rows.select("minimizer", bits.nonzero_words(F.col("nonzero"), 4688).alias("w"))
     assert {r.minimizer: bytes(r.key) for r in dense.select("minimizer", order.dense_key(F.col("w"), F.col("minimizer")).alias("key")).collect()} == keyed
+
+
+def test_color_sorter_keeps_rows_small(spark, many):
+    _, written = run(spark, many, "color_sorter")
+    assert sorted(written, key=len) == [{"minimizer", "nonzero", "__at"}, {"minimizer", "nonzero", "ordinal", "__at"}]
