@@ -73,6 +73,14 @@ def color_lists(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("minimizer").agg(F.array_sort(F.collect_set(F.col("color").cast("int"))).alias("colors"))
 
 
+def with_words(rows: DataFrame, n_colors: int) -> DataFrame:
+    """rows with ``color_words`` in the place of nonzero."""
+    if "color_words" in rows.columns:
+        return rows
+    words = b.nonzero_words(F.col("nonzero"), b.words_needed(n_colors)).alias("color_words")
+    return rows.select(*[c for c in rows.columns if c != "nonzero"], words)
+
+
 def as_pairs(rows: DataFrame, n_colors: int) -> DataFrame:
     """(color, minimizer) for each bit that is set: the set of each color, behind each other."""
     return as_nonzero(rows).select(F.explode(b.nonzero_list(F.col("nonzero"), n_colors)).alias("color"), "minimizer")

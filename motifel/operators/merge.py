@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motifel.functions import bits as b
-from motifel.operators.colors import split_dense, split_sparse
+from motifel.operators.colors import as_nonzero, split_dense, split_sparse, with_words
 
 
 def merge_plain(*sets: DataFrame) -> DataFrame:
@@ -57,18 +57,20 @@ def merge_n_words(*sets: tuple[DataFrame, int]) -> DataFrame:
 
 
 def merge_final(left: DataFrame, right: DataFrame, n_left: int, n_right: int) -> tuple[DataFrame, DataFrame, b.SparseLayout]:
-    """The merged set split into dense rows and sparse lists."""
+    """The merged set split into dense rows and sparse lists. The sets meet by their words that are not 0."""
     layout = b.SparseLayout(n_left + n_right, (n_left, n_right))
-    merged = merge_two_colored(left, right, n_left, n_right)
-    dense = split_dense(merged, layout)
     if not layout.split:
-        return dense, split_sparse(merged, layout), layout
+        merged = merge_two_colored(*map(with_words, (left, right), (n_left, n_right)), n_left, n_right)
+        return split_dense(merged, layout), split_sparse(merged, layout), layout
+    l, r = (as_nonzero(s).select("minimizer", F.col("nonzero").alias(name)) for s, name in ((left, "wl"), (right, "wr")))  # noqa: E741
+    none = F.array().cast(b.NONZERO)
+    both = l.join(r, "minimizer", "full_outer").select("minimizer", F.coalesce("wl", none).alias("wl"), F.coalesce("wr", none).alias("wr"))
+    n_set = b.nonzero_popcount(F.col("wl")) + b.nonzero_popcount(F.col("wr"))
     # Words of two inputs do not always lie as those of one: the right set's colors begin at a word of their own.
-    words = b.words_needed(n_left)
-    few = merged.where(b.popcount(F.col("color_words")) <= layout.threshold)
-    left_ids = b.to_list(F.slice("color_words", 1, words), n_left)
-    right_ids = F.transform(b.to_list(F.slice("color_words", words + 1, b.words_needed(n_right)), n_right), lambda c: (c + n_left).cast("int"))
-    listed = few.select("minimizer", F.concat(left_ids, right_ids).alias("colors"))
+    all_words = F.concat(b.nonzero_words(F.col("wl"), b.words_needed(n_left)), b.nonzero_words(F.col("wr"), b.words_needed(n_right)))
+    dense = both.where(n_set > layout.threshold).select("minimizer", all_words.alias("color_words"))
+    right_ids = F.transform(b.nonzero_list(F.col("wr"), n_right), lambda c: (c + n_left).cast("int"))
+    listed = both.where(n_set <= layout.threshold).select("minimizer", F.concat(b.nonzero_list(F.col("wl"), n_left), right_ids).alias("colors"))
     return dense, listed.withColumn("packed", b.sparse_pack(F.col("colors"), layout)), layout
 
 

@@ -433,7 +433,7 @@ _FINAL = f"""WITH {_behind(_HEAD, _TAIL, _MAX, _MAX)}, two AS (SELECT {_MAX}::IN
 def _final(spark, sf_dir):
     n = _n(spark, sf_dir)
     li = _table(spark, sf_dir, "lineitem")
-    half = lambda x: colors.color_words(li.where(x).select(F.col("l_partkey").alias("minimizer"), F.col("l_suppkey").cast("int").alias("color")), n)
+    half = lambda x: colors.nonzero_rows(li.where(x).select(F.col("l_partkey").alias("minimizer"), F.col("l_suppkey").cast("int").alias("color")))
     return merge.merge_final(half("l_linenumber <= 3"), half("l_linenumber > 3"), n, n)
 
 

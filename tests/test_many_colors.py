@@ -67,3 +67,9 @@ def test_keys_of_many_words_are_short_and_sort_alike(spark):
 def test_color_sorter_keeps_rows_small(spark, many):
     _, written = run(spark, many, "color_sorter")
     assert sorted(written, key=len) == [{"minimizer", "nonzero", "__at"}, {"minimizer", "nonzero", "ordinal", "__at"}]
+
+
+def test_merged_sets_meet_by_few_words(spark, many):
+    df, _ = run(spark, many, "merge_final_sparse")
+    assert "color_words" not in df._jdf.queryExecution().analyzed().toString()
+    run(spark, many, "merge_final_dense")
