@@ -629,10 +629,10 @@ def kmer_text_roundtrip(spark, sf_dir):
 @query(f"WITH {sql.colored(_FULL, _N)} SELECT minimizer, {sql.WORDS_HEX} AS words FROM cs")
 def raw_roundtrip(spark, sf_dir):
     """All rows written as LZ4 frames of flat words and read again."""
-    rows, n = _rows(spark, sf_dir)
+    rows, n = _nonzero(spark, sf_dir)
     path = shared_path(spark, "raw")
-    rawmini.write_raw(order.sort_dense(rows), path, "color_words", "lz4")
-    return rawmini.read_raw(spark, path, n).select("minimizer", _hex())
+    rawmini.write_raw_nonzero(order.sort_dense(rows), path, n, "lz4")
+    return rawmini.read_raw(spark, path, n, nonzero=True).select("minimizer", b.nonzero_hex(F.col("nonzero"), b.words_needed(n)).alias("words"))
 
 
 @query(f"WITH {sql.colored(_FULL, _N)} SELECT minimizer, {sql.joined()} AS colors FROM cs")

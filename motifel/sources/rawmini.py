@@ -42,8 +42,18 @@ def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.ascontiguousarray(values), pa.int64()))
 
 
-def dense_batches(path: str, start: int, size: int | None, n_words: int) -> Iterator[pa.RecordBatch]:
-    """Rows of the bytes from ``start`` on, ``size`` of them or all. A part of a row at the end is an error: the number of colors is not that of the file."""
+def _nonzero(rows: np.ndarray) -> pa.Array:
+    """The color words of rows that are not 0, with their places (bits.NONZERO)."""
+    at = np.flatnonzero(rows)
+    row, place = np.divmod(at, rows.shape[1])
+    row, place, at = (x[place > 0] for x in (row, place, at))
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(rows)))])
+    entries = pa.StructArray.from_arrays([pa.array(place - 1, pa.int32()), pa.array(rows.ravel()[at], pa.int64())], ["i", "w"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries)
+
+
+def dense_batches(path: str, start: int, size: int | None, n_words: int, nonzero: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows of the bytes from ``start`` on, ``size`` of them or all, with all words or those that are not 0. A part of a row at the end is an error: the number of colors is not that of the file."""
     row = 8 * (1 + n_words)
     with storage.open_in(path, start) as f:
         for block in storage.blocks(f, row, most=size):
@@ -52,8 +62,8 @@ def dense_batches(path: str, start: int, size: int | None, n_words: int) -> Iter
             rows = np.frombuffer(block, "<i8").reshape(-1, 1 + n_words)
             for i in range(0, len(rows), ROWS):
                 part = rows[i : i + ROWS]
-                words = _lists(np.arange(len(part) + 1) * n_words, part[:, 1:].ravel())
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(part), pa.string()), pa.array(np.ascontiguousarray(part[:, 0])), words], ["file", "minimizer", "color_words"])
+                words = _nonzero(part) if nonzero else _lists(np.arange(len(part) + 1) * n_words, part[:, 1:].ravel())
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(part), pa.string()), pa.array(np.ascontiguousarray(part[:, 0])), words], ["file", "minimizer", "nonzero" if nonzero else "color_words"])
 
 
 def row_starts(words: np.ndarray, per_word: int, width: int) -> tuple[np.ndarray, int]:
@@ -105,7 +115,7 @@ class _Part(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.files, self.sparse = json.loads(options["files"]), options["sparse"] == "true"
+        self.files, self.sparse, self.nonzero = json.loads(options["files"]), options["sparse"] == "true", options["nonzero"] == "true"
         self.n_words, self.split = int(options["words"]), int(options["split"])
         self.layout = json.loads(options["layout"])
 
@@ -128,7 +138,7 @@ class _Reader(DataSourceReader):
             n, parts = self.layout
             yield from sparse_batches(partition.path, b.SparseLayout(n, tuple(parts) if parts else None))
         else:
-            yield from dense_batches(partition.path, partition.start, partition.size, self.n_words)
+            yield from dense_batches(partition.path, partition.start, partition.size, self.n_words, self.nonzero)
 
 
 class RawSource(DataSource):
@@ -137,22 +147,25 @@ class RawSource(DataSource):
         return "motifel_raw"
 
     def schema(self) -> str:
+        if self.options["nonzero"] == "true":
+            return f"file string, minimizer long, nonzero {b.NONZERO}"
         return f"file string, minimizer long, {'packed' if self.options['sparse'] == 'true' else 'color_words'} array<long>"
 
     def reader(self, schema) -> _Reader:
         return _Reader(self.options)
 
 
-def _load(spark: SparkSession, paths: list[str] | str, sparse: bool, n_words: int, layout: list, split: int | None) -> DataFrame:
+def _load(spark: SparkSession, paths: list[str] | str, sparse: bool, n_words: int, layout: list, split: int | None, nonzero: bool = False) -> DataFrame:
     spark.dataSource.register(RawSource)
-    options = {"files": json.dumps(storage.listing(spark, paths)), "sparse": str(sparse).lower(), "words": str(n_words), "layout": json.dumps(layout)}
+    options = {"files": json.dumps(storage.listing(spark, paths)), "sparse": str(sparse).lower(), "words": str(n_words), "layout": json.dumps(layout), "nonzero": str(nonzero).lower()}
     return spark.read.format("motifel_raw").options(**options, split=str(split or storage.split_bytes(spark))).load()
 
 
-def read_raw(spark: SparkSession, paths: list[str] | str, n_colors: int = 0, split: int | None = None) -> DataFrame:
+def read_raw(spark: SparkSession, paths: list[str] | str, n_colors: int = 0, split: int | None = None, nonzero: bool = False) -> DataFrame:
     """(file, minimizer, color_words) of dense files; without colors the words are empty. Files that do
-    not hold whole rows are an error. split: bytes of a part, by default as in Spark's file sources."""
-    return _load(spark, paths, False, b.words_needed(n_colors) if n_colors else 0, [], split)
+    not hold whole rows are an error. split: bytes of a part, by default as in Spark's file sources. nonzero:
+    (file, minimizer, nonzero) instead, so that Spark gets the words only that are not 0."""
+    return _load(spark, paths, False, b.words_needed(n_colors) if n_colors else 0, [], split, nonzero)
 
 
 def read_sparse(spark: SparkSession, paths: list[str] | str, n_colors: int, parts: tuple[int, int] | None = None) -> DataFrame:
@@ -181,6 +194,19 @@ def _as_words(batch: pa.RecordBatch) -> bytes:
     return interleaved(first, batch.column(1).fill_null([]) if batch.column(1).null_count else batch.column(1)).astype("<i8").tobytes()
 
 
+def _as_dense(n_words: int):
+    def encode(batch: pa.RecordBatch) -> bytes:
+        """All words of rows (minimizer, nonzero)."""
+        lists = batch.column(1)
+        entries, row = lists.flatten(), np.repeat(np.arange(batch.num_rows), lists.value_lengths().fill_null(0).to_numpy())
+        out = np.zeros((batch.num_rows, 1 + n_words), "<i8")
+        out[:, 0] = batch.column(0).to_numpy()
+        out[row, 1 + entries.field("i").to_numpy()] = entries.field("w").to_numpy()
+        return out.tobytes()
+
+    return encode
+
+
 def _as_index(batch: pa.RecordBatch) -> bytes:
     """lo, hi, count and colors of each row as 32-bit words."""
     lo, hi, n = (batch.column(i).to_numpy().astype(np.int64) for i in range(3))
@@ -198,7 +224,7 @@ def _as_index(batch: pa.RecordBatch) -> bytes:
     return out.astype("<u4").tobytes()
 
 
-def _write(folder: str, kind: str, codec: str, encode):
+def _write(folder: str, kind: str, codec: str, encode, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part, path, n, out = context.partitionId(), "", 0, None
@@ -208,7 +234,8 @@ def _write(folder: str, kind: str, codec: str, encode):
             if out is None:
                 path = f"{folder}/{part:05d}-{context.taskAttemptId()}"
                 out = storage.open_out(path, codec)
-            out.write(encode(batch))
+            for i in range(0, batch.num_rows, most):
+                out.write(encode(batch.slice(i, most)))
             n += batch.num_rows
         if out is not None:
             out.close()
@@ -217,12 +244,13 @@ def _write(folder: str, kind: str, codec: str, encode):
     return run
 
 
-def _write_parts(rows: DataFrame, path: str, kind: str, codec: str, encode) -> int:
+def _write_parts(rows: DataFrame, path: str, kind: str, codec: str, encode, most: int = ROWS) -> int:
+    """most: rows that are encoded at once."""
     spark = rows.sparkSession
     at = storage.qualified(spark, path)
     temporary = f"{at}/_temporary-{uuid.uuid4().hex}"
     try:
-        done = rows.mapInArrow(_write(temporary, kind, codec, encode), "part long, path string, n long").collect()  # one small row for each part
+        done = rows.mapInArrow(_write(temporary, kind, codec, encode, most), "part long, path string, n long").collect()  # one small row for each part
         suffix = f".{kind}.{codec}" if codec else f".{kind}"
         spark._jvm.org.apache.hadoop.fs.Path(at).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(at))
         storage.rename(spark, [(r["path"], f"{at}/part-{r['part']:05d}{suffix}") for r in done])
@@ -238,6 +266,12 @@ def write_raw(rows: DataFrame, path: str, words: str | None = None, codec: str =
     return _write_parts(rows.select("minimizer", *([F.col(words).cast("array<long>").alias("words")] if words else [])), path, "raw", codec, _as_words)
 
 
+def write_raw_nonzero(rows: DataFrame, path: str, n_colors: int, codec: str = "") -> int:
+    """write_raw of rows (minimizer, nonzero): the files have all words, which the tasks that write them fill in."""
+    n_words = b.words_needed(n_colors)
+    return _write_parts(rows.select("minimizer", "nonzero"), path, "raw", codec, _as_dense(n_words), max(1, storage.BLOCK // (8 * (1 + n_words))))
+
+
 def write_index(index: DataFrame, path: str, codec: str = "") -> int:
     """Writes rows (lo, hi, n_colors, colors) as a stream of 32-bit little-endian words: the halves of
     the minimizer, the count, the colors. Part files part-NNNNN.idx[.codec], as ``write_raw`` does."""

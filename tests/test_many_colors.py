@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from motifel.functions import bits
 from motifel.operators import colors, order
 from motifel.plans import catalog
+from motifel.sources import rawmini, storage
 from motifel.sources.scratch import shared_path
 
 
@@ -73,3 +74,23 @@ def test_merged_sets_meet_by_few_words(spark, many):
     df, _ = run(spark, many, "merge_final_sparse")
     assert "color_words" not in df._jdf.queryExecution().analyzed().toString()
     run(spark, many, "merge_final_dense")
+
+
+def test_raw_roundtrip_gives_spark_few_words(spark, many):
+    df, _ = run(spark, many, "raw_roundtrip")
+    assert "color_words" not in df._jdf.queryExecution().analyzed().toString()
+
+
+@pytest.mark.parametrize("n", [1, 64, 130, 5000])
+@pytest.mark.parametrize("codec", ["", "lz4"])
+def test_files_of_nonzero_words_are_those_of_all_words(spark, tmp_path, n, codec):
+    rng = random.Random(n)
+    sets = {k * 7 - 70: {rng.choice([0, n - 1, rng.randrange(n)]) for _ in range(rng.randint(0, 3))} for k in range(300)}
+    rows = colors.nonzero_rows(spark.createDataFrame([(k, c) for k, v in sets.items() for c in sorted(v) or [None]], "minimizer long, color int")).orderBy("minimizer").coalesce(1)
+    rawmini.write_raw_nonzero(rows, str(tmp_path / "some"), n, codec)
+    rawmini.write_raw(colors.with_words(rows, n), str(tmp_path / "all"), "color_words", codec)
+    name = "part-00000.raw" + (codec and "." + codec)
+    plain = [storage.open_in(str(tmp_path / x / name)).read() for x in ("some", "all")]
+    assert plain[0] == plain[1] and len(plain[0]) == 300 * 8 * (1 + bits.words_needed(n))
+    back = rawmini.read_raw(spark, str(tmp_path / "some"), n, split=1000, nonzero=True)
+    assert {r.minimizer: set(r.l) for r in back.select("minimizer", bits.nonzero_list(F.col("nonzero"), n).alias("l")).collect()} == sets
