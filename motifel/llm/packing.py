@@ -5,10 +5,11 @@ pieces of it. Full pieces are sequences as they are. The others are dealt by has
 of about ``block_items``, and each block is evolved on several islands at once: an island
 holds a few packings, made by best fit over differing orders. Crossover injects whole
 well-filled sequences of one packing into another, removes the sequences that hold
-duplicates of them, and places the displaced documents again by best fit. After each round
-an island sends its elite to the next island of its block. Fitness is the number of sequences,
-then how far what stays free is gathered in few of them; only a packing with no more than one
-sequence that is not full is not evolved further, as none is better.
+duplicates of them, and places the displaced documents again by best fit. A round goes
+on until a number of generations gave nothing better; then an island sends its elite to the next island
+of its block. Fitness is the number of sequences, then how far what stays free is gathered in few of
+them; only a packing with no more than one sequence that is not full is not evolved further, as none is
+better.
 
 Blocks merge in a tree: the emptiest sequences of ``FAN`` neighbours are opened, and their
 items are a block of the next level, evolved in the same way from the packing that they had and
@@ -22,6 +23,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +33,12 @@ from pyspark.sql import functions as F
 from motifel.llm import common
 from motifel.llm.units import Memory
 
-CAPACITY, BLOCK_ITEMS, ISLANDS, ROUNDS, GENERATIONS, POPULATION = 2048, 4096, 2, 2, 4, 4
+CAPACITY, BLOCK_ITEMS, ISLANDS, ROUNDS, GENERATIONS, POPULATION = 2048, 4096, 2, 2, 16, 4
+"""GENERATIONS: a round of an island ends when so many have given no better packing, however many there were."""
 FAN = 8
 """Blocks that one of the next level takes the open sequences of; each gives at most its share of a block's items."""
-PLACED, MOST_GENERATIONS, MOST_PACKINGS = 16_384, 300, 24
-"""Small blocks are evolved for more generations, as many as place so many items, but at most so many, and with more packings."""
+PLACED, MOST_PATIENCE, MOST_PACKINGS = 16_384, 300, 24
+"""In small blocks more generations without a better packing are waited for, as many as place so many items, but at most so many, and there are more packings."""
 REMEMBERED = 400_000
 """Different words whose ids a worker remembers."""
 
@@ -155,12 +158,14 @@ def perfect(place: np.ndarray, length: np.ndarray, capacity: int) -> bool:
     return int((np.bincount(place, length) < capacity).sum()) <= 1
 
 
-def evolve(population: list[np.ndarray], length: np.ndarray, seed: int, generations: int, size: int, capacity: int) -> tuple[list[np.ndarray], int]:
-    """The population after some generations, best first, and how many there were."""
+def evolve(population: list[np.ndarray], length: np.ndarray, seed: int, generations: int | None, size: int, capacity: int, patience: int | None = None) -> tuple[list[np.ndarray], int]:
+    """The population after so many generations (None: no limit), best first, and how many there were: fewer
+    where a packing is perfect, or no better one came for ``patience`` generations."""
     rng = np.random.default_rng(seed)
     ranked = sorted(((fitness(p, length), i, p) for i, p in enumerate(population)), key=lambda x: x[:2])
-    for g in range(generations):
-        if perfect(ranked[0][2], length, capacity):
+    best, since, g = ranked[0][0], 0, 0
+    for g in count() if generations is None else range(generations):
+        if perfect(ranked[0][2], length, capacity) or (patience and since >= patience):
             return [p for _, _, p in ranked], g
         while len(ranked) < max(2, size):  # also in the place of packings as good as another, so that some variety stays
             p = fresh(length, rng, 0.5 * rng.random(), capacity)
@@ -171,7 +176,8 @@ def evolve(population: list[np.ndarray], length: np.ndarray, seed: int, generati
             ranked.append((fitness(child, length), 1000 + g, child))
         ranked = sorted(ranked, key=lambda x: x[:2])
         ranked = [x for k, x in enumerate(ranked) if not k or x[0] != ranked[k - 1][0]][:size]
-    return [p for _, _, p in ranked], generations
+        best, since = (ranked[0][0], 0) if ranked[0][0] < best else (best, since + 1)
+    return [p for _, _, p in ranked], generations or 0
 
 
 _STATE = pa.schema([("block", pa.int64()), ("island", pa.int32()), ("migrant", pa.bool_()), ("pids", pa.binary()), ("lengths", pa.binary()), ("packings", pa.list_(pa.binary()))])
@@ -211,9 +217,9 @@ def _round(k: int, islands: int, generations: int, population: int, capacity: in
         length = np.frombuffer(own["lengths"], np.int64)
         packings = [np.frombuffer(p, np.int32) for r in sorted(rows, key=lambda r: r["migrant"]) for p in r["packings"]]
         seed = own["block"] * 1009 + own["island"] * 101 + k
-        most = max(generations, min(MOST_GENERATIONS, PLACED // len(length)))
+        patience = max(generations, min(MOST_PATIENCE, PLACED // len(length)))
         size = max(population, min(MOST_PACKINGS, PLACED // (32 * len(length))))
-        return _states(own["block"], own["island"], own["pids"], length, evolve(packings, length, seed, most, size, capacity)[0], islands)
+        return _states(own["block"], own["island"], own["pids"], length, evolve(packings, length, seed, None, size, capacity, patience)[0], islands)
 
     return run
 

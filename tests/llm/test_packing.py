@@ -145,3 +145,30 @@ def test_crossover_keeps_every_item_once():
         c = packing.crossover(a, b, length, rng, 1000)
         assert (c >= 0).all() and np.bincount(c, length).max() <= 1000 and len(np.unique(c)) == c.max() + 1
         a = c
+
+
+def test_a_round_goes_on_while_packings_get_better(monkeypatch):
+    """In a block of full size too, as long as some of the last generations gave a better one."""
+    rng, ran, evolve = np.random.default_rng(5), [], packing.evolve
+
+    def counted(*args):
+        best, n = evolve(*args)
+        ran.append(n)
+        return best, n
+
+    monkeypatch.setattr(packing, "evolve", counted)
+    length = np.sort(rng.integers(300, 1200, packing.BLOCK_ITEMS))[::-1].astype(np.int64)
+    first = packing.fresh(length, rng, 0.0, 2048)
+    state = packing._states(0, 0, np.arange(len(length)).tobytes(), length, [first], 1)
+    out = packing._round(0, 1, packing.GENERATIONS, packing.POPULATION, 2048)(state).to_pylist()
+    place = np.frombuffer(out[0]["packings"][0], np.int32)
+    four = evolve([first], length, 0, 4, packing.POPULATION, 2048)[0][0]
+    assert ran[0] >= 16 and np.bincount(place, length).max() <= 2048 and len(place) == len(length)
+    assert place.max() + 1 < len(np.bincount(four))  # 1,517 after four generations
+
+
+def test_evolution_ends_when_nothing_better_comes():
+    length = np.full(90, 700, np.int64)  # two in each sequence, whatever is done
+    first = packing.fresh(length, np.random.default_rng(0), 0.0, 1500)
+    best, ran = packing.evolve([first], length, 1, None, 4, 1500, 7)
+    assert ran == 7 and len(np.bincount(best[0])) == 45
